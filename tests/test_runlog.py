@@ -1,0 +1,90 @@
+import pytest
+from pyspark.sql import functions as F
+
+from wordwood import operators as op
+from wordwood.functions import size_label
+
+
+@pytest.fixture(scope="module")
+def log(spark):
+    rows = [
+        ("gen", "spark", 16, 100_000, "generate", 1.5, True),
+        ("gen", "spark", 16, 100_000, "upload", 2.0, True),
+        ("gen", "spark", 16, 200_000, "generate", 3.0, True),
+        ("gen", "spark", 16, 200_000, "upload", 9.0, False),
+        ("gen", "spark", 24, 100_000, "generate", 1.0, True),
+    ]
+    return spark.createDataFrame(rows, op.RUN_LOG_SCHEMA)
+
+
+def test_failed_runs_are_unknown_not_zero(log):
+    got = [r["seconds"] for r in op.mask_failed(log).orderBy("size", "stage", "cores").collect()]
+    assert got == [1.5, 1.0, 2.0, 3.0, None]
+
+
+def test_stage_summary(log):
+    got = op.stage_summary(log.where("cores = 16"), ["generate", "upload"]).orderBy("size")
+    assert got.columns == ["size", "generate", "upload"]
+    assert list(map(tuple, got.collect())) == [(100_000, 1.5, 2.0), (200_000, 3.0, None)]
+
+
+def test_matrix_has_its_columns_whatever_the_data(log):
+    runs = log.where("stage = 'generate'")
+    got = op.run_matrix(runs, "size", "cores", [16, 24, 30], prefix="c").orderBy("size")
+    assert got.columns == ["size", "c16", "c24", "c30"]
+    assert list(map(tuple, got.collect())) == [
+        (100_000, 1.5, 1.0, None), (200_000, 3.0, None, None),
+    ]
+    by_cores = op.run_matrix(runs, "cores", "size", [100_000, 200_000]).orderBy("cores")
+    assert list(map(tuple, by_cores.collect())) == [(16, 1.5, 3.0), (24, 1.0, None)]
+
+
+def test_matrix_shuffles_once(log):
+    plan = op.run_matrix(log, values=[16, 24])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
+def frame(spark, rows):
+    return spark.createDataFrame(
+        [("x", "e", 1, size, "s", float(s), ok) for size, s, ok in rows], op.RUN_LOG_SCHEMA
+    )
+
+
+def test_speedup(spark):
+    a = frame(spark, [(1, 10, True), (2, 5, True), (3, 4, True), (4, 1, False), (5, 1, True)])
+    b = frame(spark, [(1, 4, True), (2, 5, True), (3, 8, True), (4, 2, True), (6, 0, True)])
+    got = {r["size"]: tuple(r)[1:] for r in op.speedup(a, b).collect()}
+    assert got[1] == (10, 4, 2.5, "spark")
+    assert got[2] == (5, 5, 1.0, "local")
+    assert got[3] == (4, 8, 0.5, "local")
+    assert got[4] == (None, 2, None, None)
+    assert got[5] == (1, None, None, None)
+    assert got[6] == (None, 0, None, None)
+
+
+def test_zero_seconds_do_not_divide(spark):
+    got = op.speedup(frame(spark, [(1, 3, True)]), frame(spark, [(1, 0, True)])).first()
+    assert (got["ratio"], got["winner"]) == (None, "spark")
+
+
+def test_repeated_runs_do_not_multiply(spark):
+    a = frame(spark, [(1, 1, True)] * 50)
+    got = op.speedup(a, a, names=("a", "b")).collect()
+    assert list(map(tuple, got)) == [(1, 50.0, 50.0, 1.0, "a")]
+
+
+@pytest.mark.parametrize(
+    ("size", "label", "in_k"),
+    [
+        (999, "0K", "0K"),
+        (100_000, "100K", "100K"),
+        (999_999, "999K", "999K"),
+        (1_000_000, "1M", "1000K"),
+        (1_500_000, "1M", "1500K"),
+        (4_000_000, "4M", "4000K"),
+    ],
+)
+def test_size_label(spark, size, label, in_k):
+    df = spark.createDataFrame([(size,)], "size long")
+    got = df.select(size_label(F.col("size")), size_label(F.col("size"), millions=False)).first()
+    assert tuple(got) == (label, in_k)

@@ -49,7 +49,8 @@ def classification(table: str, key: str) -> str:
            (CASE WHEN {uniform('h1', 0)} < 0.01
                  THEN CASE WHEN {uniform('h1', 1)} < 0.5 THEN 0 ELSE 1 END
                  ELSE id % 2 END)::INTEGER AS label
-    FROM (SELECT {key} AS id, md5(concat({key}, '-42')) AS h0, md5(concat({key}, '-42-1')) AS h1
+    FROM (SELECT {key} AS id, md5(concat({key}, '-42-features')) AS h0,
+                 md5(concat({key}, '-42-label')) AS h1
           FROM {table})"""
 
 

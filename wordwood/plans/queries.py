@@ -40,6 +40,11 @@ def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFram
     return src.spread(table(spark, sf_dir, name))
 
 
+def synthetic(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """Synthetic features for each row of a table; hashing is heavy on CPU as well."""
+    return src.add_classification(src.spread(table(spark, sf_dir, name).select(key)), key)
+
+
 # Text
 
 
@@ -125,7 +130,7 @@ def sample_lines_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def gen_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return src.add_classification(table(spark, sf_dir, "orders"), "o_orderkey")
+    return synthetic(spark, sf_dir, "orders", "o_orderkey")
 
 
 @query
@@ -195,23 +200,24 @@ def document_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def dataset_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write the orders to four files, copy these to two, read the copy."""
+    """Write the orders to a number of files, copy them to a sixth of it, read the copy."""
+    orders = table(spark, sf_dir, "orders")
+    files = files_for(orders.count())
     first, second = src.scratch_path(spark, "orders"), src.scratch_path(spark, "copy")
-    src.write_dataset(table(spark, sf_dir, "orders"), first, files=4)
-    return src.copy_dataset(spark, first, second, files=2)
+    src.write_dataset(orders, first, files)
+    return src.copy_dataset(spark, first, second, files // 6)
 
 
 @query
 def ensure_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Build a feature table of the customers where it is missing; ask for it twice."""
-    customers = table(spark, sf_dir, "customer")
-    size = customers.count()
+    size = table(spark, sf_dir, "customer").count()
     path = src.dataset_path(src.scratch_path(spark, "root"), size)
 
     def build() -> DataFrame:
-        return src.add_classification(customers, "c_custkey")
+        return synthetic(spark, sf_dir, "customer", "c_custkey")
 
-    _, first = src.ensure_dataset(spark, path, build, min(files_for(size), 4))
+    _, first = src.ensure_dataset(spark, path, build, files_for(size))
     df, second = src.ensure_dataset(spark, path, build)
     return df.select("*", F.lit(first).alias("first_call"), F.lit(second).alias("second_call"))
 
@@ -257,7 +263,8 @@ def tiled_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = table(spark, sf_dir, "orders").count()
     tiled = op.tile(_labelled_documents(spark, sf_dir).withColumnRenamed("id", "base"), "base", size)
     path = src.dataset_path(src.scratch_path(spark, "tiled"), size)
-    src.write_dataset(op.conform(op.permute(tiled, "id").withColumn("id", F.col("pos"))), path)
+    shuffled = op.permute(tiled, "id").withColumn("id", F.col("pos"))
+    src.write_dataset(op.conform(shuffled), path, files_for(size))
     split = op.hash_split(op.assemble(src.read_dataset(spark, path, src.FEATURE_SCHEMA)), "id")
     model = op.train_forest(split.where("part = 'train'"))
     return op.evaluate_forest(model, split)
@@ -266,9 +273,8 @@ def tiled_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def synthetic_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Synthetic features of all orders; 30 trees on every row, tested on the same rows."""
-    data = src.add_classification(table(spark, sf_dir, "orders"), "o_orderkey")
     path = src.scratch_path(spark, "synthetic")
-    src.write_dataset(data, path)
+    src.write_dataset(synthetic(spark, sf_dir, "orders", "o_orderkey"), path)
     rows = op.assemble(src.read_dataset(spark, path, src.FEATURE_SCHEMA))
     model = op.train_forest(rows, num_trees=30)
     return op.accuracy_pct(op.score(model, rows))

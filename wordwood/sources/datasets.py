@@ -38,8 +38,9 @@ def dataset_path(root: str, size: int, suffix: str = "") -> str:
 def spread(df: DataFrame) -> DataFrame:
     """Spread a scan of few splits over all cores, ahead of a step that is heavy on CPU.
 
-    Input with at least one split per core, so anything large, comes back as it is:
-    no shuffle. Meant for plain scans, whose number of splits is known without a job.
+    Input with at least one split per core, so anything large, comes back as it is: no
+    shuffle. What is shuffled is therefore less than one split (128 MB) per core. Meant for
+    plain scans, whose number of splits is known without a job.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
@@ -110,7 +111,9 @@ def ensure_dataset(
     return read_dataset(spark, path), created
 
 
-def copy_dataset(spark: SparkSession, src: str, dst: str, files: int | None = 4) -> DataFrame:
-    """Copy a dataset to another place or store, with another number of files."""
+def copy_dataset(
+    spark: SparkSession, src: str, dst: str, files: int | None = None
+) -> DataFrame:
+    """Copy a dataset to another place or store; with ``files``, to that number of files."""
     write_dataset(read_dataset(spark, src), dst, files)
     return read_dataset(spark, dst)

@@ -37,12 +37,14 @@ def add_classification(
     Four Gaussian clusters on corners of a cube in ``f0..f2``; two clusters per class, laid
     out so that no single axis tells the label. ``f3`` is noise, and a share ``flip`` of the
     labels is drawn anew. All numbers come from two md5 digests of the key: each holds four
-    uniforms, and Box-Muller turns a pair of uniforms into a pair of normals.
+    uniforms, and Box-Muller turns a pair of uniforms into a pair of normals. The digests are
+    not those that splits and permutations go by: a split by ``md5(key-seed)`` would otherwise
+    be a split by the size of ``f0``.
     """
     digests = df.select(
         F.col(key).cast("bigint").alias("id"),
-        row_hash(key, seed).alias("_h0"),
-        row_hash(key, f"{seed}-1").alias("_h1"),
+        row_hash(key, f"{seed}-features").alias("_h0"),
+        row_hash(key, f"{seed}-label").alias("_h1"),
     )
     h0, h1 = F.col("_h0"), F.col("_h1")
 
