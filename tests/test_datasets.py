@@ -1,7 +1,10 @@
 import glob
+import subprocess
+import sys
 
 import pandas as pd
 import pytest
+from conftest import ROOT
 from helpers import column
 from pyspark.errors import AnalysisException
 from pyspark.sql import types as T
@@ -142,27 +145,44 @@ def test_scratch_is_in_the_folder_of_the_session(spark):
     assert a.startswith(root) and a != b
 
 
-class Session:
-    """A session without a checkpoint folder, on a given master."""
+class Unset:
+    """Stands for a session on some master whose checkpoint folder is not set."""
 
     def __init__(self, master):
-        self.values = {}
-        self.conf = self
-        self.sparkContext = self
+        self.conf = self.sparkContext = self
         self.master = master
+        self.folder = None
 
-    def get(self, key, default=None):
-        return self.values.get(key, default)
+    def get(self, key, default):
+        return default
 
-    def set(self, key, value):
-        self.values[key] = value
+    def getCheckpointDir(self):
+        return self.folder
+
+    def setCheckpointDir(self, path):
+        self.folder = f"file:{path}/app"
 
 
 def test_scratch_without_a_folder():
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        scratch.scratch_root(Session("spark://host:7077"))
-    local = Session("local[2]")
-    assert scratch.scratch_root(local) == scratch.scratch_root(local)
+        scratch.scratch_root(Unset("spark://host:7077"))
+    local = Unset("local[2]")
+    assert scratch.scratch_root(local) == scratch.scratch_root(local) == local.folder
+
+
+def test_scratch_in_a_plain_local_session(sf_dir):
+    """A session of its own, in which nothing is set: queries that write must still run."""
+    code = f"""
+import sys
+sys.path.insert(0, {str(ROOT)!r})
+from pyspark.sql import SparkSession
+from wordwood.plans import QUERIES
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+print("rows", QUERIES["line_scan_roundtrip"](spark, {sf_dir!r}).count())
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert int(done.stdout.split()[-1]) > 0
 
 
 def test_drop_scratch(spark):

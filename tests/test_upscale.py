@@ -66,6 +66,27 @@ def test_one_row_is_spread_over_tasks(spark, monkeypatch):
     assert len(per_task) == 8 and max(per_task.values()) <= 2000
 
 
+def test_number_copies(spark):
+    rows = [("a", 1)] * 5 + [("b", None)] * 2 + [("c", 3)]
+    df = spark.createDataFrame(rows, "x string, y int").repartition(4)
+    got = sorted(map(str, map(tuple, op.number_copies(df).collect())))
+    want = [("a", 1, i) for i in range(5)] + [("b", None, i) for i in range(2)] + [("c", 3, 0)]
+    assert got == sorted(map(str, want))
+
+
+def test_copies_of_one_row_are_dealt_out(spark, monkeypatch):
+    """A third of the rows are the same one: counted ahead of the shuffle, made by all tasks."""
+    monkeypatch.setattr(upscale, "BLOCK", 100)
+    df = spark.range(0, 30_000, 1, 6).selectExpr("if(id % 3 = 0, -1, id) AS k")
+    got = op.number_copies(df)
+    hot = as_dict(got.where("k = -1").groupBy(F.spark_partition_id()).count())
+    assert sum(hot.values()) == 10_000 and len(hot) == 8 and max(hot.values()) <= 2_000
+    shuffled = op.permute(got, ["k", "copy"])
+    assert sorted(column(shuffled, "pos")) == list(range(1, 30_001))
+    thirds = shuffled.where("k = -1").agg(F.avg("pos")).first()[0]
+    assert abs(thirds - 15_000) < 500
+
+
 def test_tile_of_nothing(spark):
     with pytest.raises(ValueError, match="empty"):
         op.tile(spark.range(0), "id", 10)

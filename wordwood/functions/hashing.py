@@ -23,7 +23,10 @@ def row_hash(key: str | Iterable[str], salt: object) -> Column:
     return F.md5(F.concat_ws("-", *parts, F.lit(str(salt))))
 
 
-def uniform(digest: Column, word: int) -> Column:
-    """The ``word``-th group of 8 hex digits (0 to 3) as a number strictly inside (0, 1)."""
-    digits = F.substring(digest, 8 * word + 1, 8)
-    return (F.conv(digits, 16, 10).cast("bigint") + F.lit(0.5)) / F.lit(4294967296.0)
+def uniform(digest: str, word: int) -> str:
+    """The ``word``-th group of 8 hex digits (0 to 3) as a number strictly inside (0, 1).
+
+    An expression in SQL, over a column of :func:`row_hash`.
+    """
+    digits = f"substring({digest}, {8 * word + 1}, 8)"
+    return f"((cast(conv({digits}, 16, 10) AS bigint) + 0.5D) / 4294967296.0D)"

@@ -29,7 +29,7 @@ from wordwood.operators.text import (
     top_words,
     word_counts,
 )
-from wordwood.operators.upscale import dense_index, replicate, tile
+from wordwood.operators.upscale import dense_index, number_copies, replicate, tile
 
 __all__ = [
     "RUN_LOG_SCHEMA",
@@ -46,6 +46,7 @@ __all__ = [
     "forest_sweep",
     "hash_split",
     "mask_failed",
+    "number_copies",
     "permute",
     "preview",
     "replicate",

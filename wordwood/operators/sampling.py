@@ -1,7 +1,8 @@
 """Shuffling, splitting and previewing rows by a key that is unique.
 
 The order is that of ``md5(key-seed)``, then the key. It belongs to the row, so it is the
-same on any cluster, after any repartitioning and after any retry.
+same on any cluster, after any repartitioning and after any retry. A table without a unique
+key gets one from :func:`wordwood.operators.number_copies`.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ def _fraction(test: float) -> Fraction:
     return share
 
 
-def _part(is_test: Column) -> Column:
-    return F.when(is_test, "test").otherwise("train").alias("part")
+def _with_part(df: DataFrame, is_test: Column) -> DataFrame:
+    return df.withColumn("part", F.when(is_test, "test").otherwise("train"))
 
 
 def permute(df: DataFrame, key: str | Iterable[str], seed: int = 42) -> DataFrame:
@@ -58,7 +59,7 @@ def hash_split(
 ) -> DataFrame:
     """Add ``part``, ``test`` or ``train``, in about the given shares. No shuffle, no job."""
     threshold = format(int(_fraction(test) * 2**32), "08x")
-    return df.select("*", _part(F.substring(row_hash(key, seed), 1, 8) < threshold))
+    return _with_part(df, F.substring(row_hash(key, seed), 1, 8) < threshold)
 
 
 def _cut_hash(hashed: DataFrame, keys: list[str], share: Fraction) -> str:
@@ -110,7 +111,7 @@ def exact_split(
     keys = key_list(key)
     digest = row_hash(keys, seed)
     cut = _cut_hash(df.select(digest.alias("_hash")), keys, _fraction(test))
-    return df.select("*", _part(digest <= cut))
+    return _with_part(df, digest <= cut)
 
 
 def preview(df: DataFrame, key: str | Iterable[str], n: int = 3) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordwood.sources.datasets import read_dataset, write_dataset
@@ -50,6 +50,22 @@ def dense_index(df: DataFrame, key: str, rows: int, name: str = "i") -> DataFram
     return numbered.select(*df.columns, (F.col("_offset") + within).alias(name))
 
 
+def _copied(df: DataFrame, copies: Column, name: str, tasks: int | None) -> DataFrame:
+    """Every row ``copies`` times, numbered from 0 in column ``name``.
+
+    With ``tasks``, the blocks of copies are dealt out to that many tasks.
+    """
+    last_block = F.call_function("div", F.col("_copies") - 1, F.lit(BLOCK))
+    blocks = df.withColumn("_copies", copies).withColumn(
+        "_block", F.explode(F.sequence(F.lit(0), last_block))
+    )
+    if tasks:
+        blocks = blocks.repartition(tasks)
+    first = F.col("_block") * BLOCK
+    last = F.least(first + BLOCK, F.col("_copies")) - 1
+    return blocks.select(*df.columns, F.explode(F.sequence(first, last)).alias(name))
+
+
 def tile(df: DataFrame, key: str, size: int) -> DataFrame:
     """Repeat a table, in the order of its unique key, up to exactly ``size`` rows.
 
@@ -61,19 +77,24 @@ def tile(df: DataFrame, key: str, size: int) -> DataFrame:
         raise ValueError("cannot tile an empty table")
     base = dense_index(df, key, n, "_i").where(F.col("_i") < size)
     copies = F.call_function("div", F.lit(size - 1) - F.col("_i"), F.lit(n)) + 1
-    blocks = base.withColumn("_copies", copies).withColumn(
-        "_block",
-        F.explode(F.sequence(F.lit(0), F.call_function("div", F.col("_copies") - 1, F.lit(BLOCK)))),
-    )
     tasks = math.ceil(size / ROWS_PER_TASK)
-    if tasks > 1 and (n <= SMALL_ROWS or size >= MANY_COPIES * n):
-        blocks = blocks.repartition(tasks)
-    first = F.col("_block") * BLOCK
-    last = F.least(first + BLOCK, F.col("_copies")) - 1
-    copied = blocks.withColumn("_copy", F.explode(F.sequence(first, last)))
+    deal = tasks > 1 and (n <= SMALL_ROWS or size >= MANY_COPIES * n)
+    copied = _copied(base, copies, "_copy", tasks if deal else None)
     return copied.select((F.col("_copy") * n + F.col("_i")).alias("id"), *df.columns)
 
 
+def number_copies(df: DataFrame, name: str = "copy") -> DataFrame:
+    """Tell identical rows apart: adds a number from 0, so that all columns are a unique key.
+
+    For tables without a key, ahead of the operators that need one. Identical rows are counted
+    before the shuffle and made again after it, so no task ever holds a group of copies, be it
+    a third of the table.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = df.groupBy(*df.columns).agg(F.count("*").alias("_rows"))
+    return _copied(counted, F.col("_rows"), name, tasks).drop("_rows")
+
+
 def replicate(df: DataFrame, m: int, slices: int | None = None) -> DataFrame:
     """Every row ``m`` times.
 
@@ -84,8 +105,7 @@ def replicate(df: DataFrame, m: int, slices: int | None = None) -> DataFrame:
         return df.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(m)))).drop("_copy")
     blocks = min(m, slices)
     each, rest = divmod(m, blocks)
-    spread = df.withColumn("_block", F.explode(F.sequence(F.lit(1), F.lit(blocks))))
-    spread = spread.repartition(slices)
+    dealt = df.withColumn("_block", F.explode(F.sequence(F.lit(1), F.lit(blocks))))
+    dealt = dealt.repartition(slices)
     copies = F.lit(each) + F.when(F.col("_block") <= rest, 1).otherwise(0)
-    copied = spread.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies)))
-    return copied.drop("_block", "_copy")
+    return dealt.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))).select(*df.columns)

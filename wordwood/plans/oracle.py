@@ -107,6 +107,13 @@ ORACLE_SQL: dict[str, str] = {
           ON r.id % (SELECT count(*) FROM labels) = l.i""",
     "permute_rows": f"""
         SELECT o_orderkey, o_custkey, o_orderpriority, {ORDER_RANK} AS pos FROM orders""",
+    "permute_unkeyed": """
+        SELECT *, row_number() OVER (
+                    ORDER BY md5(concat_ws('-', l_orderkey, l_linenumber, copy, 42)),
+                             l_orderkey, l_linenumber, copy) AS pos
+        FROM (SELECT l_orderkey, l_linenumber,
+                     row_number() OVER (PARTITION BY l_orderkey, l_linenumber) - 1 AS copy
+              FROM lineitem)""",
     "hash_split": f"""
         SELECT o_orderkey, o_custkey,
                CASE WHEN substr({ORDER_HASH}, 1, 8) < '33333333' THEN 'test' ELSE 'train' END AS part

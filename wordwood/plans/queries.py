@@ -149,6 +149,13 @@ def permute_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.permute(orders, "o_orderkey")
 
 
+@query
+def permute_unkeyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items have no unique key: number their copies, then shuffle."""
+    items = op.number_copies(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"))
+    return op.permute(items, ["l_orderkey", "l_linenumber", "copy"])
+
+
 @query
 def hash_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")

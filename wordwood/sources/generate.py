@@ -43,30 +43,28 @@ def add_classification(
     """
     digests = df.select(
         F.col(key).cast("bigint").alias("id"),
-        row_hash(key, f"{seed}-features").alias("_h0"),
-        row_hash(key, f"{seed}-label").alias("_h1"),
+        row_hash(key, f"{seed}-features").alias("_h"),
+        row_hash(key, f"{seed}-label").alias("_l"),
+    )
+    # One step per select: Catalyst keeps a costly column that is used twice as a column.
+    polar = digests.selectExpr(
+        "id",
+        "pmod(id, 4) AS cluster",
+        f"sqrt(-2.0D * ln({uniform('_h', 0)})) AS r0",
+        f"2.0D * pi() * {uniform('_h', 1)} AS a0",
+        f"sqrt(-2.0D * ln({uniform('_h', 2)})) AS r2",
+        f"2.0D * pi() * {uniform('_h', 3)} AS a2",
+        f"{uniform('_l', 0)} < {flip} AS redrawn",
+        f"CASE WHEN {uniform('_l', 1)} < 0.5D THEN 0 ELSE 1 END AS drawn",
     )
-    h0, h1 = F.col("_h0"), F.col("_h1")
-
-    def normal_pair(word: int):
-        radius = F.sqrt(-2.0 * F.ln(uniform(h0, word)))
-        angle = 2.0 * math.pi * uniform(h0, word + 1)
-        return radius * F.cos(angle), radius * F.sin(angle)
-
-    z0, z1 = normal_pair(0)
-    z2, z3 = normal_pair(2)
-    cluster = F.pmod(F.col("id"), F.lit(4))
     # Clusters 0..3 sit at (+,+,+), (+,-,+), (-,-,-), (-,+,+).
-    corner0 = F.when(cluster < 2, sep).otherwise(-sep)
-    corner1 = F.when(cluster.isin(0, 3), sep).otherwise(-sep)
-    corner2 = F.when(cluster == 2, -sep).otherwise(sep)
-    drawn = F.when(uniform(h1, 1) < 0.5, 0).otherwise(1)
-    label = F.when(uniform(h1, 0) < flip, drawn).otherwise(F.pmod(F.col("id"), F.lit(2)))
-    features = [z0 + corner0, z1 + corner1, z2 + corner2, z3]
-    return digests.select(
+    return polar.selectExpr(
         "id",
-        *[F.round(f, 4).cast("float").alias(f"f{i}") for i, f in enumerate(features)],
-        label.cast("int").alias("label"),
+        f"cast(round(r0 * cos(a0) + if(cluster IN (0, 1), {sep}D, {-sep}D), 4) AS float) AS f0",
+        f"cast(round(r0 * sin(a0) + if(cluster IN (0, 3), {sep}D, {-sep}D), 4) AS float) AS f1",
+        f"cast(round(r2 * cos(a2) + if(cluster = 2, {-sep}D, {sep}D), 4) AS float) AS f2",
+        "cast(round(r2 * sin(a2), 4) AS float) AS f3",
+        "cast(if(redrawn, drawn, cluster % 2) AS int) AS label",
     )
 
 

@@ -6,6 +6,8 @@ executor is lost, are written to ``spark.checkpoint.dir`` and read back.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -16,24 +18,29 @@ SETTING = "spark.checkpoint.dir"
 
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder; a temporary one only where none is set and Spark runs locally."""
-    root = spark.conf.get(SETTING, None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {SETTING} to a folder that all executors can reach")
-    root = tempfile.mkdtemp(prefix="wordwood-")
-    spark.conf.set(SETTING, root)
-    return root
+    sc = spark.sparkContext
+    root = spark.conf.get(SETTING, None) or sc.getCheckpointDir()
+    if not root:
+        if not sc.master.startswith("local"):
+            raise RuntimeError(f"set {SETTING} to a folder that all executors can reach")
+        own = tempfile.mkdtemp(prefix="wordwood-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        sc.setCheckpointDir(own)
+        root = sc.getCheckpointDir()
+    return root.rstrip("/")
+
+
+def _own_folder(spark: SparkSession) -> str:
+    return f"{scratch_root(spark)}/wordwood-{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path that nobody else writes to."""
-    app = spark.sparkContext.applicationId
-    return f"{scratch_root(spark)}/wordwood-{app}/{name}-{uuid.uuid4().hex}"
+    return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def drop_scratch(spark: SparkSession) -> None:
     """Delete what this application wrote, once nothing reads it any more."""
-    app = spark.sparkContext.applicationId
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/wordwood-{app}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
