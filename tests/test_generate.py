@@ -33,7 +33,7 @@ def test_gen_text(spark, tmp_path):
     text = src.gen_text(spark, 1)
     path = str(tmp_path / "text")
     src.write_lines(text, path, 3)
-    back = src.read_lines(spark, path)
+    back = src.read_lines(spark, path, 24)
     assert back.count() == 159
     assert back.rdd.getNumPartitions() == 24
     assert op.text_size_mb(back, "value").first()["size_mb"] * generate.MB == 1_049_559

@@ -2,11 +2,18 @@
 
 from wordwood.functions.hashing import row_hash, uniform
 from wordwood.functions.labels import files_for, size_label
-from wordwood.functions.text import LINE_END, WHITESPACE, WHITESPACE_CHARS, lines, stripped, tokens
+from wordwood.functions.text import (
+    LINE_END,
+    OTHER_WHITESPACE,
+    WHITESPACE_CHARS,
+    lines,
+    stripped,
+    tokens,
+)
 
 __all__ = [
     "LINE_END",
-    "WHITESPACE",
+    "OTHER_WHITESPACE",
     "WHITESPACE_CHARS",
     "files_for",
     "lines",

@@ -52,12 +52,15 @@ def read_dataset(spark: SparkSession, path: str, schema: T.StructType | None = N
     return reader.parquet(path)
 
 
-def read_lines(spark: SparkSession, path: str, min_partitions: int = 24) -> DataFrame:
-    """Scan text files by lines, ``value string``, in at least ``min_partitions`` parts.
+def read_lines(spark: SparkSession, path: str, min_partitions: int | None = None) -> DataFrame:
+    """Scan text files by lines, ``value string``.
 
-    Only input of fewer splits than that (24 splits: 3 GB at most) is shuffled to reach it.
+    Files are split by size. Input of fewer splits than cores is spread over the cores; with
+    ``min_partitions``, input of fewer splits than that is brought up to exactly that number.
     """
     df = spark.read.text(path)
+    if min_partitions is None:
+        return spread(df)
     return df.repartition(min_partitions) if df.rdd.getNumPartitions() < min_partitions else df
 
 
