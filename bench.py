@@ -25,6 +25,8 @@ def session(cpus: str, scratch: str) -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "8g"))
         .config("spark.sql.shuffle.partitions", cpus)
+        # A few splits per core: a gigabyte would else be nine splits for eight cores.
+        .config("spark.sql.files.maxPartitionBytes", "32m")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.checkpoint.dir", scratch)
         .getOrCreate()
