@@ -1,0 +1,17 @@
+import json
+import os
+import subprocess
+import sys
+
+from conftest import ROOT
+
+
+def test_bench_prints_one_json_line(sf_dir):
+    env = {**os.environ, "BENCH_SF_DIR": sf_dir, "BENCH_CPUS": "2", "BENCH_MEMORY": "2g"}
+    command = [sys.executable, str(ROOT / "bench.py"), "token_total", "hash_split"]
+    done = subprocess.run(command, capture_output=True, text=True, timeout=300, env=env)
+    assert done.returncode == 0, done.stderr[-2000:]
+    row = json.loads(done.stdout)
+    assert set(row) == {"metric", "value", "unit", "queries", "sf"}
+    assert set(row["queries"]) == {"token_total", "hash_split"}
+    assert row["unit"] == "sec" and row["sf"] == "0.001"

@@ -125,6 +125,14 @@ def test_sweep(spark, tmp_path):
     assert sorted(p.name for p in tmp_path.iterdir()) == ["data_1000", "data_500"]
 
 
+def test_sweep_as_a_matrix(spark, tmp_path):
+    """A sweep is a run log as well: accuracy by size and number of trees."""
+    sweep = op.forest_sweep(spark, str(tmp_path), [600], trees=(3, 6)).cache()
+    got = op.run_matrix(sweep, "size", "trees", [3, 6], "accuracy_pct", "trees_").collect()
+    want = {r["trees"]: r["accuracy_pct"] for r in sweep.collect()}
+    assert list(map(tuple, got)) == [(600, want[3], want[6])]
+
+
 def test_sweep_on_all_rows(spark, tmp_path):
     row = op.forest_sweep(spark, str(tmp_path), [400], trees=(3,), test=None).first()
     assert (row["n_train"], row["n_test"], row["accuracy_pct"]) == (400, 0, None)

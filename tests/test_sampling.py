@@ -73,7 +73,7 @@ def test_exact_split_is_exact(ids, test):
 
 @pytest.mark.parametrize("leaf", [1, 3])
 def test_exact_split_goes_down_several_levels(ids, monkeypatch, leaf):
-    monkeypatch.setattr(sampling, "DIGITS", 1)
+    monkeypatch.setattr(sampling, "SPLIT_DIGITS", 1)
     monkeypatch.setattr(sampling, "LEAF_ROWS", leaf)
     got = op.exact_split(ids, "id", 0.2)
     assert got.where("part = 'test'").count() == 1000

@@ -15,12 +15,15 @@ from pyspark.sql import functions as F
 
 from wordwood.functions.hashing import key_list, row_hash
 
-# Buckets are the first hex digits of the hash. 16 ** 4 bounds every table of buckets below,
-# whatever the size of the data, so it may be broadcast or pass through one window.
+# Buckets are the next hex digits of the hash. 16 ** 4 and 16 ** 3 bound the tables of buckets
+# below, whatever the size of the data, so these may be broadcast or pass through one window.
+# A permutation sorts each bucket, so it wants many; a split only counts them, and what a task
+# sends on is one row per bucket, so it wants few.
 DIGITS = 4
+SPLIT_DIGITS = 3
 
 # A bucket of at most this many keys is small enough to be sorted for its n-th key.
-LEAF_ROWS = 100_000
+LEAF_ROWS = 1_000_000
 
 HASH_DIGITS = 32
 
@@ -65,14 +68,14 @@ def hash_split(
 def _cut_hash(hashed: DataFrame, keys: list[str], share: Fraction) -> str:
     """Hash of the last test row.
 
-    Looks for the bucket that the cut falls into and goes on inside it, four hex digits at a
-    time: one aggregation of the keys per level, one row to the driver. Ten billion rows
-    leave 150,000 in the first bucket and two or three in the second.
+    Looks for the bucket that the cut falls into and goes on inside it, some hex digits at a
+    time: one aggregation of the keys per level, one row to the driver. A billion rows leave
+    a quarter of a million in the first bucket, which is little enough to sort.
     """
     prefix, wanted = "", None
     while True:
         inside = hashed.where(F.col("_hash").startswith(prefix)) if prefix else hashed
-        bucket = F.substring("_hash", len(prefix) + 1, DIGITS).alias("_bucket")
+        bucket = F.substring("_hash", len(prefix) + 1, SPLIT_DIGITS).alias("_bucket")
         counts = inside.groupBy(bucket).agg(F.count("*").alias("_rows"))
         reached = F.sum("_rows").over(Window.orderBy("_bucket"))
         if wanted is None:
