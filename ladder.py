@@ -99,6 +99,9 @@ def main() -> None:
             done = runs.where((F.col("app") == app) & (F.col("stage") == "count"))
             local, cluster = (done.where(F.col("engine") == e) for e in ("local", "spark"))
             op.speedup(local, cluster).orderBy("size").show(100)
+        print("text files: seconds per stage by MB")
+        files = runs.where("app = 'token_total' AND engine = 'spark'")
+        op.stage_summary(files, ["generate", "count"]).orderBy("size").show(100)
         print("forests")
         label = size_label(F.col("size")).alias("label")
         sweep.select(label, "trees", "seconds", "accuracy_pct", "ok").show(100)

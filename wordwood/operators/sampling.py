@@ -23,7 +23,7 @@ DIGITS = 4
 SPLIT_DIGITS = 3
 
 # A bucket of at most this many keys is small enough to be sorted for its n-th key.
-LEAF_ROWS = 1_000_000
+LEAF_ROWS = 300_000
 
 HASH_DIGITS = 32
 
