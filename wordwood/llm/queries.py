@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wordwood.llm import mixing, sharding
+from wordwood.llm import classifier, html, mixing, rules, sharding
 from wordwood.sources import read_dataset
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read_dataset(spark, f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    return html.extract_pages(table(spark, sf_dir, "pages"))
+
+
 @query
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents into eight shards, and into nine."""
@@ -31,6 +37,31 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(docs, sharding.EIGHT, sharding.grown(sharding.EIGHT))
 
 
+@query
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict of the line rules on all documents."""
+    verdicts = rules.clean(table(spark, sf_dir, "documents"), cleaned=False)
+    return verdicts.select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+        "lost_words",
+    )
+
+
+@query
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of all documents, learnt from the labels that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    net = classifier.fit(docs, table(spark, sf_dir, "labels"))
+    return classifier.classify(docs, net)
+
+
 @query
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, mixed to 150 % of their words."""
