@@ -95,3 +95,24 @@ LLM_ORACLE["op4_sharding"] = f"""{_CRC},
            row_number() OVER (PARTITION BY shard ORDER BY random) - 1 AS slot,
            CASE WHEN moves THEN 8 ELSE shard END::INTEGER AS grown_shard
     FROM placed"""
+
+
+def shingles(table: str, key: str) -> str:
+    """Different shingles of five words of each text; all words of a shorter one."""
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+        SELECT DISTINCT {key}, array_to_string(w[i:i + least(5, len(w)) - 1], ' ') AS shingle
+        FROM (SELECT {key}, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i
+              FROM (SELECT {key}, regexp_extract_all({lower}, '{WORD}') AS w FROM {table})
+              WHERE len(w) > 0)"""
+
+
+# No item here has fewer than five words, so one width of shingles does for both sides.
+LLM_ORACLE["op2_benchmark_decontamination"] = f"""
+    WITH owned AS ({shingles('documents', 'doc_id')}),
+    wanted AS (SELECT *, count(*) OVER (PARTITION BY item_id) AS n_shingles
+               FROM ({shingles('benchmark', 'item_id')}))
+    SELECT doc_id, item_id, count(*) AS shared, n_shingles,
+           count(*)::DOUBLE / n_shingles::DOUBLE AS containment
+    FROM owned JOIN wanted USING (shingle) GROUP BY doc_id, item_id, n_shingles
+    HAVING 100 * count(*) >= 80 * n_shingles"""

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wordwood.llm import classifier, html, mixing, rules, sharding
+from wordwood.llm import classifier, html, leaks, mixing, rules, sharding
 from wordwood.sources import read_dataset
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +31,16 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_pages(table(spark, sf_dir, "pages"))
 
 
+@query
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents that hold an item of the benchmark, and which."""
+    pairs = leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    best = pairs.groupBy("doc_id", "item_id").agg(
+        F.max("shared").alias("shared"), F.max("n_shingles").alias("n_shingles")
+    )
+    return best.withColumn("containment", F.col("shared") / F.col("n_shingles"))
+
+
 @query
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents into eight shards, and into nine."""
