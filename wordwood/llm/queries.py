@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordwood.llm import classifier, html, leaks, mixing, rules, sharding
+from wordwood.llm import classifier, html, jaccard, leaks, mixing, rules, sharding
 from wordwood.sources import read_dataset
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,6 +73,13 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.classify(docs, net)
 
 
+@query
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of near duplicates of all documents."""
+    groups = jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", "n_shingles", "component_id")
+
+
 @query
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, mixed to 150 % of their words."""
