@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordwood.llm import classifier, html, jaccard, leaks, mixing, rules, sharding
+from wordwood.llm import classifier, html, jaccard, leaks, mixing, repeats, rules, sharding
 from wordwood.sources import read_dataset
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,3 +85,9 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, mixed to 150 % of their words."""
     mix = mixing.mix(table(spark, sf_dir, "documents"))
     return mix.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the 100-byte strings that start earlier elsewhere."""
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), keep_bytes=False)
