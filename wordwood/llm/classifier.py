@@ -213,6 +213,15 @@ def fit(
     return train([r["text"] for r in found], [r["label"] for r in found])
 
 
+def _scored(net: Network):
+    @F.pandas_udf(T.DoubleType())
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(net.score(texts.tolist()))
+
+    return scored
+
+
 def classify(
     docs: DataFrame, net: Network, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -222,14 +231,14 @@ def classify(
     scored like any others; other columns are not read. No rows are moved.
     """
 
-    @F.pandas_udf(T.DoubleType())
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series(net.score(texts.tolist()))
-
     rows = docs.select(
         F.col(key).alias("doc_id"),
         (_remainder(F.col(key)) == 0).alias("held_out"),
-        scored(F.col(text)).alias("score"),
+        _scored(net)(F.col(text)).alias("score"),
     )
     return rows.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+
+def without_low_quality(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the network accepts, with all their columns."""
+    return docs.where(_scored(net)(F.col(text)) >= THRESHOLD)

@@ -44,7 +44,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def blocks_of_copies(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Each different row once per block of its copies: ``cols``, ``block``, ``copies``.
+    """Each different row once per block of its copies: ``cols``, ``rows`` that are equal, ``block``, ``copies``.
 
     Copies are summed within each task before they are shuffled; one row that makes up a third
     of the table becomes many blocks, which later shuffles deal out.
@@ -54,7 +54,7 @@ def blocks_of_copies(df: DataFrame, cols: list[str]) -> DataFrame:
     blocks = counted.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
     left = F.col("rows") - F.col("block") * COPIES_PER_BLOCK
     copies = F.least(left, F.lit(COPIES_PER_BLOCK).cast("bigint"))
-    return blocks.select(*cols, "block", copies.alias("copies"))
+    return blocks.select(*cols, "rows", "block", copies.alias("copies"))
 
 
 def total_bytes(df: DataFrame, text: str) -> int:

@@ -331,19 +331,25 @@ def without_near_duplicates(
     id stay once.
     """
     found = near_duplicates(docs, key, text)
-    ranked = found.select(
-        "group", F.struct(F.col("doc_id").isNull(), "doc_id", "text_md5").alias("row")
+    rows = found.groupBy("group", "doc_id", "text_md5").agg(F.count("*").alias("rows"))
+    rows = rows.withColumn("row", F.struct(F.col("doc_id").isNull(), "doc_id", "text_md5"))
+    first = rows.where("group IS NOT NULL").groupBy("group").agg(F.min("row").alias("first"))
+    first = first.withColumnRenamed("group", "g")
+    rows = rows.join(first, rows["group"] == first["g"], "left")
+    # A document without n-grams is the first of its own group.
+    stays = F.coalesce(F.col("row") == F.col("first"), F.lit(True))
+    rows = rows.select(
+        F.col("doc_id").alias("_id"), F.col("text_md5").alias("_md5"), "rows", stays.alias("stays")
     )
-    grouped = ranked.where("group IS NOT NULL").groupBy("group").agg(F.min("row").alias("row"))
-    alone = ranked.where("group IS NULL").distinct()
-    stay = grouped.select("row").unionAll(alone.select("row"))
-    stay = written(
-        stay.select(F.col("row.doc_id").alias("_stay_id"), F.col("row.text_md5").alias("_stay_md5")),
-        "stay",
-    )
-    marked = docs.withColumn("_text_md5", F.md5(F.col(text).cast("binary")))
-    same = F.col(key).eqNullSafe(F.col("_stay_id")) & F.col("_text_md5").eqNullSafe(
-        F.col("_stay_md5")
-    )
-    kept = marked.join(stay, same, "left_semi")
-    return kept.dropDuplicates([key, "_text_md5"]).select(*docs.columns)
+    # Most documents stay and occur once: only the others are listed, and looked up.
+    listed = written(rows.where("rows > 1 OR NOT stays"), "listed")
+    md5 = F.md5(docs[text].cast("binary"))
+
+    def same(table: DataFrame):
+        return docs[key].eqNullSafe(table["_id"]) & md5.eqNullSafe(table["_md5"])
+
+    single = docs.join(listed, same(listed), "left_anti")
+    several = written(listed.where("stays"), "several")
+    once = docs.join(several, same(several), "left_semi")
+    once = once.withColumn("_md5", F.md5(F.col(text).cast("binary"))).dropDuplicates([key, "_md5"])
+    return single.unionAll(once.select(docs.columns))

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordwood.llm.common import BUCKET_DIGITS, WORD, blocks_of_copies, shown, written
@@ -53,6 +53,11 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, epo
     return levels.select("source", "source_size", target.alias("target"))
 
 
+def _random(key: Column, text_md5: Column, block: Column, seed: int) -> Column:
+    """The place of a document in its source: a digest, the same in every run."""
+    return F.md5(F.concat_ws("/", shown(key), shown(text_md5), shown(block), F.lit(str(seed))))
+
+
 def mix(
     docs: DataFrame,
     key: str = "doc_id",
@@ -67,10 +72,11 @@ def mix(
     """What the mix takes of each document.
 
     Returns one row per row of ``docs``: ``doc_id, source, text_md5, size, source_size, target,
-    taken, times``. ``size`` is the number of words. ``taken`` counts words, repeats included:
+    taken, times, rounds, random, rows``. ``size`` is the number of words. ``taken`` counts words, repeats included:
     whole epochs, and a last one up to the exact budget, so one document of a source is cut
     inside. With ``whole`` documents stay whole: the one at the cut is taken if at least half
-    of it lies within the budget. ``times`` is how often the document occurs, in part or whole.
+    of it lies within the budget. ``times`` is how often the document occurs, in part or whole, ``rounds`` of these in
+    epochs of the whole source; ``random`` is its key, ``rows`` how many rows are equal to it.
 
     Null text has no words; null sources are one source, the last; null ids are ids. Repeated
     rows are documents of their own, next to each other in the order. An empty table gives an
@@ -83,8 +89,8 @@ def mix(
         F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
     )
     blocks = blocks_of_copies(sized, ["doc_id", "source", "text_md5", "size"])
-    parts = [shown(F.col(c)) for c in ("doc_id", "text_md5", "block")]
-    blocks = blocks.withColumn("random", F.md5(F.concat_ws("/", *parts, F.lit(str(seed)))))
+    random = _random(F.col("doc_id"), F.col("text_md5"), F.col("block"), seed)
+    blocks = blocks.withColumn("random", random)
     # The texts are read once: what follows works on this table.
     blocks = written(blocks, "mix")
     blocks = blocks.withColumn("bucket", F.substring("random", 1, BUCKET_DIGITS))
@@ -139,23 +145,50 @@ def mix(
         "target",
         taken.cast("bigint").alias("taken"),
         (F.col("rounds") + more.cast("int")).cast("int").alias("times"),
+        F.col("rounds").cast("int").alias("rounds"),
+        "random",
+        "rows",
     )
 
 
-def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+def mixed_documents(
+    docs: DataFrame,
+    key: str = "doc_id",
+    source: str = "source",
+    text: str = "text",
+    seed: int = 42,
+    **how,
+) -> DataFrame:
     """The mixed corpus: the rows of ``docs``, each as often as the mix takes it, all columns.
 
-    Documents stay whole. Rows with equal id and text are made from the first one's columns.
+    Documents stay whole. In the order of the mix what is taken ends at one key per source, so
+    these keys are all that the documents are compared to, and no text is moved. Rows that are
+    there several times share one key; how often they are taken is looked up row by row.
     """
-    plan = mix(docs, key=key, text=text, whole=True, **how)
-    times = plan.groupBy("doc_id", "text_md5").agg(F.sum("times").alias("times"))
-    times = times.where("times > 0").toDF("_mix_id", "_mix_md5", "_mix_times")
-    marked = docs.withColumn("_mix_md5_of", F.md5(F.col(text).cast("binary")))
-    # Only rows that occur more than once need a shuffle of their own.
-    same = F.col(key).eqNullSafe(F.col("_mix_id")) & F.col("_mix_md5_of").eqNullSafe(
-        F.col("_mix_md5")
+    plan = written(mix(docs, key, source, text, seed=seed, whole=True, **how), "mix-plan")
+    single = plan.where("rows = 1").groupBy("source").agg(
+        F.min("rounds").alias("_rounds"),
+        F.max(F.when(F.col("times") > F.col("rounds"), F.col("random"))).alias("_last"),
+    )
+    single = written(single.withColumnRenamed("source", "_source"), "mix-cuts")
+    several = plan.where("rows > 1").groupBy("doc_id", "source", "text_md5").agg(
+        F.sum("times").alias("_times")
     )
-    one_each = marked.dropDuplicates([key, "_mix_md5_of"])
-    taken = one_each.join(times, same)
-    copies = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_mix_times")))
-    return taken.withColumn("_mix_copy", copies).select(*docs.columns)
+    several = written(several.toDF("_id", "_source", "_md5", "_times"), "mix-several")
+    md5 = F.md5(docs[text].cast("binary"))
+
+    def same(table: DataFrame):
+        return (
+            docs[key].eqNullSafe(table["_id"])
+            & docs[source].eqNullSafe(table["_source"])
+            & md5.eqNullSafe(table["_md5"])
+        )
+
+    alone = docs.join(several, same(several), "left_anti")
+    cut = alone.join(single, alone[source].eqNullSafe(single["_source"]))
+    inside = F.coalesce(_random(F.col(key), md5, F.lit(0), seed) <= F.col("_last"), F.lit(False))
+    cut = cut.withColumn("_times", (F.col("_rounds") + inside.cast("int")).cast("bigint"))
+    once = docs.join(several, same(several)).dropDuplicates([key, source, "_md5"])
+    copies = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_times")))
+    taken = cut.select(*docs.columns, "_times").unionAll(once.select(*docs.columns, "_times"))
+    return taken.where("_times > 0").withColumn("_copy", copies).select(*docs.columns)

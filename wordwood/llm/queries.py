@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordwood.llm import classifier, html, jaccard, leaks, mixing, repeats, rules, sharding
+from wordwood.llm import (
+    classifier,
+    html,
+    jaccard,
+    leaks,
+    licences,
+    lm,
+    mixing,
+    repeats,
+    rules,
+    sharding,
+)
+from wordwood.llm.common import WORD
 from wordwood.sources import read_dataset
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +53,12 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return best.withColumn("containment", F.col("shared") / F.col("n_shingles"))
 
 
+@query
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much more all documents are like the conversations than like each other."""
+    return lm.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "conversations"))
+
+
 @query
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents into eight shards, and into nine."""
@@ -73,6 +91,26 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.classify(docs, net)
 
 
+@query
+def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licences of all documents, as files of their source and language.
+
+    Documents of at most 60 words that speak of a licence count as the licence files of their
+    source and language; the others are in folders of 500 ids below. So folders inherit.
+    """
+    docs = table(spark, sf_dir, "documents")
+    short = F.regexp_count("text", F.lit(WORD)) <= 60
+    is_licence = short & F.rlike("text", F.lit(licences.STATEMENT))
+    folder = F.when(~is_licence, F.floor(F.col("doc_id") / 500).cast("string"))
+    files = docs.select(
+        "doc_id",
+        "text",
+        is_licence.alias("is_licence"),
+        F.concat_ws("/", "source", "lang", folder, "doc_id").alias("path"),
+    )
+    return licences.scan(files)
+
+
 @query
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The group of near duplicates of all documents."""
