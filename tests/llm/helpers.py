@@ -1,0 +1,46 @@
+"""Small tables that have every odd case, and plain versions of what is computed over them."""
+
+from __future__ import annotations
+
+import random
+
+# Columns that an operator may use inside.
+CLASHING = ["size", "rows", "block", "copies", "random", "bucket", "node", "label", "hash", "raw"]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def table(spark, rows, extra=True):
+    """``rows`` of (doc_id, text, source) as documents, with columns of clashing names."""
+    full = [(i, t, "en", s, None if t is None else len(t)) for i, t, s in rows]
+    df = spark.createDataFrame(full, SCHEMA).repartition(3)
+    for name in CLASHING if extra else []:
+        df = df.selectExpr("*", f"'clash' AS {name}")
+    return df
+
+
+def vocabulary(seed, n=400):
+    rng = random.Random(seed)
+    return ["".join(rng.choices("abcdefghijkl", k=rng.randint(2, 8))) for _ in range(n)]
+
+
+def prose(rng, words, n):
+    return " ".join(rng.choices(words, k=n))
+
+
+def odd_rows():
+    """Nulls in each column, empty and white texts, ties, repeated rows, one very long text."""
+    long = prose(random.Random(5), vocabulary(5), 30_000)
+    return [
+        (1, "one two three four five six", "b"),
+        (1, "one two three four five six", "b"),
+        (2, "one two three four five six", "a"),
+        (2, "another text under the same id", "a"),
+        (None, "no id here at all, none", "a"),
+        (None, None, None),
+        (3, None, "a"),
+        (4, "", "b"),
+        (5, " \t\n\x0b\x0c\r ", None),
+        (6, "Word", None),
+        (7, long, "c"),
+        (8, "Été 日本語 \U0001f600 naïve word\x00nul", "c"),
+    ]

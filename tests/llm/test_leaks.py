@@ -1,0 +1,81 @@
+import random
+
+from llm.helpers import SCHEMA, odd_rows, prose, table, vocabulary
+
+from wordwood.llm import leaks
+
+ITEMS = "item_id long, text string, shingles string"
+
+
+def shingles(text, width=5):
+    w = (text or "").encode().lower().split()
+    n = min(width, len(w))
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if n else set()
+
+
+def plain(docs, items):
+    found = set()
+    for i, t, _ in docs:
+        for j, x in items:
+            want = shingles(x)
+            if not want:
+                continue
+            have = shingles(t) if len((x or "").split()) >= 5 else shingles(t, len(x.split()))
+            if 100 * len(want & have) >= 80 * len(want):
+                found.add((i, j))
+    return found
+
+
+def run(spark, docs, items):
+    bench = spark.createDataFrame([(*x, "clash") for x in items], ITEMS)
+    got = leaks.find_leaks(table(spark, docs), bench).collect()
+    return {(r.doc_id, r.item_id) for r in got}
+
+
+def test_against_plain(spark):
+    rng, words = random.Random(3), vocabulary(3)
+    items = [(i, prose(rng, words, rng.randint(1, 60))) for i in range(40)]
+    items += [(40, None), (41, ""), (42, "  \n"), (None, prose(rng, words, 12)), (1, "again")]
+    docs = []
+    for i in range(150):
+        text = prose(rng, words, rng.randint(0, 300)).split()
+        for _ in range(rng.randint(0, 2)):
+            item = (rng.choice(items)[1] or "").split()
+            for _ in range(rng.randint(0, 3)):
+                if item:
+                    item[rng.randrange(len(item))] = rng.choice(words).upper()
+            at = rng.randint(0, len(text))
+            text[at:at] = [w.upper() if rng.random() < 0.2 else w for w in item]
+        docs.append((i, " ".join(text), "a"))
+    docs += odd_rows()
+    want = plain(docs, items)
+    assert len(want) > 50
+    assert run(spark, docs, items) == want
+
+
+def test_the_threshold_is_met_exactly(spark):
+    # 14 words are 10 shingles; a document with the first 12 words has 8 of them, with 11, 7.
+    words = [f"w{i}" for i in range(14)]
+    docs = [(1, " ".join(words[:12]), "a"), (2, " ".join(words[:11]), "a")]
+    assert run(spark, docs, [(9, " ".join(words))]) == {(1, 9)}
+
+
+def test_empty_tables(spark):
+    items = spark.createDataFrame([], ITEMS)
+    assert leaks.find_leaks(table(spark, odd_rows()), items).collect() == []
+    some = spark.createDataFrame([(1, "a b c d e f", "")], ITEMS)
+    assert leaks.find_leaks(spark.createDataFrame([], SCHEMA), some).collect() == []
+
+
+def test_without_leaks_keeps_rows_and_columns(spark):
+    item = "one two three four five six"
+    df = table(spark, odd_rows())
+    out = leaks.without_leaks(df, spark.createDataFrame([(1, item, "")], ITEMS))
+    assert out.columns == df.columns
+    want = sorted((str(i), t or "") for i, t, _ in odd_rows() if t != item)
+    assert sorted((str(r.doc_id), r.text or "") for r in out.collect()) == want
+
+
+def test_a_large_benchmark_is_joined_by_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(leaks, "BROADCAST_HASHES", 0)
+    test_the_threshold_is_met_exactly(spark)
