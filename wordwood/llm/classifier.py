@@ -29,7 +29,7 @@ REPEAT_GRAM, REPEAT_BACK = 4, 24
 
 # The bounds of the training sample: rows of each label, and bytes of a text.
 SAMPLE_ROWS, SAMPLE_BYTES = 600, 32_768
-EPOCHS, BATCH, RATE, DECAY = 10, 48, 0.01, 1e-4
+EPOCHS, LEAST_STEPS, BATCH, RATE, DECAY = 10, 300, 48, 0.01, 1e-4
 
 # Scored at a time; bounds the memory of a task whatever the length of a text.
 CHUNKS_AT_ONCE = 256
@@ -122,9 +122,11 @@ def train(texts: Sequence[str], labels: Sequence[int], seed: int = 42) -> Networ
     moments = [(np.zeros_like(w), np.zeros_like(w)) for w in weights]
     parts = [chunked(t.encode()) for t in texts]
     step = 0
-    for epoch in range(EPOCHS):
+    # A small sample is gone through more often.
+    epochs = max(EPOCHS, -(-LEAST_STEPS * BATCH // len(parts)))
+    for epoch in range(epochs):
         order = rng.permutation(len(parts))
-        rate = RATE * 0.5 * (1 + np.cos(np.pi * epoch / EPOCHS))
+        rate = RATE * 0.5 * (1 + np.cos(np.pi * epoch / epochs))
         for first in range(0, len(order), BATCH):
             rows = order[first : first + BATCH]
             step += 1

@@ -20,7 +20,10 @@ from pyspark.sql import types as T
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<rest>(?:[^>\"'<]++|\"[^\"<]*+\"|'[^'<]*+'|[\"'])*+)>"
+    r"|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)"
+    r"(?P<rest>(?:[^>\"']++|\"[^\"]{0,8192}+\"|'[^']{0,8192}+')*+)>"
+    # Quotes that do not close, or not soon, are no quotes.
+    r"|<(?P<end2>/?)(?P<tag2>[A-Za-z][^\s/>]*)(?P<rest2>[^>]*)>"
     r"|<[!?/][^>]*(?:>|\Z)"
     r"|<[A-Za-z][^<>]*\Z",
     re.S,
@@ -90,14 +93,15 @@ class Page:
             if not found:
                 break
             at = found.end()
-            name = (found["tag"] or "").lower()
+            name = (found["tag"] or found["tag2"] or "").lower()
+            rest = found["rest"] or found["rest2"] or ""
             if not name:
                 continue
-            if found["end"]:
+            if found["end"] or found["end2"]:
                 self._close(name)
                 continue
-            self._open(name, found["rest"])
-            if name in RAW and not found["rest"].endswith("/"):
+            self._open(name, rest)
+            if name in RAW and not rest.endswith("/"):
                 end = re.compile(f"</{name}", re.I).search(html, at)
                 if end is None:
                     break
