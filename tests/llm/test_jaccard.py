@@ -1,0 +1,138 @@
+import random
+from collections import Counter, defaultdict
+
+import pytest
+from llm.helpers import CLASHING, SCHEMA, odd_rows, prose, table, vocabulary
+from pyspark.sql import functions as F
+
+from wordwood.llm import jaccard
+from wordwood.llm.components import components
+
+
+def shingles(text):
+    w = (text or "").encode().lower().split()
+    n = min(5, len(w))
+    return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if n else frozenset()
+
+
+def plain(rows):
+    """(doc_id, set size, component id) of each row, from all pairs of sets."""
+    sets = [shingles(t) for _, t, *_ in rows]
+    different = [s for s in dict.fromkeys(sets) if s]
+    root = {s: s for s in different}
+
+    def find(s):
+        while root[s] is not s:
+            s = root[s]
+        return s
+
+    owners = defaultdict(list)
+    for s in different:
+        near = Counter(o for g in s for o in owners[g])
+        for o, common in near.items():
+            if 100 * common >= 80 * (len(s) + len(o) - common):
+                root[find(s)] = find(o)
+        for g in s:
+            owners[g].append(s)
+    smallest = {}
+    for (i, *_), s in zip(rows, sets, strict=True):
+        if s and i is not None:
+            smallest[find(s)] = min(i, smallest.get(find(s), i))
+    return [
+        (i, len(s), smallest.get(find(s)) if s else i)
+        for (i, *_), s in zip(rows, sets, strict=True)
+    ]
+
+
+def changed(rng, words, text, times):
+    w = text.split()
+    for _ in range(times):
+        w[rng.randrange(len(w))] = rng.choice(words)
+    return " ".join(w)
+
+
+def near_rows(seed):
+    """Copies, near copies, chains of them, shared passages, texts just at the threshold."""
+    rng, words = random.Random(seed), vocabulary(seed, 2000)
+    texts = []
+    passage = prose(rng, words, 60)
+    for _ in range(12):
+        base = prose(rng, words, rng.randint(20, 200))
+        texts += [base] * rng.randint(0, 3)
+        texts += [changed(rng, words, base, rng.randint(0, 5)) for _ in range(rng.randint(0, 8))]
+        texts += [base.upper(), base.replace(" ", "\n\t")]
+    big = prose(rng, words, 150)
+    texts += [changed(rng, words, big, rng.randint(1, 4)) for _ in range(60)]
+    chain = prose(rng, words, 120)
+    for _ in range(25):
+        chain = changed(rng, words, chain, 2)
+        texts.append(chain)
+    texts += [prose(rng, words, rng.randint(0, 80)) + " " + passage for _ in range(40)]
+    texts += [passage, passage + " x", "x " + passage, "a", "a b", "a b c d", "A B C D", "a b c d e"]
+    # 14 and 12 words: 10 shingles, of which 8 are shared, is just enough; 7 is not.
+    w = [f"t{i}" for i in range(14)]
+    texts += [" ".join(w), " ".join(w[:12]), "z " + " ".join(w[2:9])]
+    rng.shuffle(texts)
+    return [(i * 3 + 1000 if i % 17 else None, t, "a") for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_against_all_pairs(spark, seed):
+    rows = near_rows(seed) + (odd_rows() if seed == 1 else [])
+    got = jaccard.near_duplicates(table(spark, rows)).collect()
+    want = plain(rows)
+    assert len({c for _, _, c in want}) < len(rows) * 0.7
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter(want)
+
+
+def test_nothing_is_found_by_hubs_alone(spark, monkeypatch):
+    """The exact search by prefixes finds every link, also where no hub does."""
+    monkeypatch.setattr(jaccard, "_hub_pairs", lambda parts: parts.select(
+        F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
+    rows = near_rows(3)
+    got = jaccard.near_duplicates(table(spark, rows)).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter(plain(rows))
+
+
+def test_empty_table(spark):
+    assert jaccard.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
+    assert jaccard.without_near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_one_of_each_group_stays(spark):
+    rows = near_rows(1) + odd_rows()
+    df = table(spark, rows)
+    out = jaccard.without_near_duplicates(df)
+    assert out.columns == df.columns and set(CLASHING) <= set(out.columns)
+    kept = [(r.doc_id, r.text) for r in out.collect()]
+    # Groups by link, named by one of their sets; documents without shingles by id and text.
+    named = defaultdict(list)
+    for (i, t, _), (_, n, c) in zip(rows, plain(rows), strict=True):
+        named[c if n and c is not None else ("alone", i, t)].append((i, t))
+    ids = Counter(i for i, _ in kept if i is not None)
+    assert len(kept) == len({k for k in named if not isinstance(k, tuple)}) + len(
+        {k for k in named if isinstance(k, tuple)}
+    )
+    for k, own in named.items():
+        assert sum(x in own for x in kept) >= 1
+        if not isinstance(k, tuple):
+            assert ids[k] >= 1
+
+
+def test_components(spark):
+    rng = random.Random(1)
+    edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 200)]
+    edges += [(rng.randint(300, 400), rng.randint(300, 400)) for _ in range(60)]
+    nodes = spark.range(500).toDF("node")
+    got = {r.node: r.label for r in components(nodes, spark.createDataFrame(edges, "a long, b long")).collect()}
+    near = defaultdict(set)
+    for a, b in edges:
+        near[a].add(b)
+        near[b].add(a)
+    for n in range(500):
+        seen, todo = {n}, [n]
+        while todo:
+            for m in near[todo.pop()] - seen:
+                seen.add(m)
+                todo.append(m)
+        assert got[n] == min(seen)
