@@ -104,7 +104,7 @@ def main() -> None:
         op.stage_summary(files, ["generate", "count"]).orderBy("size").show(100)
         print("forests")
         label = size_label(F.col("size")).alias("label")
-        sweep.select(label, "trees", "seconds", "accuracy_pct", "ok").show(100)
+        sweep.select(label, "stage", "trees", "seconds", "accuracy_pct", "ok").show(100)
         spark.stop()
 
 

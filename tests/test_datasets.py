@@ -1,4 +1,5 @@
 import glob
+import os
 import subprocess
 import sys
 
@@ -9,6 +10,7 @@ from helpers import column
 from pyspark.errors import AnalysisException
 from pyspark.sql import types as T
 
+from wordwood import operators as op
 from wordwood import sources as src
 from wordwood.functions import files_for
 from wordwood.sources import datasets, scratch
@@ -76,14 +78,32 @@ def test_ensure_replaces_an_aborted_write(spark, tmp_path):
     assert created and df.count() == 3
 
 
-def test_ensure_does_not_hide_other_failures(spark, tmp_path):
-    """A broken dataset is not a missing one: it must not be overwritten."""
+def test_half_a_dataset_is_not_a_dataset(spark, tmp_path):
+    """Neither read as whole nor overwritten: an error that names the folder."""
+    path = tmp_path / "data"
+    src.write_dataset(spark.range(100), str(path), 4)
+    (path / "_SUCCESS").unlink()
+    os.remove(files(path)[0])
+    with pytest.raises(ValueError, match="_SUCCESS"):
+        src.ensure_dataset(spark, str(path), lambda: spark.range(3))
+    assert len(files(path)) == 3
+
+
+def test_ensure_looks_at_the_rows(spark, tmp_path):
+    path = str(tmp_path / "data")
+    src.ensure_dataset(spark, path, lambda: spark.range(100), 4, rows=100)
+    assert src.ensure_dataset(spark, path, lambda: spark.range(100), rows=100)[1] is False
+    os.remove(files(path)[0])
+    with pytest.raises(ValueError, match="75 rows, not 100"):
+        src.ensure_dataset(spark, path, lambda: spark.range(100), rows=100)
+
+
+def test_ensure_does_not_overwrite_other_files(spark, tmp_path):
     path = tmp_path / "data"
     path.mkdir()
     (path / "part-0.parquet").write_bytes(b"this is not parquet")
-    with pytest.raises(Exception) as failure:
+    with pytest.raises(ValueError, match="foreign"):
         src.ensure_dataset(spark, str(path), lambda: spark.range(3))
-    assert not isinstance(failure.value, AssertionError)
     assert (path / "part-0.parquet").read_bytes() == b"this is not parquet"
 
 
@@ -132,11 +152,15 @@ def test_text_round_trip(spark, tmp_path):
     assert sorted(column(src.read_lines(spark, path, 3), "value")) == sorted(lines)
 
 
-def test_spread_only_touches_few_splits(spark, sf_dir):
-    one = src.read_dataset(spark, f"{sf_dir}/documents.parquet")
-    assert src.spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    many = spark.range(0, 100, 1, 20)
-    assert src.spread(many) is many
+def test_a_scan_is_not_shuffled(spark, sf_dir, tmp_path):
+    """The number of cores or splits changes no plan."""
+    path = str(tmp_path / "text")
+    src.write_lines(spark.range(100).selectExpr("'a b' AS value"), path, 2)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan(src.read_lines(spark, path))
+    documents = src.read_dataset(spark, f"{sf_dir}/documents.parquet")
+    assert plan(op.word_counts(documents)).count("Exchange") == 1
+    assert "RoundRobin" not in plan(op.word_counts(documents))
 
 
 def test_scratch_is_in_the_folder_of_the_session(spark):

@@ -118,9 +118,13 @@ def test_document_features(spark):
 
 def test_sweep(spark, tmp_path):
     got = op.forest_sweep(spark, str(tmp_path), [500, 1000], trees=(5, 10))
-    assert [(r["size"], r["trees"]) for r in got.collect()] == [
-        (500, 5), (500, 10), (1000, 5), (1000, 10),
+    assert [(r["size"], r["stage"], r["trees"]) for r in got.collect()] == [
+        (500, "generate", None), (500, "train", 5), (500, "train", 10),
+        (1000, "generate", None), (1000, "train", 5), (1000, "train", 10),
     ]
+    assert got.schema.fields[:7] == op.RUN_LOG_SCHEMA.fields
+    summary = op.stage_summary(got.drop("trees"), ["generate", "train"], agg="max").collect()
+    assert all(r["generate"] > 0 and r["train"] > 0 and r["other"] is None for r in summary)
     assert set(column(got, "ok")) == {True}
     assert sorted(p.name for p in tmp_path.iterdir()) == ["data_1000", "data_500"]
 
@@ -128,13 +132,13 @@ def test_sweep(spark, tmp_path):
 def test_sweep_as_a_matrix(spark, tmp_path):
     """A sweep is a run log as well: accuracy by size and number of trees."""
     sweep = op.forest_sweep(spark, str(tmp_path), [600], trees=(3, 6)).cache()
-    got = op.run_matrix(sweep, "size", "trees", [3, 6], "accuracy_pct", "trees_").collect()
+    got = op.run_matrix(sweep.where("stage = 'train'"), "size", "trees", [3, 6], "accuracy_pct", "trees_")
     want = {r["trees"]: r["accuracy_pct"] for r in sweep.collect()}
-    assert list(map(tuple, got)) == [(600, want[3], want[6])]
+    assert list(map(tuple, got.collect())) == [(600, want[3], want[6], None)]
 
 
 def test_sweep_on_all_rows(spark, tmp_path):
-    row = op.forest_sweep(spark, str(tmp_path), [400], trees=(3,), test=None).first()
+    row = op.forest_sweep(spark, str(tmp_path), [400], trees=(3,), test=None).where("stage = 'train'").first()
     assert (row["n_train"], row["n_test"], row["accuracy_pct"]) == (400, 0, None)
 
 
@@ -143,6 +147,35 @@ def test_failed_run_is_marked(spark, tmp_path, monkeypatch):
         raise PySparkException("lost\nmore")
 
     monkeypatch.setattr(forest, "train_forest", fail)
-    row = op.forest_sweep(spark, str(tmp_path), [300], trees=(3,)).first()
+    row = op.forest_sweep(spark, str(tmp_path), [300], trees=(3,)).where("stage = 'train'").first()
     assert (row["ok"], row["error"]) == (False, "lost")
     assert row["seconds"] is row["accuracy_pct"] is row["n_test"] is None
+
+
+def test_a_dataset_that_cannot_be_made_is_a_row(spark, tmp_path):
+    def build(n):
+        if n == 300:
+            raise PySparkException("no data")
+        return src.gen_classification(spark, n)
+
+    got = op.forest_sweep(spark, str(tmp_path), [200, 300, 400], trees=(3,), build=build).collect()
+    assert [(r["size"], r["stage"], r["ok"]) for r in got] == [
+        (200, "generate", True), (200, "train", True),
+        (300, "generate", False), (300, "train", False),
+        (400, "generate", True), (400, "train", True),
+    ]
+    assert {r["error"] for r in got if not r["ok"]} == {"no data"}
+
+
+def test_a_constant_prediction_does_not_beat_the_majority(spark, model, split):
+    rows = split.select("label", F.lit(1.0).alias("prediction"))
+    assert op.beats_majority(rows).first()["beats_majority"] is False
+    good = op.beats_majority(op.score(model, split)).first()
+    assert good["beats_majority"] is True and 49 < good["majority_pct"] < 55 and good["n"] == 20_000
+
+
+def test_each_pass_reads_one_part(spark):
+    split = op.written_split(src.gen_classification(spark, 500))
+    plan = split.where("part = 'train'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "md5" not in plan and "part#" in plan.split("PartitionFilters")[1]
+    assert split.count() == 500

@@ -1,12 +1,12 @@
 """Every registered query against its SQL, over whole tables."""
 
 import math
-import re
 
 import pytest
 from conftest import TESTDATA
 
 import __spark_entry__ as contract
+from wordwood.plans import ORACLE_SQL, QUERIES
 
 duckdb = pytest.importorskip("duckdb")
 
@@ -14,8 +14,7 @@ TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
 ).split()
-QUERIES, SQL = contract.queries(), contract.oracle_sql()
-FORESTS = {name for name in QUERIES if re.search("forest|predictions", name)}
+SQL = ORACLE_SQL
 
 
 @pytest.fixture(scope="module")
@@ -58,48 +57,11 @@ def test_equals_sql(spark, duck, tables, name):
     assert got == want
 
 
-def test_only_forests_lack_sql():
-    assert set(QUERIES) - set(SQL) == FORESTS
-    assert set(SQL) <= set(QUERIES)
+def test_every_query_has_its_sql():
+    assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(contract.queries()) and set(SQL) <= set(contract.oracle_sql())
 
 
 def test_entry(spark):
     assert contract.entry(spark).columns == ["word", "n"]
     assert contract.entry(spark).count() == 10
-
-
-def test_doc_quality_forest(spark, tables):
-    row = QUERIES["doc_quality_forest"](spark, tables).first()
-    labels = spark.read.parquet(f"{tables}/labels.parquet")
-    assert row["n_train"] + row["n_test"] == labels.count()
-    majority = labels.selectExpr("100 * greatest(avg(quality), 1 - avg(quality)) AS m").first()["m"]
-    assert row["accuracy_pct"] > majority + 5
-
-
-def test_doc_quality_predictions(spark, tables):
-    got = QUERIES["doc_quality_predictions"](spark, tables)
-    n = spark.read.parquet(f"{tables}/labels.parquet").count()
-    assert got.count() == math.ceil(n / 5)
-    assert got.where("prediction NOT IN (0, 1) OR probability_1 NOT BETWEEN 0 AND 1").count() == 0
-    assert got.where("label = prediction").count() > 0.9 * got.count()
-
-
-def test_tiled_forest(spark, tables):
-    row = QUERIES["tiled_forest"](spark, tables).first()
-    assert row["n_train"] + row["n_test"] == spark.read.parquet(f"{tables}/orders.parquet").count()
-    assert row["accuracy_pct"] > 95
-
-
-def test_synthetic_forest(spark, tables):
-    assert QUERIES["synthetic_forest"](spark, tables).first()["accuracy_pct"] > 88
-
-
-def test_forest_sweep(spark, tables):
-    got = QUERIES["forest_sweep"](spark, tables).collect()
-    assert [(r["size"], r["trees"]) for r in got] == [
-        (1500, 20), (1500, 30), (15000, 20), (15000, 30),
-    ]
-    for r in got:
-        assert r["ok"] and r["error"] is None and r["seconds"] > 0
-        assert r["n_train"] + r["n_test"] == r["size"]
-        assert r["accuracy_pct"] > 85

@@ -24,21 +24,41 @@ def test_failed_runs_are_unknown_not_zero(log):
 
 def test_stage_summary(log):
     got = op.stage_summary(log.where("cores = 16"), ["generate", "upload"]).orderBy("size")
-    assert got.columns == ["size", "generate", "upload"]
-    assert list(map(tuple, got.collect())) == [(100_000, 1.5, 2.0), (200_000, 3.0, None)]
+    assert got.columns == ["size", "generate", "upload", "other"]
+    assert list(map(tuple, got.collect())) == [(100_000, 1.5, 2.0, None), (200_000, 3.0, None, None)]
+    some = op.stage_summary(log.where("cores = 16"), ["generate"]).orderBy("size")
+    assert list(map(tuple, some.collect())) == [(100_000, 1.5, 2.0), (200_000, 3.0, None)]
 
 
 def test_matrix_has_its_columns_whatever_the_data(log):
     runs = log.where("stage = 'generate'")
     got = op.run_matrix(runs, "size", "cores", [16, 24, 30], prefix="c").orderBy("size")
-    assert got.columns == ["size", "c16", "c24", "c30"]
+    assert got.columns == ["size", "c16", "c24", "c30", "cother"]
     assert list(map(tuple, got.collect())) == [
-        (100_000, 1.5, 1.0, None), (200_000, 3.0, None, None),
+        (100_000, 1.5, 1.0, None, None), (200_000, 3.0, None, None, None),
     ]
-    by_cores = op.run_matrix(runs, "cores", "size", [100_000, 200_000]).orderBy("cores")
+    by_cores = op.run_matrix(runs, "cores", "size", [100_000]).orderBy("cores")
     assert list(map(tuple, by_cores.collect())) == [(16, 1.5, 3.0), (24, 1.0, None)]
 
 
+@pytest.mark.parametrize(
+    ("agg", "want"), [("sum", 182.0), ("mean", 91.0), ("min", 90.0), ("max", 92.0)]
+)
+def test_aggregates(spark, agg, want):
+    runs = frame(spark, [(1, 90, True), (1, 92, True), (2, 5, True), (2, 7, False), (3, 1, None)])
+    got = {r[0]: r[1] for r in op.run_matrix(runs, "size", "cores", [1], agg=agg).collect()}
+    # One failed run, or one of which nothing is known, makes the cell unknown.
+    assert got == {1: want, 2: None, 3: None}
+    with pytest.raises(ValueError, match="agg"):
+        op.run_matrix(runs, "size", "cores", [1], agg="median")
+
+
+def test_a_failed_run_among_good_ones_decides_nothing(spark):
+    a = frame(spark, [(1, 10, True)])
+    b = frame(spark, [(1, 4, True), (1, 99, False)])
+    assert tuple(op.speedup(a, b).first()) == (1, 10.0, None, None, None)
+
+
 def test_matrix_shuffles_once(log):
     plan = op.run_matrix(log, values=[16, 24])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
@@ -70,7 +90,9 @@ def test_zero_seconds_do_not_divide(spark):
 def test_repeated_runs_do_not_multiply(spark):
     a = frame(spark, [(1, 1, True)] * 50)
     got = op.speedup(a, a, names=("a", "b")).collect()
-    assert list(map(tuple, got)) == [(1, 50.0, 50.0, 1.0, "a")]
+    assert list(map(tuple, got)) == [(1, 1.0, 1.0, 1.0, "a")]
+    often = op.speedup(a, frame(spark, [(1, 0.5, True)]), agg="sum").first()
+    assert tuple(often) == (1, 50.0, 0.5, 100.0, "spark")
 
 
 @pytest.mark.parametrize(

@@ -6,6 +6,7 @@ from helpers import as_dict, column
 from pyspark.sql import functions as F
 
 from wordwood import operators as op
+from wordwood.functions import row_hash
 from wordwood.operators import sampling
 
 
@@ -71,6 +72,27 @@ def test_exact_split_is_exact(ids, test):
     assert got.where("part = 'train'").count() == 5000 - n
 
 
+def test_columns_of_the_same_names_are_kept(spark):
+    df = spark.range(50).selectExpr("id", "'mine' AS _hash", "id AS _bucket", "2 AS _rank", "3 AS _start")
+    got = op.permute(df, "id")
+    assert got.columns == [*df.columns, "pos"]
+    assert got.drop("pos").exceptAll(df).count() == 0
+    assert as_dict(got.select("id", "pos")) == as_dict(op.permute(df.select("id"), "id"))
+
+
+def test_composite_keys_do_not_collide(spark):
+    rows = [("a-b", "c"), ("a", "b-c"), (None, "1"), ("1", None), (None, None), ("", ""), ("-", None)]
+    df = spark.createDataFrame(rows, "x string, y string")
+    assert df.select(row_hash(["x", "y"], 1)).distinct().count() == len(rows)
+    assert op.exact_split(df, ["x", "y"], 0.5).where("part = 'test'").count() == 4
+
+
+def test_only_a_number_travels_with_the_rows(ids):
+    plan = op.permute(ids, "id")._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("RepartitionByExpression", 1)
+    assert "md5" in above and "_hash" not in below.split("Aggregate")[0]
+
+
 @pytest.mark.parametrize("leaf", [1, 3])
 def test_exact_split_goes_down_several_levels(ids, monkeypatch, leaf):
     monkeypatch.setattr(sampling, "SPLIT_DIGITS", 1)
@@ -111,3 +133,5 @@ def test_impossible_shares(ids, test):
 def test_preview(spark):
     df = spark.range(100).orderBy(F.desc("id"))
     assert column(op.preview(df, "id"), "id") == [0, 1, 2]
+    some = op.preview(spark.range(100))
+    assert some.count() == 3 and "Sort" not in some._jdf.queryExecution().executedPlan().toString()

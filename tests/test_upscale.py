@@ -6,6 +6,7 @@ from helpers import as_dict, column
 from pyspark.sql import functions as F
 
 from wordwood import operators as op
+from wordwood import sources as src
 from wordwood.operators import upscale
 
 
@@ -35,20 +36,28 @@ def test_tile_in_blocks_and_tasks(base, monkeypatch, size):
 
 
 @pytest.mark.parametrize("size", [5, 400, 1000, 5000])
-def test_tile_of_a_table_too_large_for_one_task(spark, monkeypatch, size):
-    monkeypatch.setattr(upscale, "SMALL_ROWS", 10)
+def test_tile_of_a_table_in_several_parts(spark, size):
     base = spark.range(0, 400, 1, 5).selectExpr("id * 3 AS k", "cast(id % 4 as int) AS label")
     got = op.tile(base.repartition(6), "k", size).orderBy("id")
     assert column(got, "k") == np.tile(np.arange(400) * 3, -(-size // 400))[:size].tolist()
 
 
-def test_dense_index_both_ways(spark, monkeypatch):
+def test_dense_index(spark):
     df = spark.range(1000).selectExpr("concat('k', lpad(cast(id as string), 4, '0')) AS k")
-    df = df.repartition(5)
-    small = as_dict(op.dense_index(df, "k", 1000))
-    monkeypatch.setattr(upscale, "SMALL_ROWS", 10)
-    large = op.dense_index(df, "k", 1000)
-    assert as_dict(large) == small == {f"k{i:04d}": i for i in range(1000)}
+    df = df.repartition(5).selectExpr("k", "1 AS _at", "2 AS _part", "3 AS _rows")
+    got = op.dense_index(df, "k")
+    assert got.columns == ["k", "_at", "_part", "_rows", "i"]
+    assert as_dict(got.select("k", "i")) == {f"k{i:04d}": i for i in range(1000)}
+    assert got.select("_at", "_part", "_rows").distinct().collect() == [(1, 2, 3)]
+
+
+def test_tile_names_its_column(spark):
+    rows = src.gen_classification(spark, 5)
+    with pytest.raises(ValueError, match="id"):
+        op.tile(rows, "id", 12)
+    got = op.tile(rows, "id", 12, "row").orderBy("row")
+    assert got.columns == ["row", *rows.columns]
+    assert column(got, "id") == [*range(5), *range(5), 0, 1]
 
 
 def test_class_counts_differ_by_one_repeat(base):
@@ -89,7 +98,24 @@ def test_copies_of_one_row_are_dealt_out(spark, monkeypatch):
 
 def test_tile_of_nothing(spark):
     with pytest.raises(ValueError, match="empty"):
-        op.tile(spark.range(0), "id", 10)
+        op.tile(spark.range(0), "id", 10, "row")
+
+
+@pytest.mark.parametrize("slices", [None, 4])
+def test_replicate_no_times(spark, slices):
+    df = spark.createDataFrame([("a",)], "text string")
+    assert op.replicate(df, 0, slices).count() == 0
+    with pytest.raises(ValueError, match="negative"):
+        op.replicate(df, -1, slices)
+
+
+def test_replicate_makes_copies_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(upscale, "BLOCK", 7)
+    df = spark.createDataFrame([("a", 1)], "text string, _copy int")
+    for slices in (None, 3):
+        got = op.replicate(df, 50, slices)
+        assert got.columns == df.columns and got.count() == 50
+        assert got.distinct().collect() == [("a", 1)]
 
 
 @pytest.mark.parametrize(("m", "slices"), [(1, None), (5, None), (5, 24), (50, 24), (24, 24), (7, 3)])
@@ -108,6 +134,9 @@ def test_replicate_uses_the_slices(spark):
     assert len(per_task) == 24 and set(per_task.values()) == {10}
 
 
-def test_no_joins_in_upscaling(base):
-    for df in (op.tile(base, "k", 1000), op.replicate(base, 10), op.replicate(base, 10, 4)):
-        assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
+def test_no_row_is_joined_to_its_copies(base):
+    """Copies are exploded; only the offsets of sorted parts are joined, and sent to all tasks."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan(op.replicate(base, 10)) + plan(op.replicate(base, 10, 4))
+    tiled = plan(op.tile(base, "k", 1000))
+    assert tiled.count("Join") == tiled.count("BroadcastHashJoin") == 1

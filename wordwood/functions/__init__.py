@@ -1,6 +1,6 @@
 """Column expressions. Nothing here touches a DataFrame or runs a job."""
 
-from wordwood.functions.hashing import row_hash, uniform
+from wordwood.functions.hashing import fresh, row_hash, uniform
 from wordwood.functions.labels import files_for, size_label
 from wordwood.functions.text import (
     LINE_END,
@@ -16,6 +16,7 @@ __all__ = [
     "OTHER_WHITESPACE",
     "WHITESPACE_CHARS",
     "files_for",
+    "fresh",
     "lines",
     "row_hash",
     "size_label",

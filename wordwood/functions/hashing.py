@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -18,9 +18,29 @@ def key_list(key: str | Iterable[str]) -> list[str]:
 
 
 def row_hash(key: str | Iterable[str], salt: object) -> Column:
-    """32 hex digits of ``md5(key-salt)``."""
-    parts = [F.col(k).cast("string") for k in key_list(key)]
-    return F.md5(F.concat_ws("-", *parts, F.lit(str(salt))))
+    """32 hex digits of ``md5(key-salt)``.
+
+    Of several parts each is written with its length, so parts that only join to the same text
+    differ. A null is no text that a part can have.
+    """
+    keys = key_list(key)
+    parts = [F.col(k).cast("string") for k in keys]
+    if len(keys) > 1:
+        parts = [F.concat_ws(":", F.length(p), p) for p in parts]
+    known = [F.coalesce(F.when(F.col(k).isNotNull(), p), F.lit("\x00")) for k, p in zip(keys, parts, strict=True)]
+    return F.md5(F.concat_ws("-", *known, F.lit(str(salt))))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """These names, changed where ``df`` has such a column already."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def uniform(digest: str, word: int) -> str:

@@ -3,12 +3,14 @@
 from wordwood.operators.forest import (
     accuracy_pct,
     assemble,
+    beats_majority,
     conform,
     document_features,
     evaluate_forest,
     forest_sweep,
     score,
     train_forest,
+    written_split,
 )
 from wordwood.operators.runlog import (
     RUN_LOG_SCHEMA,
@@ -35,6 +37,7 @@ __all__ = [
     "RUN_LOG_SCHEMA",
     "accuracy_pct",
     "assemble",
+    "beats_majority",
     "conform",
     "counts_diff",
     "counts_match",
@@ -62,4 +65,5 @@ __all__ = [
     "top_words",
     "train_forest",
     "word_counts",
+    "written_split",
 ]

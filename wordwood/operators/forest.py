@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
@@ -15,22 +15,30 @@ from pyspark.sql import types as T
 
 from wordwood.functions.labels import files_for
 from wordwood.functions.text import tokens
+from wordwood.operators.runlog import RUN_LOG_SCHEMA
 from wordwood.operators.sampling import hash_split
-from wordwood.sources.datasets import FEATURE_COLS, FEATURE_SCHEMA, dataset_path, ensure_dataset
+from wordwood.sources.datasets import (
+    FEATURE_COLS,
+    FEATURE_SCHEMA,
+    dataset_path,
+    ensure_dataset,
+    read_dataset,
+    write_dataset,
+)
 from wordwood.sources.generate import gen_classification
+from wordwood.sources.scratch import scratch_path
 
-# Forest sizes in use.
-TREES, MORE_TREES = 20, 30
+# Fixed value: trees of a forest, unless asked for otherwise.
+TREES = 20
 
+# The columns of a run log, and what else is known of a training run.
 SWEEP_SCHEMA = T.StructType(
     [
-        T.StructField("size", T.LongType()),
+        *RUN_LOG_SCHEMA.fields,
         T.StructField("trees", T.IntegerType()),
         T.StructField("n_train", T.LongType()),
         T.StructField("n_test", T.LongType()),
-        T.StructField("seconds", T.DoubleType()),
         T.StructField("accuracy_pct", T.DoubleType()),
-        T.StructField("ok", T.BooleanType()),
         T.StructField("error", T.StringType()),
     ]
 )
@@ -109,6 +117,7 @@ def train_forest(
     The class count found by the label check goes along as column metadata, which spares
     Spark its own pass over the data for it.
     """
+    train = _assembled(train) if features == "features" else train
     classes = _count_classes(train, label)
     nominal = {"ml_attr": {"name": label, "type": "nominal", "num_vals": classes}}
     typed = train.select(
@@ -122,7 +131,7 @@ def train_forest(
 
 def score(model: RandomForestClassificationModel, df: DataFrame) -> DataFrame:
     """Add ``rawPrediction``, ``probability`` and ``prediction``."""
-    return model.transform(df)
+    return model.transform(_assembled(df))
 
 
 def _right(label: str, prediction: str) -> Column:
@@ -136,8 +145,25 @@ def accuracy_pct(
     return df.agg((F.lit(100.0) * F.avg(_right(label, prediction))).alias("accuracy_pct"))
 
 
+def beats_majority(
+    df: DataFrame, label: str = "label", prediction: str = "prediction"
+) -> DataFrame:
+    """One row about scored rows: ``n, majority_pct, beats_majority``.
+
+    The last one is a bound, not a measure: whether the predictions are right more often than the
+    most frequent label alone would be. A constant prediction is not.
+    """
+    right = F.sum(_right(label, prediction)).alias("right")
+    counts = df.groupBy(label).agg(F.count("*").alias("n"), right)
+    return counts.agg(
+        F.sum("n").alias("n"),
+        (F.lit(100.0) * F.max("n") / F.sum("n")).alias("majority_pct"),
+        (F.sum("right") > F.max("n")).alias("beats_majority"),
+    )
+
+
 def evaluate_forest(model: RandomForestClassificationModel, split: DataFrame) -> DataFrame:
-    """One row about a table with ``part`` and ``features``: ``n_train, n_test, accuracy_pct``.
+    """One row about a table with ``part``: ``n_train, n_test, accuracy_pct``.
 
     The accuracy is that on the test part; null if there is none. Only the test part is scored.
     """
@@ -151,6 +177,29 @@ def evaluate_forest(model: RandomForestClassificationModel, split: DataFrame) ->
     )
 
 
+def written_split(
+    df: DataFrame, key: str = "id", test: float | None = 0.2, seed: int = 42
+) -> DataFrame:
+    """The feature table split and written, one folder per part.
+
+    A forest passes over its rows many times: so each pass reads the files of one part, and
+    neither splits again nor drops rows. Without ``test`` all rows are in ``train``. The vectors are
+    assembled behind the choice of a part, which no filter could pass.
+    """
+    spark = df.sparkSession
+    split = df.withColumn("part", F.lit("train"))
+    if test is not None:
+        split = hash_split(df, key, test, seed)
+    path = scratch_path(spark, "split")
+    split.write.partitionBy("part").parquet(path)
+    part = T.StructField("part", T.StringType())
+    return read_dataset(spark, path, T.StructType([*df.schema.fields, part]))
+
+
+def _assembled(df: DataFrame) -> DataFrame:
+    return df if "features" in df.columns else assemble(df)
+
+
 def forest_sweep(
     spark: SparkSession,
     root: str,
@@ -158,34 +207,50 @@ def forest_sweep(
     trees: Iterable[int] = (TREES,),
     test: float | None = 0.2,
     seed: int = 42,
+    build: Callable[[int], DataFrame] | None = None,
 ) -> DataFrame:
-    """Train and test a forest for each size and number of trees; one row per run.
+    """Train and test a forest for each size and number of trees: a run log of all stages.
 
-    The datasets are kept under ``root`` and made there if they are missing. Without ``test``
-    the forest is trained on all rows. The seconds cover reading, splitting and training, not
-    testing. A run that fails in Spark is a row with ``ok = false``, the error, and nulls.
+    Stages are ``generate`` (making or finding the dataset, and splitting it), once per size, and
+    ``train``. The datasets are kept under ``root`` and made there if they are missing, by
+    ``build(size)`` or else the generator. Without ``test`` the forest is trained on all rows. The
+    seconds of ``train`` cover reading and training, not testing. What fails in Spark is a row with
+    ``ok = false``, the error, and nulls; a dataset that fails takes its training runs with it.
     """
-    runs = []
+    make = build or (lambda n: gen_classification(spark, n))
+    trees, runs = list(trees), []
     for size in sizes:
-        path = dataset_path(root, size)
-        df, _ = ensure_dataset(
-            spark, path, lambda n=size: gen_classification(spark, n), files_for(size)
-        )
+        started = time.monotonic()
+        try:
+            df, _ = ensure_dataset(
+                spark, dataset_path(root, size), lambda n=size: make(n), files_for(size)
+            )
+            split = written_split(df, "id", test, seed)
+        except (PySparkException, Py4JJavaError, ValueError) as e:
+            runs.append(_row(spark, size, "generate", None, e))
+            runs += [_row(spark, size, "train", None, e, n) for n in trees]
+            continue
+        runs.append(_row(spark, size, "generate", time.monotonic() - started))
         for n_trees in trees:
-            runs.append(_run(df, size, n_trees, test, seed))
+            runs.append(_run(split, size, n_trees, seed))
     return spark.createDataFrame(runs, SWEEP_SCHEMA)
 
 
-def _run(df: DataFrame, size: int, n_trees: int, test: float | None, seed: int) -> tuple:
+def _row(spark, size, stage, seconds, error=None, trees=None, counts=(None, None, None)) -> tuple:
+    cores = spark.sparkContext.defaultParallelism
+    message = str(error).split("\n", 1)[0] if error is not None else None
+    known = ("forest", "spark", cores, size, stage, seconds, error is None)
+    return (*known, trees, *counts, message)
+
+
+def _run(split: DataFrame, size: int, n_trees: int, seed: int) -> tuple:
+    spark = split.sparkSession
     started = time.monotonic()
     try:
-        rows = assemble(df)
-        split = rows.withColumn("part", F.lit("train"))
-        if test is not None:
-            split = hash_split(rows, "id", test, seed)
         model = train_forest(split.where("part = 'train'"), n_trees, seed)
         seconds = time.monotonic() - started
         row = evaluate_forest(model, split).first()
     except (PySparkException, Py4JJavaError) as e:
-        return (size, n_trees, None, None, None, None, False, str(e).split("\n", 1)[0])
-    return (size, n_trees, row["n_train"], row["n_test"], seconds, row["accuracy_pct"], True, None)
+        return _row(spark, size, "train", None, e, n_trees)
+    counts = (row["n_train"], row["n_test"], row["accuracy_pct"])
+    return _row(spark, size, "train", seconds, None, n_trees, counts)

@@ -13,7 +13,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wordwood.functions.hashing import key_list, row_hash
+from wordwood.functions.hashing import fresh, key_list, row_hash
 
 # Buckets are the next hex digits of the hash. 16 ** 4 and 16 ** 3 bound the tables of buckets
 # below, whatever the size of the data, so these may be broadcast or pass through one window.
@@ -22,8 +22,8 @@ from wordwood.functions.hashing import key_list, row_hash
 DIGITS = 4
 SPLIT_DIGITS = 3
 
-# A bucket of at most this many keys is small enough to be sorted for its n-th key.
-LEAF_ROWS = 300_000
+# The search for a cut goes on until a bucket has at most this many keys; these are looked at.
+LEAF_ROWS = 300
 
 HASH_DIGITS = 32
 
@@ -47,14 +47,17 @@ def permute(df: DataFrame, key: str | Iterable[str], seed: int = 42) -> DataFram
     bucket, and a bucket holds about n / 65,536 of them.
     """
     keys = key_list(key)
-    hashed = df.withColumn("_hash", row_hash(keys, seed))
-    hashed = hashed.withColumn("_bucket", F.substring("_hash", 1, DIGITS))
-    counts = hashed.groupBy("_bucket").agg(F.count("*").alias("_rows"))
-    so_far = F.sum("_rows").over(Window.orderBy("_bucket"))
-    starts = counts.select("_bucket", (so_far - F.col("_rows")).alias("_start"))
-    rank = F.row_number().over(Window.partitionBy("_bucket").orderBy("_hash", *keys))
-    ranked = hashed.withColumn("_rank", rank).join(F.broadcast(starts), "_bucket")
-    return ranked.select(*df.columns, (F.col("_start") + F.col("_rank")).alias("pos"))
+    bucket, digest, at, start, rows = fresh(df, "_bucket", "_hash", "_rank", "_start", "_rows")
+    number = F.conv(F.substring(row_hash(keys, seed), 1, DIGITS), 16, 10).cast("int")
+    dealt = df.withColumn(bucket, number)
+    counts = dealt.groupBy(bucket).agg(F.count("*").alias(rows))
+    so_far = F.sum(rows).over(Window.orderBy(bucket))
+    starts = counts.select(bucket, (so_far - F.col(rows)).alias(start))
+    # The hash is made again behind the shuffle: a number is all that travels with the rows.
+    hashed = dealt.repartition(bucket).withColumn(digest, row_hash(keys, seed))
+    rank = F.row_number().over(Window.partitionBy(bucket).orderBy(digest, *keys))
+    ranked = hashed.withColumn(at, rank).join(F.broadcast(starts), bucket)
+    return ranked.select(*df.columns, (F.col(start) + F.col(at)).alias("pos"))
 
 
 def hash_split(
@@ -69,8 +72,8 @@ def _cut_hash(hashed: DataFrame, keys: list[str], share: Fraction) -> str:
     """Hash of the last test row.
 
     Looks for the bucket that the cut falls into and goes on inside it, some hex digits at a
-    time: one aggregation of the keys per level, one row to the driver. A billion rows leave
-    a quarter of a million in the first bucket, which is little enough to sort.
+    time: one aggregation of the keys per level, one row to the driver. The last bucket is as
+    small whatever the size of the table.
     """
     prefix, wanted = "", None
     while True:
@@ -117,6 +120,6 @@ def exact_split(
     return _with_part(df, digest <= cut)
 
 
-def preview(df: DataFrame, key: str | Iterable[str], n: int = 3) -> DataFrame:
-    """The first ``n`` rows by key."""
-    return df.orderBy(*key_list(key)).limit(n)
+def preview(df: DataFrame, key: str | Iterable[str] | None = None, n: int = 3) -> DataFrame:
+    """The first ``n`` rows by key. Without a key any ``n``, which need not read all rows."""
+    return df.orderBy(*key_list(key)).limit(n) if key is not None else df.limit(n)

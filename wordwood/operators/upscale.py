@@ -12,6 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wordwood.functions.hashing import fresh
 from wordwood.sources.datasets import read_dataset, write_dataset
 from wordwood.sources.scratch import scratch_path
 
@@ -19,68 +20,61 @@ from wordwood.sources.scratch import scratch_path
 BLOCK = 10_000
 ROWS_PER_TASK = 1_000_000
 
-# A table of at most this many rows may be numbered by one task.
-SMALL_ROWS = 100_000
-
-# Below this many copies, moving the rows costs more than the copies gain.
-MANY_COPIES = 8
-
 # monotonically_increasing_id() holds the partition above this bit, the row number below.
 PARTITION_BIT = 33
 
 
-def dense_index(df: DataFrame, key: str, rows: int, name: str = "i") -> DataFrame:
+def dense_index(df: DataFrame, key: str, name: str = "i") -> DataFrame:
     """Number the rows 0..n-1 in the order of a unique key.
 
-    Up to ``SMALL_ROWS`` rows that is a plain window. Beyond, the table is sorted over all
-    tasks and written to scratch with its position in each sorted part; the sizes of the
-    parts, one row per part, then give the offsets.
+    The table is sorted over all tasks and written to scratch with its position in each sorted
+    part; the sizes of the parts, one row per part, then give the offsets.
     """
-    if rows <= SMALL_ROWS:
-        return df.withColumn(name, F.row_number().over(Window.orderBy(key)).cast("bigint") - 1)
     spark = df.sparkSession
+    at, part, rows, offset = fresh(df, "_at", "_part", "_rows", "_offset")
     path = scratch_path(spark, "dense-index")
-    write_dataset(df.orderBy(key).withColumn("_at", F.monotonically_increasing_id()), path)
-    done = read_dataset(spark, path).withColumn("_part", F.shiftright("_at", PARTITION_BIT))
-    sizes = done.groupBy("_part").agg(F.count("*").alias("_rows"))
-    so_far = F.sum("_rows").over(Window.orderBy("_part"))
-    offsets = sizes.select("_part", (so_far - F.col("_rows")).alias("_offset"))
-    within = F.col("_at").bitwiseAND(F.lit((1 << PARTITION_BIT) - 1))
-    numbered = done.join(F.broadcast(offsets), "_part")
-    return numbered.select(*df.columns, (F.col("_offset") + within).alias(name))
+    write_dataset(df.orderBy(key).withColumn(at, F.monotonically_increasing_id()), path)
+    done = read_dataset(spark, path).withColumn(part, F.shiftright(at, PARTITION_BIT))
+    sizes = done.groupBy(part).agg(F.count("*").alias(rows))
+    so_far = F.sum(rows).over(Window.orderBy(part))
+    offsets = sizes.select(part, (so_far - F.col(rows)).alias(offset))
+    within = F.col(at).bitwiseAND(F.lit((1 << PARTITION_BIT) - 1))
+    numbered = done.join(F.broadcast(offsets), part)
+    return numbered.select(*df.columns, (F.col(offset) + within).alias(name))
 
 
 def _copied(df: DataFrame, copies: Column, name: str, tasks: int | None) -> DataFrame:
-    """Every row ``copies`` times, numbered from 0 in column ``name``.
+    """Every row ``copies`` times, numbered from 0 in column ``name``; none at 0 copies.
 
     With ``tasks``, the blocks of copies are dealt out to that many tasks.
     """
-    last_block = F.call_function("div", F.col("_copies") - 1, F.lit(BLOCK))
-    blocks = df.withColumn("_copies", copies).withColumn(
-        "_block", F.explode(F.sequence(F.lit(0), last_block))
-    )
+    wanted, block = fresh(df, "_copies", "_block")
+    last_block = F.call_function("div", F.col(wanted) - 1, F.lit(BLOCK))
+    some = df.withColumn(wanted, copies).where(F.col(wanted) > 0)
+    blocks = some.withColumn(block, F.explode(F.sequence(F.lit(0).cast("bigint"), last_block)))
     if tasks:
         blocks = blocks.repartition(tasks)
-    first = F.col("_block") * BLOCK
-    last = F.least(first + BLOCK, F.col("_copies")) - 1
+    first = F.col(block) * BLOCK
+    last = F.least(first + BLOCK, F.col(wanted)) - 1
     return blocks.select(*df.columns, F.explode(F.sequence(first, last)).alias(name))
 
 
-def tile(df: DataFrame, key: str, size: int) -> DataFrame:
+def tile(df: DataFrame, key: str, size: int, name: str = "id") -> DataFrame:
     """Repeat a table, in the order of its unique key, up to exactly ``size`` rows.
 
-    Adds ``id``, 0..size-1: row ``i`` of a table of ``n`` rows is found at ``i``, ``n + i``,
+    Adds ``name``, 0..size-1: row ``i`` of a table of ``n`` rows is found at ``i``, ``n + i``,
     ``2n + i`` and so on.
     """
+    if name.lower() in {c.lower() for c in df.columns}:
+        raise ValueError(f"the table has a column {name} already: choose another name")
     n = df.count()
     if n == 0:
         raise ValueError("cannot tile an empty table")
-    base = dense_index(df, key, n, "_i").where(F.col("_i") < size)
-    copies = F.call_function("div", F.lit(size - 1) - F.col("_i"), F.lit(n)) + 1
-    tasks = math.ceil(size / ROWS_PER_TASK)
-    deal = tasks > 1 and (n <= SMALL_ROWS or size >= MANY_COPIES * n)
-    copied = _copied(base, copies, "_copy", tasks if deal else None)
-    return copied.select((F.col("_copy") * n + F.col("_i")).alias("id"), *df.columns)
+    index, copy = fresh(df, "_i", "_copy")
+    base = dense_index(df, key, index).where(F.col(index) < size)
+    copies = F.call_function("div", F.lit(size - 1) - F.col(index), F.lit(n)) + 1
+    copied = _copied(base, copies, copy, math.ceil(size / ROWS_PER_TASK))
+    return copied.select((F.col(copy) * n + F.col(index)).alias(name), *df.columns)
 
 
 def number_copies(df: DataFrame, name: str = "copy") -> DataFrame:
@@ -90,22 +84,30 @@ def number_copies(df: DataFrame, name: str = "copy") -> DataFrame:
     before the shuffle and made again after it, so no task ever holds a group of copies, be it
     a third of the table.
     """
+    (rows,) = fresh(df, "_rows")
+    counted = df.groupBy(*df.columns).agg(F.count("*").alias(rows))
+    # Groups of one block are made where they are; only blocks of larger ones are dealt out.
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counted = df.groupBy(*df.columns).agg(F.count("*").alias("_rows"))
-    return _copied(counted, F.col("_rows"), name, tasks).drop("_rows")
+    few = _copied(counted.where(F.col(rows) <= BLOCK), F.col(rows), name, None)
+    many = _copied(counted.where(F.col(rows) > BLOCK), F.col(rows), name, tasks)
+    return few.unionAll(many).drop(rows)
 
 
 def replicate(df: DataFrame, m: int, slices: int | None = None) -> DataFrame:
-    """Every row ``m`` times.
+    """Every row ``m`` times; none at 0.
 
     Input of few, long rows should name the number of ``slices`` to spread the copies over;
     otherwise they are made where the row is, without a shuffle.
     """
+    if m < 0:
+        raise ValueError(f"m must not be negative, but is {m}")
+    (copy,) = fresh(df, "_copy")
     if not slices:
-        return df.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(m)))).drop("_copy")
+        return _copied(df, F.lit(m).cast("bigint"), copy, None).drop(copy)
+    share, own = fresh(df, "_share", "_own")
     blocks = min(m, slices)
-    each, rest = divmod(m, blocks)
-    dealt = df.withColumn("_block", F.explode(F.sequence(F.lit(1), F.lit(blocks))))
-    dealt = dealt.repartition(slices)
-    copies = F.lit(each) + F.when(F.col("_block") <= rest, 1).otherwise(0)
-    return dealt.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))).select(*df.columns)
+    each, rest = divmod(m, blocks) if blocks else (0, 0)
+    dealt = df.withColumn(own, F.lit(blocks)).where(F.col(own) > 0)
+    dealt = dealt.withColumn(share, F.explode(F.sequence(F.lit(1), F.col(own)))).repartition(slices)
+    copies = F.lit(each).cast("bigint") + F.when(F.col(share) <= rest, 1).otherwise(0)
+    return _copied(dealt, copies, copy, None).select(*df.columns)

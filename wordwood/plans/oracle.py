@@ -3,13 +3,14 @@
 Written from the meaning of each query, not from its plan: a plain window over all rows
 stands where Spark uses buckets, and closed forms stand where Spark generates rows.
 
-There is none for queries that train a forest: trees depend on how the rows are partitioned.
+Nothing is imported from the code under test. Trees depend on how the rows are partitioned, so
+of a forest SQL computes the sizes, the labels and the share of the most frequent one. Its columns
+``beats_majority``, ``good`` and ``valid`` are bounds: they say what must hold, and are no values
+computed from the rows.
 """
 
 from __future__ import annotations
 
-from wordwood.sources.generate import LINE_BYTES, PHRASES_PER_LINE, SAMPLE_LINE
-
 # The whitespace of Python's str.split(), in the regex syntax of RE2.
 CLASS = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 WS = f"[{CLASS}]+"
@@ -55,15 +56,62 @@ def classification(table: str, key: str) -> str:
 
 
 RUN_LOG = """
-    SELECT event_type AS engine, [16, 20, 24, 30][1 + hour(ts) % 4] AS cores,
-           user_id * 1000 AS size, event_type AS stage,
-           CASE WHEN event_type <> 'error' THEN value END AS seconds, event_type <> 'error' AS ok
+    SELECT CASE WHEN event_id % 3 = 0 THEN 'local' ELSE 'spark' END AS engine,
+           [16, 20, 24, 30, 8][1 + hour(ts) % 5] AS cores, user_id * 1000 AS size,
+           ['generate', 'upload', 'train', 'count'][1 + event_id % 4] AS stage,
+           value AS seconds, event_type <> 'error' AS ok
     FROM events"""
 
+
+def known(agg: str, where: str) -> str:
+    """An aggregate over some runs: unknown without any, and if one of them failed."""
+    return f"""CASE WHEN count(*) FILTER (WHERE ({where}) AND NOT ok) = 0
+                    THEN {agg}(seconds) FILTER (WHERE {where}) END"""
+
+
 ORDER_HASH = "md5(concat(o_orderkey, '-42'))"
+ITEM_COLUMNS = (
+    "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax "
+    "l_returnflag l_linestatus l_shipdate"
+).split()
+ITEM = ", ".join(ITEM_COLUMNS)
+ITEM_PARTS = ", ".join(
+    f"concat(length({c}::VARCHAR), ':', {c}::VARCHAR)" for c in [*ITEM_COLUMNS, "copy"]
+)
 ORDER_RANK = f"row_number() OVER (ORDER BY {ORDER_HASH}, o_orderkey)"
 
-SAMPLE_WORDS = f"SELECT unnest(string_split('{SAMPLE_LINE}', ' ')) AS word FROM orders"
+SAMPLE_WORDS = """
+    SELECT unnest(['Hello', 'Spark', 'Hello', 'Big', 'Data', 'Python', 'Java', 'Hadoop', 'Cluster',
+                   'AI', 'Machine', 'Learning']) AS word FROM orders"""
+
+# Features and labels of the labelled documents do not matter here: only who is in which part.
+IN_TEST = "substr(md5(concat(id, '-42')), 1, 8) < '33333333'"
+LABELLED = "SELECT doc_id AS id, quality AS label FROM labels JOIN documents USING (doc_id)"
+TILED = f"""
+    SELECT row_number() OVER (ORDER BY md5(concat(r.id, '-42')), r.id) AS id, label
+    FROM (SELECT row_number() OVER () - 1 AS id FROM orders) r
+    JOIN (SELECT label, row_number() OVER (ORDER BY id) - 1 AS i FROM ({LABELLED})) l
+      ON r.id % (SELECT count(*) FROM ({LABELLED})) = l.i"""
+
+
+def tested(rows: str) -> str:
+    return f"""
+    SELECT count(*) FILTER (WHERE NOT test) AS n_train, count(*) FILTER (WHERE test) AS n_test,
+           100.0::DOUBLE * (SELECT max(n) FROM (SELECT count(*) AS n FROM ({rows})
+                            WHERE {IN_TEST} GROUP BY label))
+               / count(*) FILTER (WHERE test) AS majority_pct,
+           true AS beats_majority
+    FROM (SELECT {IN_TEST} AS test FROM ({rows}))"""
+
+
+def swept(table: str, key: str) -> str:
+    return f"""
+    SELECT n AS size, stage, trees, CASE WHEN stage = 'train' THEN n - n_test END AS n_train,
+           CASE WHEN stage = 'train' THEN n_test END AS n_test, true AS ok,
+           CASE WHEN stage = 'train' THEN true END AS good
+    FROM (SELECT count(*) AS n, count(*) FILTER (WHERE {IN_TEST}) AS n_test
+          FROM (SELECT {key} AS id FROM {table})),
+         (VALUES ('generate', NULL::INTEGER), ('train', 20), ('train', 30)) v(stage, trees)"""
 
 ORACLE_SQL: dict[str, str] = {
     "word_count": counts(WORDS),
@@ -94,9 +142,20 @@ ORACLE_SQL: dict[str, str] = {
     "line_scan_roundtrip": f"SELECT value, count(*) AS n FROM ({LINES}) GROUP BY value",
     "upscaled_word_count": f"""
         SELECT word, 10 * count(*) AS n FROM ({WORDS}) WHERE word <> '' GROUP BY word""",
-    "gen_text_stats": f"""
-        SELECT lines, lines * {LINE_BYTES} AS bytes, lines * {11 * PHRASES_PER_LINE} AS words
-        FROM (SELECT ceil(sum(octet_length(encode(text)) + 1)::DOUBLE / {LINE_BYTES})::BIGINT AS lines
+    "sliced_word_count": f"""
+        SELECT word, 10 * count(*) AS n FROM ({WORDS}) WHERE word <> '' GROUP BY word""",
+    "text_token_total": f"SELECT count(*) AS tokens FROM ({WORDS}) WHERE word <> ''",
+    "lines_hand_over": """
+        SELECT n_name AS name, count(*) AS n
+        FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name""",
+    "pandas_hand_over": """
+        SELECT c_custkey AS id, (n_nationkey / 2.0)::FLOAT AS f0, n_regionkey::FLOAT AS f1,
+               length(n_name)::FLOAT AS f2, 0::FLOAT AS f3, (n_regionkey % 2)::INTEGER AS label
+        FROM customer JOIN nation ON c_nationkey = n_nationkey""",
+    # A line has 100 phrases of 11 words and 66 characters, and an end.
+    "gen_text_stats": """
+        SELECT lines, lines * 6601 AS bytes, lines * 1100 AS words
+        FROM (SELECT ceil(sum(octet_length(encode(text)) + 1)::DOUBLE / 6601)::BIGINT AS lines
               FROM documents)""",
     "sample_lines_count": counts(SAMPLE_WORDS),
     "gen_classification": classification("orders", "o_orderkey"),
@@ -105,22 +164,15 @@ ORACLE_SQL: dict[str, str] = {
         FROM (SELECT row_number() OVER () - 1 AS id FROM orders) r
         JOIN (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM labels) l
           ON r.id % (SELECT count(*) FROM labels) = l.i""",
-    "permute_rows": f"""
-        SELECT o_orderkey, o_custkey, o_orderpriority, {ORDER_RANK} AS pos FROM orders""",
-    "permute_unkeyed": """
-        SELECT *, row_number() OVER (
-                    ORDER BY md5(concat_ws('-', l_orderkey, l_linenumber, copy, 42)),
-                             l_orderkey, l_linenumber, copy) AS pos
-        FROM (SELECT l_orderkey, l_linenumber,
-                     row_number() OVER (PARTITION BY l_orderkey, l_linenumber) - 1 AS copy
-              FROM lineitem)""",
+    "permute_rows": f"SELECT *, {ORDER_RANK} AS pos FROM orders",
+    "permute_unkeyed": f"""
+        SELECT *, row_number() OVER (ORDER BY md5(concat_ws('-', {ITEM_PARTS}, 42)), {ITEM}, copy) AS pos
+        FROM (SELECT *, row_number() OVER (PARTITION BY {ITEM}) - 1 AS copy FROM lineitem)""",
     "hash_split": f"""
-        SELECT o_orderkey, o_custkey,
-               CASE WHEN substr({ORDER_HASH}, 1, 8) < '33333333' THEN 'test' ELSE 'train' END AS part
+        SELECT *, CASE WHEN substr({ORDER_HASH}, 1, 8) < '33333333' THEN 'test' ELSE 'train' END AS part
         FROM orders""",
     "exact_split": f"""
-        SELECT o_orderkey, o_custkey,
-               CASE WHEN {ORDER_RANK} <= ceil(0.2 * count(*) OVER ()) THEN 'test' ELSE 'train' END
+        SELECT *, CASE WHEN {ORDER_RANK} <= ceil(0.2 * count(*) OVER ()) THEN 'test' ELSE 'train' END
                AS part
         FROM orders""",
     "preview_rows": "SELECT * FROM orders ORDER BY o_orderkey LIMIT 3",
@@ -128,9 +180,8 @@ ORACLE_SQL: dict[str, str] = {
         SELECT l_orderkey AS id, l_quantity::FLOAT AS f0, l_extendedprice::FLOAT AS f1,
                l_discount::FLOAT AS f2, l_tax::FLOAT AS f3, l_linenumber::INTEGER AS label
         FROM lineitem""",
-    "feature_array": """
-        SELECT vec_id, embedding[1]::DOUBLE AS v0, embedding[2]::DOUBLE AS v1,
-               embedding[3]::DOUBLE AS v2, embedding[4]::DOUBLE AS v3
+    "feature_array": f"""
+        SELECT vec_id, {", ".join(f"embedding[{i + 1}]::DOUBLE AS v{i}" for i in range(64))}
         FROM embeddings""",
     "document_features": f"""
         SELECT doc_id AS id, chars::FLOAT AS f0, len(words)::FLOAT AS f1,
@@ -141,33 +192,48 @@ ORACLE_SQL: dict[str, str] = {
                      list_filter(regexp_split_to_array(text, '{WS}'), lambda w: w <> '') AS words
               FROM documents)""",
     "dataset_roundtrip": "SELECT * FROM orders",
+    "overwrite_dataset": "SELECT * FROM customer",
+    "doc_quality_forest": tested(LABELLED),
+    "doc_quality_predictions": f"""
+        SELECT id, label, true AS valid
+        FROM (SELECT *, row_number() OVER (ORDER BY md5(concat(id, '-42')), id) AS pos,
+                     count(*) OVER () AS n FROM ({LABELLED}))
+        WHERE pos <= ceil(0.2 * n)""",
+    "tiled_forest": tested(TILED),
+    "synthetic_forest": f"""
+        SELECT sum(n)::BIGINT AS n, 100.0::DOUBLE * max(n) / sum(n) AS majority_pct,
+               true AS beats_majority
+        FROM (SELECT count(*) AS n FROM ({classification('orders', 'o_orderkey')}) GROUP BY label)""",
+    "forest_sweep": f"{swept('customer', 'c_custkey')} UNION ALL {swept('orders', 'o_orderkey')}",
     "ensure_dataset": f"""
         SELECT *, true AS first_call, false AS second_call
         FROM ({classification('customer', 'c_custkey')})""",
     "accuracy_pct": """
         SELECT 100.0::DOUBLE * avg((quality = 1 - toxic)::INTEGER::DOUBLE) AS accuracy_pct
         FROM labels""",
-    "failed_runs": f"SELECT engine, cores, size, stage, seconds, ok FROM ({RUN_LOG})",
+    "failed_runs": f"""
+        SELECT engine, cores, size, stage, CASE WHEN ok THEN seconds END AS seconds, ok
+        FROM ({RUN_LOG})""",
     "stage_summary": f"""
-        SELECT size, round(sum(seconds) FILTER (WHERE stage = 'signup'), 2) AS signup,
-               round(sum(seconds) FILTER (WHERE stage = 'view'), 2) AS view,
-               round(sum(seconds) FILTER (WHERE stage = 'click'), 2) AS click,
-               round(sum(seconds) FILTER (WHERE stage = 'purchase'), 2) AS purchase,
-               round(sum(seconds) FILTER (WHERE stage = 'error'), 2) AS error
+        SELECT size, round({known('sum', "stage = 'generate'")}, 2) AS generate,
+               round({known('sum', "stage = 'upload'")}, 2) AS upload,
+               round({known('sum', "stage = 'train'")}, 2) AS train,
+               round({known('sum', "stage = 'count'")}, 2) AS other
         FROM ({RUN_LOG}) GROUP BY size""",
     "run_matrix": f"""
-        SELECT size, round(sum(seconds) FILTER (WHERE cores = 16), 2) AS cores_16,
-               round(sum(seconds) FILTER (WHERE cores = 20), 2) AS cores_20,
-               round(sum(seconds) FILTER (WHERE cores = 24), 2) AS cores_24,
-               round(sum(seconds) FILTER (WHERE cores = 30), 2) AS cores_30
+        SELECT size, round({known('max', 'cores = 16')}, 2) AS cores_16,
+               round({known('max', 'cores = 20')}, 2) AS cores_20,
+               round({known('max', 'cores = 24')}, 2) AS cores_24,
+               round({known('max', 'cores = 30')}, 2) AS cores_30,
+               round({known('max', 'cores = 8')}, 2) AS cores_other
         FROM ({RUN_LOG}) GROUP BY size""",
     "speedup": f"""
         SELECT size, round(a, 2) AS local_seconds, round(b, 2) AS spark_seconds,
                round(a / nullif(b, 0), 6) AS ratio,
                CASE WHEN b < a THEN 'spark' WHEN b >= a THEN 'local' END AS winner
-        FROM (SELECT size, sum(seconds) FILTER (WHERE engine = 'view') AS a,
-                     sum(seconds) FILTER (WHERE engine = 'click') AS b
-              FROM ({RUN_LOG}) WHERE engine IN ('view', 'click') GROUP BY size)""",
+        FROM (SELECT size, {known('avg', "engine = 'local'")} AS a,
+                     {known('avg', "engine = 'spark'")} AS b
+              FROM ({RUN_LOG}) GROUP BY size)""",
     "size_labels": """
         SELECT size,
                CASE WHEN size < 1000000 THEN concat(size // 1000, 'K')

@@ -22,7 +22,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 UPSCALE_FACTOR = 10
-STAGES = ["signup", "view", "click", "purchase", "error"]
+SLICES = 24
+STAGES = ["generate", "upload", "train"]
+DIMENSIONS = 64
 
 
 def query(fn: Query) -> Query:
@@ -35,14 +37,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return src.read_dataset(spark, f"{sf_dir}/{name}.parquet")
 
 
-def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
-    """A table of texts. Splitting them is heavy on CPU, so a small file is spread first."""
-    return src.spread(table(spark, sf_dir, name))
-
-
 def synthetic(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
-    """Synthetic features for each row of a table; hashing is heavy on CPU as well."""
-    return src.add_classification(src.spread(table(spark, sf_dir, name).select(key)), key)
+    """Synthetic features for each row of a table."""
+    return src.add_classification(table(spark, sf_dir, name).select(key), key)
 
 
 # Text
@@ -50,39 +47,39 @@ def synthetic(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFram
 
 @query
 def word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.word_counts(texts(spark, sf_dir))
+    return op.word_counts(table(spark, sf_dir, "documents"))
 
 
 @query
 def word_count_space(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.word_counts(op.to_lines(texts(spark, sf_dir)), "value", "space")
+    return op.word_counts(op.to_lines(table(spark, sf_dir, "documents")), "value", "space")
 
 
 @query
 def token_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.token_total(texts(spark, sf_dir), by=("lang",))
+    return op.token_total(table(spark, sf_dir, "documents"), by=("lang",))
 
 
 @query
 def distinct_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.distinct_words(texts(spark, sf_dir), by=("lang",))
+    return op.distinct_words(table(spark, sf_dir, "documents"), by=("lang",))
 
 
 @query
 def top10_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.top_words(op.word_counts(texts(spark, sf_dir)), 10)
+    return op.top_words(op.word_counts(table(spark, sf_dir, "documents")), 10)
 
 
 @query
 def word_count_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = op.word_counts(texts(spark, sf_dir))
-    return op.counts_diff(documents, op.word_counts(texts(spark, sf_dir, "conversations")))
+    documents = op.word_counts(table(spark, sf_dir, "documents"))
+    return op.counts_diff(documents, op.word_counts(table(spark, sf_dir, "conversations")))
 
 
 @query
 def word_count_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both token rules over the same texts: the check that the two counters agree."""
-    documents = texts(spark, sf_dir)
+    documents = table(spark, sf_dir, "documents")
     by_space = op.word_counts(op.to_lines(documents), "value", "space")
     return op.counts_match(op.word_counts(documents), by_space)
 
@@ -96,13 +93,57 @@ def text_size_mb(spark: SparkSession, sf_dir: str) -> DataFrame:
 def line_scan_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all lines to text files, scan these, and count each different line."""
     path = src.scratch_path(spark, "lines")
-    src.write_lines(op.to_lines(texts(spark, sf_dir)), path)
+    src.write_lines(op.to_lines(table(spark, sf_dir, "documents")), path)
     return src.read_lines(spark, path).groupBy("value").agg(F.count("*").alias("n"))
 
 
 @query
 def upscaled_word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.word_counts(op.replicate(texts(spark, sf_dir).select("text"), UPSCALE_FACTOR))
+    documents = table(spark, sf_dir, "documents").select("text")
+    return op.word_counts(op.replicate(documents, UPSCALE_FACTOR))
+
+
+@query
+def sliced_word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, with the copies dealt out to a fixed number of slices."""
+    documents = table(spark, sf_dir, "documents").select("text")
+    return op.word_counts(op.replicate(documents, UPSCALE_FACTOR, SLICES))
+
+
+@query
+def text_token_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write all lines to text files and count the tokens of what is read back."""
+    path = src.scratch_path(spark, "lines")
+    src.write_lines(op.to_lines(table(spark, sf_dir, "documents")), path)
+    return op.token_total(src.read_lines(spark, path), "value")
+
+
+@query
+def lines_hand_over(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The names of the nations, handed over by the driver as lines; their customers counted."""
+    nations = table(spark, sf_dir, "nation").collect()
+    lines = src.lines_df(spark, [f"{r['n_nationkey']} {r['n_name']}" for r in nations], SLICES)
+    parts = F.split("value", " ", 2)
+    named = lines.select(parts[0].cast("int").alias("c_nationkey"), parts[1].alias("name"))
+    customers = table(spark, sf_dir, "customer")
+    return customers.join(named, "c_nationkey").groupBy("name").agg(F.count("*").alias("n"))
+
+
+@query
+def pandas_hand_over(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nations as a pandas frame of features, and back: the features of each customer."""
+    nations = table(spark, sf_dir, "nation").selectExpr(
+        "n_nationkey AS id",
+        "n_nationkey / 2D AS f0",
+        "n_regionkey * 1D AS f1",
+        "length(n_name) * 1D AS f2",
+        "0D AS f3",
+        "n_regionkey % 2 AS label",
+    )
+    back = src.from_pandas(spark, nations.toPandas()).withColumnRenamed("id", "c_nationkey")
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    joined = customers.join(back, "c_nationkey")
+    return joined.select(F.col("c_custkey").alias("id"), *src.FEATURE_COLS, "label")
 
 
 # Generated data
@@ -145,27 +186,24 @@ def tile_to_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def permute_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
-    return op.permute(orders, "o_orderkey")
+    return op.permute(table(spark, sf_dir, "orders"), "o_orderkey")
 
 
 @query
 def permute_unkeyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items have no unique key: number their copies, then shuffle."""
-    items = op.number_copies(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"))
-    return op.permute(items, ["l_orderkey", "l_linenumber", "copy"])
+    items = op.number_copies(table(spark, sf_dir, "lineitem"))
+    return op.permute(items, items.columns)
 
 
 @query
 def hash_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    return op.hash_split(orders, "o_orderkey")
+    return op.hash_split(table(spark, sf_dir, "orders"), "o_orderkey")
 
 
 @query
 def exact_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    return op.exact_split(orders, "o_orderkey")
+    return op.exact_split(table(spark, sf_dir, "orders"), "o_orderkey")
 
 
 @query
@@ -193,16 +231,18 @@ def scan_project_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def feature_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first four dimensions of each embedding, through the assembler."""
-    dims = [F.col("embedding")[i].alias(f"f{i}") for i in range(4)]
+    """All dimensions of each embedding, through the assembler."""
+    names = [f"f{i}" for i in range(DIMENSIONS)]
+    dims = [F.col("embedding")[i].alias(name) for i, name in enumerate(names)]
     wide = table(spark, sf_dir, "embeddings").select("vec_id", *dims)
     values = vector_to_array("features")
-    return op.assemble(wide).select("vec_id", *[values[i].alias(f"v{i}") for i in range(4)])
+    whole = op.assemble(wide, names)
+    return whole.select("vec_id", *[values[i].alias(f"v{i}") for i in range(DIMENSIONS)])
 
 
 @query
 def document_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.document_features(texts(spark, sf_dir))
+    return op.document_features(table(spark, sf_dir, "documents"))
 
 
 @query
@@ -215,6 +255,15 @@ def dataset_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return src.copy_dataset(spark, first, second, files // 6)
 
 
+@query
+def overwrite_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write the orders, then the customers to the same place: only these are left."""
+    path = src.scratch_path(spark, "replaced")
+    src.write_dataset(table(spark, sf_dir, "orders"), path)
+    src.write_dataset(table(spark, sf_dir, "customer"), path)
+    return src.read_dataset(spark, path)
+
+
 @query
 def ensure_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Build a feature table of the customers where it is missing; ask for it twice."""
@@ -224,8 +273,8 @@ def ensure_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     def build() -> DataFrame:
         return synthetic(spark, sf_dir, "customer", "c_custkey")
 
-    _, first = src.ensure_dataset(spark, path, build, files_for(size))
-    df, second = src.ensure_dataset(spark, path, build)
+    _, first = src.ensure_dataset(spark, path, build, files_for(size), size)
+    df, second = src.ensure_dataset(spark, path, build, rows=size)
     return df.select("*", F.lit(first).alias("first_call"), F.lit(second).alias("second_call"))
 
 
@@ -241,40 +290,51 @@ def _labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select(
         F.col("doc_id").alias("id"), F.col("quality").alias("label")
     )
-    features = op.document_features(texts(spark, sf_dir))
+    features = op.document_features(table(spark, sf_dir, "documents"))
     path = src.scratch_path(spark, "features")
     src.write_dataset(op.conform(features.join(labels, "id")), path)
     return src.read_dataset(spark, path, src.FEATURE_SCHEMA)
 
 
+def _tested(model, split: DataFrame) -> DataFrame:
+    """What is known of a test: sizes, the share of the first label, and the bound it must pass."""
+    scored = op.score(model, split.where("part = 'test'"))
+    train = split.where("part = 'train'").agg(F.count("*").alias("n_train"))
+    both = op.beats_majority(scored).withColumnRenamed("n", "n_test")
+    n_train = train.first()["n_train"]
+    return both.select(F.lit(n_train).cast("bigint").alias("n_train"), "n_test", "majority_pct", "beats_majority")
+
+
 @query
 def doc_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    split = op.hash_split(op.assemble(_labelled_documents(spark, sf_dir)), "id")
-    model = op.train_forest(split.where("part = 'train'"))
-    return op.evaluate_forest(model, split)
+    """A forest for the quality of documents against the most frequent label."""
+    split = op.written_split(_labelled_documents(spark, sf_dir))
+    return _tested(op.train_forest(split.where("part = 'train'")), split)
 
 
 @query
 def doc_quality_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact split, 20 trees, one prediction per test document."""
-    split = op.exact_split(op.assemble(_labelled_documents(spark, sf_dir)), "id")
+    """Exact split, 20 trees: every test document has one prediction, of a label there is."""
+    split = op.exact_split(_labelled_documents(spark, sf_dir), "id")
+    path = src.scratch_path(spark, "exact")
+    split.write.partitionBy("part").parquet(path)
+    split = src.read_dataset(spark, path)
     model = op.train_forest(split.where("part = 'train'"))
     scored = op.score(model, split.where("part = 'test'"))
-    p1 = vector_to_array("probability")[1].alias("probability_1")
-    return scored.select("id", "label", p1, F.col("prediction").cast("int").alias("prediction"))
+    p1 = vector_to_array("probability")[1]
+    valid = F.col("prediction").isin(0.0, 1.0) & p1.between(0.0, 1.0)
+    return scored.select("id", "label", valid.alias("valid"))
 
 
 @query
 def tiled_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A small labelled table, tiled to as many rows as there are orders and shuffled."""
     size = table(spark, sf_dir, "orders").count()
-    tiled = op.tile(_labelled_documents(spark, sf_dir).withColumnRenamed("id", "base"), "base", size)
-    path = src.dataset_path(src.scratch_path(spark, "tiled"), size)
+    base = _labelled_documents(spark, sf_dir)
+    tiled = op.tile(base.withColumnRenamed("id", "base"), "base", size)
     shuffled = op.permute(tiled, "id").withColumn("id", F.col("pos"))
-    src.write_dataset(op.conform(shuffled), path, files_for(size))
-    split = op.hash_split(op.assemble(src.read_dataset(spark, path, src.FEATURE_SCHEMA)), "id")
-    model = op.train_forest(split.where("part = 'train'"))
-    return op.evaluate_forest(model, split)
+    split = op.written_split(op.conform(shuffled))
+    return _tested(op.train_forest(split.where("part = 'train'")), split)
 
 
 @query
@@ -284,14 +344,23 @@ def synthetic_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     src.write_dataset(synthetic(spark, sf_dir, "orders", "o_orderkey"), path)
     rows = op.assemble(src.read_dataset(spark, path, src.FEATURE_SCHEMA))
     model = op.train_forest(rows, num_trees=30)
-    return op.accuracy_pct(op.score(model, rows))
+    return op.beats_majority(op.score(model, rows))
 
 
 @query
 def forest_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two sizes, the customers and the orders, by 20 and 30 trees."""
-    sizes = [table(spark, sf_dir, name).count() for name in ("customer", "orders")]
-    return op.forest_sweep(spark, src.scratch_path(spark, "sweep"), sizes, trees=(20, 30))
+    """Two sizes, the customers and the orders, by 20 and 30 trees: the log without its times."""
+    keys = {"customer": "c_custkey", "orders": "o_orderkey"}
+    sizes = {table(spark, sf_dir, name).count(): (name, key) for name, key in keys.items()}
+    log = op.forest_sweep(
+        spark,
+        src.scratch_path(spark, "sweep"),
+        list(sizes),
+        trees=(20, 30),
+        build=lambda n: synthetic(spark, sf_dir, *sizes[n]),
+    )
+    good = (F.col("accuracy_pct") > 80).alias("good")
+    return log.select("size", "stage", "trees", "n_train", "n_test", "ok", good)
 
 
 @query
@@ -305,16 +374,24 @@ def accuracy_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events read as a run log: the type names stage and engine, errors have failed."""
+    """The events read as a run log, in which good and failed runs share their keys.
+
+    Engine, stage and cores follow from the id and the hour; errors are runs that have failed.
+    One stage and one level of cores are in no list below.
+    """
     cores = F.element_at(
-        F.array(*[F.lit(c) for c in CORE_LEVELS]), F.pmod(F.hour("ts"), F.lit(4)) + 1
+        F.array(*[F.lit(c) for c in [*CORE_LEVELS, 8]]), F.pmod(F.hour("ts"), F.lit(5)) + 1
+    )
+    stage = F.element_at(
+        F.array(*[F.lit(x) for x in [*STAGES, "count"]]), F.pmod("event_id", F.lit(4)).cast("int") + 1
     )
+    engine = F.when(F.col("event_id") % 3 == 0, "local").otherwise("spark")
     return table(spark, sf_dir, "events").select(
         F.lit("events").alias("app"),
-        F.col("event_type").alias("engine"),
+        engine.alias("engine"),
         cores.alias("cores"),
         (F.col("user_id") * 1000).alias("size"),
-        F.col("event_type").alias("stage"),
+        stage.alias("stage"),
         F.col("value").alias("seconds"),
         (F.col("event_type") != "error").alias("ok"),
     )
@@ -329,20 +406,22 @@ def failed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def stage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     summary = op.stage_summary(run_log(spark, sf_dir), STAGES)
-    return summary.select("size", *[F.round(s, 2).alias(s) for s in STAGES])
+    return summary.select("size", *[F.round(s, 2).alias(s) for s in [*STAGES, "other"]])
 
 
 @query
 def run_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    matrix = op.run_matrix(run_log(spark, sf_dir), values=CORE_LEVELS, prefix="cores_")
-    cells = [f"cores_{c}" for c in CORE_LEVELS]
+    """The slowest run of each size and number of cores."""
+    log = run_log(spark, sf_dir)
+    matrix = op.run_matrix(log, values=CORE_LEVELS, prefix="cores_", agg="max")
+    cells = [f"cores_{c}" for c in [*CORE_LEVELS, "other"]]
     return matrix.select("size", *[F.round(c, 2).alias(c) for c in cells])
 
 
 @query
 def speedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = run_log(spark, sf_dir)
-    both = op.speedup(log.where("engine = 'view'"), log.where("engine = 'click'"))
+    both = op.speedup(log.where("engine = 'local'"), log.where("engine = 'spark'"))
     return both.select(
         "size",
         F.round("local_seconds", 2).alias("local_seconds"),

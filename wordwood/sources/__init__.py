@@ -10,7 +10,6 @@ from wordwood.sources.datasets import (
     lines_df,
     read_dataset,
     read_lines,
-    spread,
     write_dataset,
     write_lines,
 )
@@ -40,7 +39,6 @@ __all__ = [
     "read_dataset",
     "read_lines",
     "scratch_path",
-    "spread",
     "text_line_count",
     "text_lines",
     "write_dataset",

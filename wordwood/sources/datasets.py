@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -20,14 +19,12 @@ FEATURE_SCHEMA = T.StructType(
 
 # The size ladders of the experiments, in rows, MB and factors.
 TABLE_SIZES = [100_000, 200_000, 500_000, 1_000_000, 2_000_000, 3_000_000, 4_000_000]
-TILED_SIZES = [100_000, 500_000, 1_000_000, 2_000_000, 5_000_000]
-TILED_FILE_SIZES = [*TILED_SIZES, 10_000_000, 20_000_000, 50_000_000, 1_000_000_000]
 TEXT_SIZES_MB = [50, 200, 500, 1024, 1536]
 FACTORS = [10, 20, 50, 100, 200, 500, 1000, 2000, 5000]
 CORE_LEVELS = [16, 20, 24, 30]
 
-# What Spark reports for a folder that is missing, or that an aborted write left empty.
-ABSENT = {"PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"}
+# What a finished write leaves next to its files.
+DONE = "_SUCCESS"
 
 
 def dataset_path(root: str, size: int, suffix: str = "") -> str:
@@ -35,33 +32,20 @@ def dataset_path(root: str, size: int, suffix: str = "") -> str:
     return f"{root.rstrip('/')}/data_{size}{suffix}"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan of few splits over all cores, ahead of a step that is heavy on CPU.
-
-    Input with at least one split per core, so anything large, comes back as it is: no
-    shuffle. What is shuffled is therefore less than one split (128 MB) per core. Meant for
-    plain scans, whose number of splits is known without a job.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def read_dataset(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """Scan a parquet folder or file. A schema saves reading the footers first."""
     reader = spark.read.schema(schema) if schema is not None else spark.read
     return reader.parquet(path)
 
 
-def read_lines(spark: SparkSession, path: str, min_partitions: int | None = None) -> DataFrame:
+def read_lines(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
     """Scan text files by lines, ``value string``.
 
-    Files are split by size. Input of fewer splits than cores is spread over the cores; with
-    ``min_partitions``, input of fewer splits than that is brought up to exactly that number.
+    Files are split by size; ``spark.sql.files.maxPartitionBytes`` and ``minPartitionNum`` say how.
+    Only a caller who asks for a number of ``partitions`` gets them, at the price of a shuffle.
     """
     df = spark.read.text(path)
-    if min_partitions is None:
-        return spread(df)
-    return df.repartition(min_partitions) if df.rdd.getNumPartitions() < min_partitions else df
+    return df.repartition(partitions) if partitions else df
 
 
 def lines_df(spark: SparkSession, lines: Iterable[str], slices: int = 24) -> DataFrame:
@@ -90,15 +74,28 @@ def write_lines(df: DataFrame, path: str, files: int | None = None) -> None:
     out.write.mode("overwrite").text(path)
 
 
+def _folder(spark: SparkSession, path: str):
+    """The file system of a path, and the path for it."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(sc._jsc.hadoopConfiguration()), at
+
+
 def dataset_exists(spark: SparkSession, path: str) -> bool:
-    """Whether there is a dataset to read. Only absence counts as absence, no other failure."""
-    try:
-        spark.read.parquet(path).limit(1).collect()
-    except AnalysisException as e:
-        if e.getCondition() in ABSENT:
-            return False
-        raise
-    return True
+    """Whether a finished dataset is there, by the marker of the write.
+
+    Nothing, or a folder with markers only, is no dataset. Files without the marker are neither:
+    they may be half of a dataset or something else, so that is an error.
+    """
+    fs, at = _folder(spark, path)
+    if not fs.exists(at):
+        return False
+    names = [f.getPath().getName() for f in fs.listStatus(at)]
+    if DONE in names:
+        return any(not n.startswith(("_", ".")) for n in names)
+    if any(not n.startswith(("_", ".")) for n in names):
+        raise ValueError(f"{path} holds files but no {DONE}: an unfinished or foreign dataset")
+    return False
 
 
 def ensure_dataset(
@@ -106,12 +103,19 @@ def ensure_dataset(
     path: str,
     build: Callable[[], DataFrame],
     files: int | None = None,
+    rows: int | None = None,
 ) -> tuple[DataFrame, bool]:
-    """Read the dataset at ``path``; build and write it first if it is not there."""
+    """Read the dataset at ``path``; build and write it first if it is not there.
+
+    With ``rows`` a dataset of another number of rows, which the footers tell, is an error.
+    """
     created = not dataset_exists(spark, path)
     if created:
         write_dataset(build(), path, files)
-    return read_dataset(spark, path), created
+    df = read_dataset(spark, path)
+    if rows is not None and (found := df.count()) != rows:
+        raise ValueError(f"{path} has {found} rows, not {rows}")
+    return df, created
 
 
 def copy_dataset(
