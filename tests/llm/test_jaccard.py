@@ -3,7 +3,6 @@ from collections import Counter, defaultdict
 
 import pytest
 from llm.helpers import CLASHING, SCHEMA, odd_rows, prose, table, vocabulary
-from pyspark.sql import functions as F
 
 from wordwood.llm import jaccard
 from wordwood.llm.components import components
@@ -87,8 +86,7 @@ def test_against_all_pairs(spark, seed):
 
 def test_nothing_is_found_by_hubs_alone(spark, monkeypatch):
     """The exact search by prefixes finds every link, also where no hub does."""
-    monkeypatch.setattr(jaccard, "_hub_pairs", lambda parts: parts.select(
-        F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
+    monkeypatch.setattr(jaccard, "_hub_pairs", lambda values: values.selectExpr("node a", "node b").limit(0))
     rows = near_rows(3)
     got = jaccard.near_duplicates(table(spark, rows)).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter(plain(rows))
