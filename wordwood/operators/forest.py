@@ -23,7 +23,6 @@ from wordwood.sources.datasets import (
     dataset_path,
     ensure_dataset,
     read_dataset,
-    write_dataset,
 )
 from wordwood.sources.generate import gen_classification
 from wordwood.sources.scratch import scratch_path
