@@ -7,10 +7,11 @@ fragments, that count bounds every overlap of the document from above, so a docu
 less than the threshold with all others together is in no pair. Of the rest, the overlap of a
 pair is counted part by part and summed.
 
-Which pairs are counted: first each set against one hub per MinHash value, which joins most
+Which pairs are counted: first each set against hubs for its MinHash values, which joins most
 copies of a text to each other without listing their pairs. Then, exactly, all pairs from
 different components that share an n-gram of both prefixes: with the rarest n-grams first, two
-sets that are similar enough have one of their first few in common.
+sets that are similar enough have one of their first few in common. A sketch of each set drops
+pairs that cannot be similar before their n-grams are looked at; it drops no other.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,15 +33,19 @@ WIDTH = 5
 LEAST_PCT = 80
 
 # Text that one fragment stands for, and fragments there are at least.
-BYTES_PER_FRAGMENT, LEAST_FRAGMENTS = 32 << 20, 8
+BYTES_PER_FRAGMENT, LEAST_FRAGMENTS = 20 << 20, 8
 
 # Parts in which overlaps are counted, and MinHash values that choose hubs.
 PARTS = 8
 HUBS = 6
 
+# Bits of the sketch that bounds the difference of two sets.
+BITS = 1024
+BIT_WORDS = [f"bits{i}" for i in range(BITS // 64)]
+
 # N-grams sent on at a time, and words remembered with their hashes: both bound a task's memory.
-NGRAMS_AT_ONCE = 2_000_000
-WORDS_KNOWN = 1_000_000
+NGRAMS_AT_ONCE = 500_000
+WORDS_KNOWN = 100_000
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -128,7 +133,10 @@ def _cut(batches: Iterator[pd.DataFrame], fragments: int) -> Iterator[pd.DataFra
 
 
 def _shared(rows: pd.DataFrame) -> pd.DataFrame:
-    """Of each set that a fragment holds a part of, the n-grams that another set has as well."""
+    """Of each set that a fragment holds a part of, the n-grams that another set has as well.
+
+    With each n-gram goes the number of sets that have it: all of them are in this fragment.
+    """
     seen: set[bytes] = set()
     nodes, parts = [], []
     for names, counts, grams in zip(rows["nodes"], rows["counts"], rows["grams"], strict=True):
@@ -142,18 +150,100 @@ def _shared(rows: pd.DataFrame) -> pd.DataFrame:
                 nodes.append(node)
                 parts.append(grams[ends[i] - counts[i] : ends[i]])
     if not parts:
-        return pd.DataFrame({"node": [], "grams": []})
-    grams = np.concatenate(parts)
-    order = np.argsort(grams)
-    same = grams[order][1:] == grams[order][:-1]
-    shared = np.zeros(len(grams), bool)
-    shared[order[1:]] |= same
-    shared[order[:-1]] |= same
+        return pd.DataFrame({"node": [], "grams": [], "sets": []})
     sizes = np.array([len(p) for p in parts])
+    grams = np.concatenate(parts)
+    del parts, rows
+    order = np.argsort(grams).astype(np.int32)
+    in_order = grams[order]
+    starts = np.flatnonzero(np.append(True, in_order[1:] != in_order[:-1]))
+    del in_order
+    runs = np.diff(np.append(starts, len(grams))).astype(np.int32)
+    sets = np.empty(len(grams), np.int32)
+    sets[order] = np.repeat(runs, runs)
+    del order, starts, runs
+    shared = sets > 1
     left = np.add.reduceat(shared, np.concatenate([[0], np.cumsum(sizes)[:-1]]), dtype=np.int64)
-    kept = np.split(grams[shared].view(np.int64), np.cumsum(left)[:-1])
+    cuts = np.cumsum(left)[:-1]
+    grams, sets = grams[shared].view(np.int64), sets[shared]
+    kept, often = np.split(grams, cuts), np.split(sets, cuts)
     some = np.flatnonzero(left)
-    return pd.DataFrame({"node": [nodes[i] for i in some], "grams": [kept[i] for i in some]})
+    return pd.DataFrame(
+        {
+            "node": [nodes[i] for i in some],
+            "grams": [kept[i] for i in some],
+            "sets": [often[i] for i in some],
+        }
+    )
+
+
+def _profiles(parts: DataFrame) -> DataFrame:
+    """What is compared of a set before its n-grams are, one row per set.
+
+    Returns ``node, size, alone, weight, prefix`` and the words of bits. N-grams are in the order of rarity, then
+    hash. ``prefix`` are those by which the set can be found, ``alone``
+    counts the n-grams that no other set has: the rarest of all, they are not in ``parts`` and are
+    only counted off. ``weight`` is the mean chance that a set with an n-gram of this one is
+    another: of copies of a text the one that has changed least has the highest. Each of ``BITS``
+    bits says whether the number of n-grams that fall there is odd.
+    """
+    grams = parts.select("node", F.explode("grams").alias("gram"))
+    word = F.pmod(F.shiftrightunsigned("gram", 6), F.lit(BITS // 64))
+    flag = F.expr("shiftleft(1L, cast(gram & 63 AS int))")
+    bits = [
+        F.bit_xor(F.when(word == i, flag).otherwise(F.lit(0).cast("bigint"))).alias(name)
+        for i, name in enumerate(BIT_WORDS)
+    ]
+    # A part is one row, so tasks have summed up its bits before these are moved.
+    bits = grams.groupBy("node").agg(*bits)
+    zipped = F.arrays_zip("sets", "grams")
+    ranked = parts.groupBy("node", "size").agg(
+        F.sort_array(F.flatten(F.collect_list(zipped))).alias("ordered")
+    )
+    found = F.aggregate("ordered", F.lit(0.0), lambda n, g: n + 1 - 1 / g["sets"])
+    ranked = ranked.withColumn("found", found).join(bits, "node")
+    alone = F.col("size") - F.size("ordered")
+    needed = F.ceil(F.col("size") * LEAST_PCT / 100)
+    first = F.greatest(F.lit(0), F.col("size") - needed + 1 - alone).cast("int")
+    return ranked.select(
+        "node",
+        "size",
+        alone.alias("alone"),
+        (F.col("found") / F.col("size")).alias("weight"),
+        F.slice(F.col("ordered.grams"), F.lit(1), first).alias("prefix"),
+        *BIT_WORDS,
+    )
+
+
+def _may_be_similar() -> Column:
+    """Whether two sets, x and y, do not differ too much by sizes, lone n-grams and bits.
+
+    Each odd bit of one set that is even in the other stands for an n-gram that only one has, so
+    this bounds the difference from below and loses no pair.
+    """
+    lone = F.col("alone_x") + F.col("alone_y")
+    differ = lone
+    for word in BIT_WORDS:
+        differ = differ + F.bit_count(F.col(f"{word}_x").bitwiseXOR(F.col(f"{word}_y")))
+    most = (F.col("size_x") + F.col("size_y")) * (100 - LEAST_PCT)
+    return (
+        _near_in_size(F.col("size_x"), F.col("size_y"))
+        & (lone * (100 + LEAST_PCT) <= most)
+        & (differ * (100 + LEAST_PCT) <= most)
+    )
+
+
+def _possible(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` that may be similar."""
+
+    def of(name: str, tag: str) -> DataFrame:
+        columns = ("size", "alone", *BIT_WORDS)
+        return profiles.select(
+            F.col("node").alias(name), *[F.col(c).alias(f"{c}_{tag}") for c in columns]
+        )
+
+    both = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b")
+    return both.where(_may_be_similar()).select("a", "b")
 
 
 def _verified(pairs: DataFrame, parts: DataFrame) -> DataFrame:
@@ -173,78 +263,80 @@ def _verified(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     return summed.where(F.col("common") * 100 >= union * LEAST_PCT).select("a", "b")
 
 
-def _near_in_size(m, n):
+def _near_in_size(m: Column, n: Column) -> Column:
     return F.least(m, n) * 100 >= F.greatest(m, n) * LEAST_PCT
 
 
-def _hub_pairs(parts: DataFrame) -> DataFrame:
-    """Each set with the hub of every MinHash value it has: the smallest set with that value."""
+def _min_hashes(parts: DataFrame, profiles: DataFrame) -> DataFrame:
+    """The MinHash values of each set: ``node, weight, k, value``."""
     smallest = [
         F.array_min(F.transform("grams", lambda g, k=k: F.xxhash64(g, F.lit(k)))).alias(f"h{k}")
         for k in range(HUBS)
     ]
-    least = parts.select("node", "size", *smallest).groupBy("node", "size").agg(
+    least = parts.select("node", *smallest).groupBy("node").agg(
         *[F.min(f"h{k}").alias(f"h{k}") for k in range(HUBS)]
     )
-    values = least.select(
-        "node", "size", F.posexplode(F.array(*[f"h{k}" for k in range(HUBS)])).alias("k", "value")
-    )
-    hubs = values.groupBy("k", "value").agg(F.min(F.struct("node", "size")).alias("hub"))
-    pairs = values.join(hubs, ["k", "value"]).where(
-        (F.col("hub.node") != F.col("node")) & _near_in_size(F.col("hub.size"), F.col("size"))
-    )
-    return pairs.select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct()
-
+    values = F.posexplode(F.array(*[f"h{k}" for k in range(HUBS)])).alias("k", "value")
+    return least.join(profiles.select("node", "weight"), "node").select("node", "weight", values)
 
-def _prefixes(parts: DataFrame) -> DataFrame:
-    """The n-grams of each set by which it can be found: ``gram, node, size``.
 
-    In the order of rarity, then hash, over the sets that are left. N-grams that no other set has
-    are the rarest; they are not in ``parts`` and are only counted off.
-    """
-    grams = parts.select("node", "size", F.explode("grams").alias("gram"))
-    frequency = grams.groupBy("gram").agg(F.count("*").alias("sets"))
-    ranked = grams.join(frequency, "gram")
-    own = Window.partitionBy("node")
-    place = F.row_number().over(own.orderBy("sets", "gram"))
-    alone = F.col("size") - F.count("*").over(own)
-    needed = F.ceil(F.col("size") * LEAST_PCT / 100)
-    ranked = ranked.select(
-        "gram", "node", "size", (place + alone).alias("place"), needed.alias("needed")
-    )
-    return ranked.where(F.col("place") <= F.col("size") - F.col("needed") + 1).select(
-        "gram", "node", "size"
-    )
+def _hub_pairs(values: DataFrame) -> DataFrame:
+    """Each set with the hub of every MinHash value that it has: the set of most weight."""
+    hubs = values.groupBy("k", "value").agg(F.max(F.struct("weight", "node"))["node"].alias("hub"))
+    pairs = values.join(hubs, ["k", "value"]).where(F.col("node") != F.col("hub"))
+    return pairs.select(
+        F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")
+    ).distinct()
 
 
-def _cross_pairs(prefixes: DataFrame, labels: DataFrame, one_each: bool) -> DataFrame:
-    """Pairs of sets from different components that share an n-gram of their prefixes.
+def _cross_pairs(profiles: DataFrame, labels: DataFrame, one_each: bool) -> DataFrame:
+    """Possible pairs of sets from different components that share an n-gram of their prefixes.
 
-    The components of an n-gram are paired before their sets are, so sets of one component never
-    meet. With ``one_each`` only one set stands for its component at each n-gram.
+    Sets of the component that has most sets at an n-gram do not meet each other there: they only
+    meet the rest, and the rest meets itself. What cannot be similar by size and sketch is dropped
+    as it meets. With ``one_each`` only the set of most weight stands for its component.
     """
-    posted = prefixes.join(labels, "node")
+    posted = profiles.select("node", F.explode("prefix").alias("gram")).join(labels, "node")
+    counts = posted.groupBy("gram", "label").agg(F.count("*").alias("sets"))
+    mains = counts.groupBy("gram").agg(
+        F.max(F.struct("sets", "label"))["label"].alias("main"), F.count("*").alias("labels")
+    )
+    mains = mains.where("labels > 1").select("gram", "main")
+    known = profiles.select("node", "weight", "size", "alone", *BIT_WORDS)
+    posted = posted.join(mains, "gram").join(known, "node")
     if one_each:
-        posted = posted.groupBy("gram", "label").agg(
-            F.min(F.struct("node", "size")).alias("one")
-        ).select("gram", "label", "one.node", "one.size")
-    here = posted.select("gram", "label").distinct()
-    several = here.groupBy("gram").agg(F.count("*").alias("labels")).where("labels > 1")
-    posted = posted.join(several.select("gram"), "gram")
-    here = here.join(several.select("gram"), "gram")
-    other = here.select("gram", F.col("label").alias("label2"))
-    meeting = here.join(other, "gram").where("label < label2")
-    first = posted.select("gram", "label", F.col("node").alias("a"), F.col("size").alias("m"))
-    second = posted.select(
-        "gram", F.col("label").alias("label2"), F.col("node").alias("b"), F.col("size").alias("n")
+        one = F.max(F.struct("weight", "node", "size", "alone", *BIT_WORDS)).alias("one")
+        posted = posted.groupBy("gram", "label", "main").agg(one).select(
+            "gram", "label", "main", "one.*"
+        )
+
+    def side(rows: DataFrame, tag: str) -> DataFrame:
+        columns = ("label", "node", "size", "alone", *BIT_WORDS)
+        return rows.select("gram", *[F.col(c).alias(f"{c}_{tag}") for c in columns])
+
+    rest = side(posted.where("label <> main"), "x")
+    with_main = rest.join(side(posted.where("label = main"), "y"), ["gram"])
+    among = rest.join(side(posted.where("label <> main"), "y"), ["gram"])
+    met = with_main.where(_may_be_similar()).unionAll(
+        among.where((F.col("label_x") < F.col("label_y")) & _may_be_similar())
     )
-    pairs = meeting.join(first, ["gram", "label"]).join(second, ["gram", "label2"])
-    pairs = pairs.where(_near_in_size(F.col("m"), F.col("n")))
-    return pairs.select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    return met.select(
+        F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")
     ).distinct()
 
 
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels once the components that the links connect are one."""
+    a = labels.select(F.col("node").alias("a"), F.col("label").alias("label_a"))
+    b = labels.select(F.col("node").alias("b"), F.col("label").alias("label_b"))
+    edges = links.join(a, "a").join(b, "b").where("label_a <> label_b")
+    edges = edges.select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
+    touched = edges.select("a").unionAll(edges.select("b")).distinct().toDF("node")
+    merged = components(touched, edges).toDF("old", "new")
+    joined = labels.join(merged, labels["label"] == merged["old"], "left")
+    return written(joined.select("node", F.coalesce("new", "label").alias("label")), "labels")
+
+
 def linked_sets(docs: DataFrame, sizes: DataFrame, text: str) -> DataFrame:
     """The component of each set that has a link: ``node, label``.
 
@@ -259,26 +351,28 @@ def linked_sets(docs: DataFrame, sizes: DataFrame, text: str) -> DataFrame:
     )
     shared = cut.groupBy("fragment").applyInPandas(
         lambda key, rows: _shared(rows).assign(part=key[0] * PARTS // fragments),
-        "node binary, grams array<bigint>, part int",
+        "node binary, grams array<bigint>, sets array<int>, part int",
     )
     shared = written(shared, "shared")
     counts = shared.groupBy("node").agg(F.sum(F.size("grams")).alias("shared"))
     live = counts.join(sizes, "node").where(F.col("shared") * 100 >= F.col("n_shingles") * LEAST_PCT)
     live = live.select("node", F.col("n_shingles").alias("size"))
     parts = shared.join(live, "node").groupBy("node", "size", "part").agg(
-        F.flatten(F.collect_list("grams")).alias("grams")
+        F.flatten(F.collect_list("grams")).alias("grams"),
+        F.flatten(F.collect_list("sets")).alias("sets"),
     )
     parts = written(parts, "parts")
-    nodes = written(parts.select("node").distinct(), "nodes")
-
-    links = written(_verified(_hub_pairs(parts), parts), "links")
-    labels = components(nodes, links)
-    prefixes = written(_prefixes(parts), "prefixes")
-    for one_each in (True, False):
-        pairs = written(_cross_pairs(prefixes, labels, one_each), "pairs")
-        more = written(_verified(pairs, parts), "links")
-        links = links.unionAll(more)
-        labels = components(nodes, links)
+    profiles = written(_profiles(parts), "profiles")
+    nodes = profiles.select("node")
+    values = written(_min_hashes(parts, profiles), "min-hashes")
+    labels = nodes.select("node", F.col("node").alias("label"))
+    for search in (
+        lambda now: _possible(_hub_pairs(values), profiles),
+        lambda now: _cross_pairs(profiles, now, one_each=True),
+        lambda now: _cross_pairs(profiles, now, one_each=False),
+    ):
+        pairs = written(search(labels), "pairs")
+        labels = _merged(labels, written(_verified(pairs, parts), "links"))
     return labels
 
 
