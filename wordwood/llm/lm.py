@@ -33,8 +33,8 @@ HOT_SHARE = 1024
 # Bigrams that one fragment stands for, fragments there are at least; bigrams sent on at a time
 # and words remembered with their hashes, which bound a task's memory.
 BIGRAMS_PER_FRAGMENT, LEAST_FRAGMENTS = 4_000_000, 8
-BIGRAMS_AT_ONCE = 2_000_000
-WORDS_KNOWN = 1_000_000
+BIGRAMS_AT_ONCE = 1_000_000
+WORDS_KNOWN = 200_000
 
 # The seed of the hash of words, the same inside and outside Python.
 SEED = 42
@@ -203,7 +203,7 @@ def score(
     # Fewer than HOT_SHARE rows, as each is more than that share of all.
     often = counted.where((F.col("b") + F.col("t")) * HOT_SHARE > tokens).collect()
     texts = [
-        x.where(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]")) > 0).count()
+        x.where(F.rlike("text", F.lit(r"[^\x20\x09-\x0D]"))).count()
         for x in (read, aim)
     ]
     hashes = [int(START), *[r["word"] % (1 << 64) for r in often]]
