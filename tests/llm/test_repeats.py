@@ -105,8 +105,9 @@ def test_against_all_strings(spark, seed):
     assert sum(r.n_removed for r in got) > 10_000
 
 
-def test_small_batches_and_pieces_sorted_alone(spark, monkeypatch):
-    for name, value in (("BYTES_AT_ONCE", 3000), ("SORTED_AT_ONCE", 1)):
+@pytest.mark.parametrize("at_once", [1, 600, 2000])
+def test_small_batches_and_groups_cut_finer(spark, monkeypatch, at_once):
+    for name, value in (("BYTES_AT_ONCE", 3000), ("SORTED_AT_ONCE", at_once)):
         monkeypatch.setattr(repeats, name, value)
     rows = repeated_rows(3)
     got = repeats.remove_repeats(table(spark, rows)).collect()

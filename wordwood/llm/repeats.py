@@ -12,7 +12,8 @@ with the same few bytes goes to the same task.
 3. Pieces that agree in the bytes all their strings have (the core) are a group. Where a group has
    one piece only, however often, its first occurrence stays. Where it has several, the suffixes
    of these pieces are sorted by grouping (:mod:`wordwood.llm.grouping`), and strings that stand
-   next to each other and are equal have one first occurrence.
+   next to each other and are equal have one first occurrence. A group that is too large for that
+   is cut into shorter pieces with longer cores first.
 4. What is covered is cut out of the texts.
 """
 
@@ -35,13 +36,13 @@ LENGTH = 100
 # Bytes that are hashed for an anchor, and strings that a piece holds.
 GRAM = 20
 PIECE = 16
-CORE = LENGTH - PIECE + 1
 
 # Bytes of text handled at a time, text that one fragment stands for, fragments there are at
-# least, and bytes whose suffixes are sorted together (a larger group of pieces is sorted alone).
-BYTES_AT_ONCE = 4 << 20
-BYTES_PER_FRAGMENT, LEAST_FRAGMENTS = 32 << 20, 8
-SORTED_AT_ONCE = 1 << 18
+# least, and most bytes whose suffixes are sorted together: a larger group is cut into shorter
+# pieces first. These bound the memory of a task.
+BYTES_AT_ONCE = 1 << 20
+BYTES_PER_FRAGMENT, LEAST_FRAGMENTS = 32 << 20, 24
+SORTED_AT_ONCE = 1 << 17
 
 BASE = 0x9E3779B97F4A7C15
 MIX = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -130,6 +131,9 @@ def _laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _fragment(grams: np.ndarray, fragments: int) -> np.ndarray:
+    # Anchors are small hashes, being the least of many: mixed again they spread evenly.
+    with np.errstate(over="ignore"):
+        grams = (grams ^ (grams >> np.uint64(31))) * MIX
     return ((grams >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int64)
 
 
@@ -233,6 +237,59 @@ def _context_rows(batches: Iterator[pd.DataFrame], fragments: int) -> Iterator[p
         yield pd.DataFrame(out, columns=["fragment", "keys", "ids", "head", "raw"])
 
 
+def _pieces(raw: bytes, width: int, tag, at, count, place, text, start) -> tuple[np.ndarray, ...]:
+    """Strings at neighbouring places of ``raw``, cut into pieces of at most ``width``.
+
+    A range of ``count`` strings begins at ``at``; ``place`` is that of its first string against the
+    anchor, and strings whose places fall into the same run of ``width`` are a piece. Returns the
+    same of each piece, with the hashes of its core and of all its bytes.
+    """
+    low = place // width
+    number = (place + count - 1) // width - low + 1
+    row = np.repeat(np.arange(len(place)), number)
+    cell = np.repeat(low - np.cumsum(number) + number, number) + np.arange(number.sum())
+    a = np.maximum(cell * width - place[row], 0)
+    b = np.minimum(cell * width + width - place[row], count[row])
+    hashes = Hashes(np.frombuffer(raw, np.uint8))
+    # What all strings of a whole run have in common, also where some of them are not here.
+    core_at = at[row] + cell * width + width - 1 - place[row]
+    core = hashes.of(core_at, core_at + LENGTH - width + 1) ^ tag[row]
+    full = hashes.of(at[row] + a, at[row] + b + LENGTH - 1)
+    with np.errstate(over="ignore"):
+        core ^= cell.astype(np.uint64) * MIX
+        full += (b - a).astype(np.uint64) * MIX + (place[row] + a).astype(np.uint64)
+    return tag[row], at[row] + a, b - a, place[row] + a, text[row], start[row] + a, core, full
+
+
+def _grouped(data: np.ndarray, pieces: tuple, width: int) -> list[tuple]:
+    """The strings of these pieces that start earlier in another: texts, first and last starts."""
+    *_, text, start, core, full = pieces
+    order = np.lexsort((start, text, full, core))
+    tag, at, count, place, text, start, core, full = (x[order] for x in pieces)
+    new_core = np.append(True, core[1:] != core[:-1])
+    new_piece = new_core | np.append(True, full[1:] != full[:-1])
+    # Every occurrence of a piece but the first is covered; a repeated row is no other occurrence.
+    first = np.flatnonzero(new_piece)[np.cumsum(new_piece) - 1]
+    other = (text != text[first]) | (start != start[first])
+    found = [(text[other], start[other], (start + count)[other])]
+
+    group = np.cumsum(new_core) - 1
+    contested = new_piece & (np.bincount(group[new_piece], minlength=group[-1] + 1) > 1)[group]
+    sizes = count + LENGTH - 1
+    large = (np.bincount(group, sizes * contested) > SORTED_AT_ONCE)[group]
+    for some in _batches(np.flatnonzero(contested & ~large), group, sizes):
+        found.append(_sorted_out(data, some, at, count, group, text, start))
+    # Too much to sort together: shorter pieces have longer cores, so their groups are smaller.
+    # A piece of one string is its own core, so that comes to an end.
+    for some in _batches(np.flatnonzero(contested & large), group, sizes):
+        raw = b"".join(data[i : i + n].tobytes() for i, n in zip(at[some], sizes[some], strict=True))
+        base = np.cumsum(sizes[some]) - sizes[some]
+        known = (tag[some], base, count[some], place[some], text[some], start[some])
+        finer = _pieces(raw, width // 2, *known)
+        found += _grouped(np.frombuffer(raw, np.uint8), finer, width // 2)
+    return found
+
+
 def _covered(rows: pd.DataFrame) -> pd.DataFrame:
     """The strings in one fragment that start earlier elsewhere, as runs of starts per text."""
     heads = [np.frombuffer(h, np.int64).reshape(5, -1) for h in rows["head"]]
@@ -249,48 +306,25 @@ def _covered(rows: pd.DataFrame) -> pd.DataFrame:
         if not ranked or ranked[-1] != names[i]:
             ranked.append(names[i])
         rank[i] = len(ranked) - 1
-    gram, text, pos, back, count = np.concatenate(
-        [np.concatenate([h[:1], h[1:2] + s, h[2:]]) for h, s in zip(heads, shift, strict=True)], 1
-    )
-    text = rank[text]
+    cut = []
+    for raw, head, s in zip(rows["raw"], heads, shift, strict=True):
+        gram, text, pos, back, count = head
+        at = np.cumsum(count + LENGTH - 1) - (count + LENGTH - 1)
+        ranges = (gram.view(np.uint64), at, count, LENGTH - back, rank[text + s], pos)
+        cut.append(_pieces(raw, PIECE, *ranges))
+    # Places in the bytes of one row, then in those of all.
+    base = np.cumsum([0, *(len(raw) for raw in rows["raw"])])
     data = np.frombuffer(b"".join(rows["raw"]), np.uint8)
-    lengths = count + LENGTH - 1
-    base = np.cumsum(lengths) - lengths
-
-    # Pieces: strings whose place against the anchor falls into the same run of PIECE places.
-    low, high = (LENGTH - back) // PIECE, (LENGTH - back + count - 1) // PIECE
-    number = high - low + 1
-    row = np.repeat(np.arange(len(gram)), number)
-    cell = np.repeat(low - np.cumsum(number) + number, number) + np.arange(number.sum())
-    a = np.maximum(cell * PIECE, LENGTH - back[row]) - (LENGTH - back[row])
-    b = np.minimum(cell * PIECE + PIECE, LENGTH - back[row] + count[row]) - (LENGTH - back[row])
-    hashes = Hashes(data)
-    core_at = base[row] + cell * PIECE + PIECE - 1 - (LENGTH - back[row])
-    core = hashes.of(core_at, core_at + CORE) ^ (cell.astype(np.uint64) * MIX)
-    core ^= gram[row].view(np.uint64)
-    full = hashes.of(base[row] + a, base[row] + b + LENGTH - 1)
-    full += (a - b).astype(np.uint64) * MIX + ((LENGTH - back[row] + a) % PIECE).astype(np.uint64)
-
-    # By core, then piece, then occurrence.
-    start = pos[row] + a
-    order = np.lexsort((start, text[row], full, core))
-    row, a, b, core, full, start = (x[order] for x in (row, a, b, core, full, start))
-    new_core = np.append(True, core[1:] != core[:-1])
-    new_piece = new_core | np.append(True, full[1:] != full[:-1])
-    # Every occurrence of a piece but the first is covered; a repeated row is no other occurrence.
-    first = np.flatnonzero(new_piece)[np.cumsum(new_piece) - 1]
-    other = (text[row] != text[row[first]]) | (start != start[first])
-    found = [(text[row[other]], start[other], (start + b - a)[other])]
-
-    group = np.cumsum(new_core) - 1
-    several = np.bincount(group[new_piece], minlength=group[-1] + 1) > 1
-    contested = np.flatnonzero(new_piece & several[group])
-    for some in _batches(contested, group, (b - a + LENGTH - 1)):
-        found.append(_sorted_out(data, some, base[row] + a, b - a, group, text[row], start))
+    moved = [(c[0], c[1] + i, *c[2:]) for c, i in zip(cut, base, strict=False)]
+    pieces = tuple(np.concatenate(x) for x in zip(*moved, strict=True))
+    del cut, moved
+    found = _grouped(data, pieces, PIECE)
     t, s, e = (np.concatenate(x) for x in zip(*found, strict=True))
+    if not len(t):
+        return pd.DataFrame({"text_key": [], "runs": []})
     order = np.lexsort((s, t))
     t, s, e = t[order], s[order], e[order]
-    bounds = np.flatnonzero(np.append(True, t[1:] != t[:-1])) if len(t) else []
+    bounds = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
     return pd.DataFrame(
         {
             "text_key": [ranked[t[i]] for i in bounds],
@@ -388,7 +422,9 @@ def remove_repeats(
     )
     marks = repeated.groupBy("text_key").agg(F.collect_list("grams").alias("marks"))
 
-    firsts = base.join(texts, "text_key").where(F.col("doc_id").eqNullSafe(F.col("first_id")))
+    # Not an equality, which would be a join key: then the texts could not stay where they are.
+    is_first = F.col("first_id").isNull() | (F.col("doc_id") <= F.col("first_id"))
+    firsts = base.join(texts, "text_key").where(is_first)
     marked = firsts.join(marks, "text_key").select(
         "raw", "text_key", F.coalesce("first_id", F.lit(int(NO_ID))).alias("order_id"), "marks"
     )
