@@ -116,3 +116,51 @@ LLM_ORACLE["op2_benchmark_decontamination"] = f"""
            count(*)::DOUBLE / n_shingles::DOUBLE AS containment
     FROM owned JOIN wanted USING (shingle) GROUP BY doc_id, item_id, n_shingles
     HAVING 100 * count(*) >= 80 * n_shingles"""
+
+# All pairs that share a shingle, then everything that can be reached over links.
+LLM_ORACLE["op8_ngram_jaccard"] = f"""
+    WITH RECURSIVE owned AS ({shingles('documents', 'doc_id')}),
+    sizes AS (SELECT doc_id, count(*) AS n FROM owned GROUP BY doc_id),
+    common AS (
+        SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+        FROM owned a JOIN owned b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+    links AS (
+        SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+        WHERE 100 * c >= 80 * (x.n + y.n - c)),
+    reached AS (
+        SELECT doc_id, doc_id AS other FROM documents
+        UNION
+        SELECT doc_id, b FROM reached JOIN links ON a = other)
+    SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(other) AS component_id
+    FROM reached LEFT JOIN sizes USING (doc_id) GROUP BY doc_id"""
+
+# Every 100-byte string by itself, as 200 hexadecimal digits; then runs of what is covered.
+LLM_ORACLE["op10_suffix_dedup"] = """
+    WITH raw AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h,
+                        octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+    strings AS (
+        SELECT doc_id, s, substr(h, 2 * s + 1, 200) AS w
+        FROM (SELECT doc_id, h, unnest(range(0, n - 99)) AS s FROM raw WHERE n >= 100)),
+    covered AS (
+        SELECT doc_id, s FROM (
+            SELECT doc_id, s, row_number() OVER (PARTITION BY w ORDER BY doc_id, s) AS place FROM strings)
+        WHERE place > 1),
+    marked AS (
+        SELECT doc_id, s, coalesce(s > lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100, true) AS opens
+        FROM covered),
+    spans AS (
+        SELECT doc_id, min(s) AS first, max(s) + 100 AS last
+        FROM (SELECT *, count(*) FILTER (WHERE opens) OVER (PARTITION BY doc_id ORDER BY s) AS span
+              FROM marked)
+        GROUP BY doc_id, span),
+    pieces AS (
+        SELECT doc_id, coalesce(lag(last) OVER (PARTITION BY doc_id ORDER BY first), 0) AS a, first AS b
+        FROM (SELECT * FROM spans UNION ALL SELECT doc_id, n, NULL FROM raw)),
+    kept AS (
+        SELECT doc_id, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS k
+        FROM pieces JOIN raw USING (doc_id) GROUP BY doc_id),
+    counted AS (SELECT doc_id, sum(last - first)::BIGINT AS gone, count(*) AS spans
+                FROM spans GROUP BY doc_id)
+    SELECT doc_id, n AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed,
+           coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(k)) AS kept_sha256
+    FROM raw JOIN kept USING (doc_id) LEFT JOIN counted USING (doc_id)"""
