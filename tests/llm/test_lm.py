@@ -83,3 +83,8 @@ def test_target_like_texts_score_low(spark):
     aim = spark.createDataFrame([(t,) for _, t, _ in some(4, 80)[40:]], "text string")
     got = {r.doc_id: r.score for r in lm.score(table(spark, near + far), aim).collect()}
     assert sum(got[i] for i in range(40)) < sum(got[i] for i in range(100, 140)) - 40
+
+
+@pytest.mark.parametrize("text,copies", [("hello world", 1), ("hello world", 5_000), ("a", 3)])
+def test_few_different_bigrams(spark, text, copies):
+    check(spark, [(i, text, "a") for i in range(copies)], [text])

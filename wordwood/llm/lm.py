@@ -126,19 +126,18 @@ def _spread(
 def _losses(rows: pd.DataFrame, hot: dict, vocabulary: int) -> pd.DataFrame:
     """The losses of one fragment's bigrams under both models, summed per text."""
     pairs = np.concatenate([np.frombuffer(p, np.uint64) for p in rows["pairs"]])
-    if not len(pairs):
-        return pd.DataFrame({"batch": [], "keys": [], "sums": []})
     sizes = np.array([len(p) // 8 for p in rows["pairs"]])
     side = np.repeat(rows["side"].to_numpy(), sizes)
     kinds, which = np.unique(pairs, return_inverse=True)
     joint = [np.bincount(which, side == s, len(kinds)) for s in (0, 1)]
     # Pairs are sorted by their first word.
     first = kinds >> np.uint64(32)
-    starts = np.flatnonzero(np.append(True, first[1:] != first[:-1]))
+    starts = np.flatnonzero(np.append(True, first[1:] != first[:-1])[: len(first)])
     lengths = np.diff(np.append(starts, len(kinds)))
     loss = []
     for s in (0, 1):
-        single = np.add.reduceat(joint[s], starts)
+        # A fragment without bigrams has no loss to add, but it may bring the keys.
+        single = np.add.reduceat(joint[s], starts) if len(starts) else joint[s]
         for i, word in enumerate(first[starts].tolist()) if hot else ():
             if word in hot:
                 single[i] = hot[word][s]
