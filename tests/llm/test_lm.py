@@ -88,3 +88,35 @@ def test_target_like_texts_score_low(spark):
 @pytest.mark.parametrize("text,copies", [("hello world", 1), ("hello world", 5_000), ("a", 3)])
 def test_few_different_bigrams(spark, text, copies):
     check(spark, [(i, text, "a") for i in range(copies)], [text])
+
+
+def test_frequent_bigrams_are_not_sent(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+    whole = lm._losses
+
+    def watched(rows, hot, vocabulary):
+        seen.add(sum(len(p) // 8 for p in rows["pairs"]))
+        return whole(rows, hot, vocabulary)
+
+    monkeypatch.setattr(lm, "_losses", watched)
+    rows = [(i, "the the the the the the the the", "a") for i in range(2_000)] + some(6, 20)
+    check(spark, rows, ["the the", *(t for _, t, _ in some(7, 10))])
+    # Of 18,000 bigrams of the copies only those that are rare would go to a fragment.
+    assert seen.value < 3_000
+
+
+def test_a_fragment_gets_only_what_is_there(spark, monkeypatch):
+    monkeypatch.setattr(lm, "LEAST_FRAGMENTS", 500)
+    sizes = spark.sparkContext.accumulator(0)
+    whole = lm._losses
+
+    def watched(rows, hot, vocabulary):
+        out = whole(rows, hot, vocabulary)
+        sizes.add(sum(len(b) for b in rows["counts"]) + sum(len(b) for b in out["sums"]))
+        return out
+
+    monkeypatch.setattr(lm, "_losses", watched)
+    rows = [(i, f"word{i} other{i}", "a") for i in range(400)]
+    check(spark, rows, ["word1 other1"])
+    # Three bigrams a text, each with a number and two sums; not 500 fragments with all texts.
+    assert sizes.value <= 400 * 3 * 20

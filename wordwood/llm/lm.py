@@ -7,10 +7,14 @@ target's loss less that of the background. Low scores are like the target.
 
 Neither model fits into a task, so the words go to the counts, not the counts to the words.
 Every bigram of every text is sent to the fragment of its first word, where all bigrams with that
-word meet: there they are counted for both models, and the losses summed up per text at once. A
-word that is more than 1 in ``HOT_SHARE`` of all is spread over the fragments by the second word
-instead, and its own count, known from counting words, is sent along; there are fewer than
-``HOT_SHARE`` such words.
+word meet: there they are counted for both models, and the losses summed up per text at once.
+
+Two things would put a share of all bigrams into one fragment, so they are counted before. A word
+that is there more than ``often`` is spread over the fragments by the second word instead, and its
+own count is sent along. A bigram that is there more than ``often`` is not sent at all: its two
+counts are sent to the texts, and its losses summed there. ``often`` is 1 in ``HOT_SHARE`` of all
+words, or a quarter of what a fragment stands for if that is less; so there are at most as many
+frequent words, and bigrams, as ``HOT_SHARE`` or four times the fragments.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,39 +81,9 @@ def _word_counts(background: DataFrame, target: DataFrame) -> DataFrame:
     return both.groupBy("word").agg(F.sum("b").alias("b"), F.sum("t").alias("t"))
 
 
-def _spread(
-    batches: Iterator[pd.DataFrame], fragments: int, hot: np.ndarray
-) -> Iterator[pd.DataFrame]:
-    """The bigrams of many texts together, one row per fragment."""
+def _held(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list[tuple[bytes, np.ndarray]]]]:
+    """The side, and keys and word hashes of texts that have words, ``BIGRAMS_AT_ONCE`` together."""
     hashes = WordHashes()
-
-    def rows(held: list[tuple[bytes, np.ndarray]], side: int) -> pd.DataFrame:
-        first = np.concatenate([h[:-1] for _, h in held])
-        second = np.concatenate([h[1:] for _, h in held])
-        text = np.repeat(np.arange(len(held)), [len(h) - 1 for _, h in held])
-        spread = np.isin(first, hot)
-        with np.errstate(over="ignore"):
-            by = np.where(spread, first ^ second * np.uint64(0x9E3779B97F4A7C15), first)
-        at = ((by >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int64)
-        counts = np.bincount(at * len(held) + text, minlength=fragments * len(held))
-        counts = counts.reshape(fragments, len(held)).astype(np.int32)
-        order = np.argsort(at, kind="stable")
-        # The low halves: the high halves have chosen the fragment.
-        pairs = (first << np.uint64(32) | second & np.uint64(0xFFFFFFFF))[order]
-        parts = np.split(pairs, np.cumsum(counts.sum(1))[:-1])
-        keys = b"".join(key for key, _ in held)
-        return pd.DataFrame(
-            {
-                "fragment": np.arange(fragments, dtype=np.int32),
-                "side": side,
-                "batch": xxhash.xxh128_digest(keys),
-                # Whose texts these are is only needed once.
-                "keys": [keys] + [b""] * (fragments - 1),
-                "counts": [c.tobytes() for c in counts],
-                "pairs": [p.tobytes() for p in parts],
-            }
-        )
-
     for side in batches:
         held, size = [], 0
         for text, key, which in zip(side["text"], side["key"], side["side"], strict=True):
@@ -117,14 +92,106 @@ def _spread(
                 held.append((key, h))
                 size += len(h)
             if size > BIGRAMS_AT_ONCE:
-                yield rows(held, which)
+                yield which, held
                 held, size = [], 0
         if held:
-            yield rows(held, which)
+            yield which, held
+
+
+def _bigrams(held: list[tuple[bytes, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    first = np.concatenate([h[:-1] for _, h in held])
+    return first, np.concatenate([h[1:] for _, h in held])
+
+
+def _pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    # The low halves: the high halves have chosen the fragment.
+    return first << np.uint64(32) | second & np.uint64(0xFFFFFFFF)
+
+
+def _hot_pairs(batches: Iterator[pd.DataFrame], hot: np.ndarray) -> Iterator[pd.DataFrame]:
+    """The bigrams of two frequent words, counted within the texts that are handled together."""
+    ends = np.append(hot, END)
+    for side, held in _held(batches):
+        first, second = _bigrams(held)
+        both = np.isin(first, hot)
+        first, second = first[both], second[both]
+        both = np.isin(second, ends)
+        kinds, counts = np.unique(_pair(first[both], second[both]), return_counts=True)
+        yield pd.DataFrame(
+            {
+                "pair": kinds.view(np.int64),
+                "b": counts * (side == 0),
+                "t": counts * (side == 1),
+            }
+        )
+
+
+def _spread(
+    batches: Iterator[pd.DataFrame], fragments: int, hot: np.ndarray, known: np.ndarray, loss: np.ndarray
+) -> Iterator[pd.DataFrame]:
+    """The bigrams of many texts together, one row per fragment that has some of them.
+
+    ``known`` are the frequent bigrams, sorted, and ``loss`` their losses: they are summed up here
+    and sent with the keys, to a fragment that the batch chooses.
+    """
+    for number, (side, held) in enumerate(_held(batches)):
+        first, second = _bigrams(held)
+        sizes = np.array([len(h) - 1 for _, h in held])
+        text = np.repeat(np.arange(len(held)), sizes)
+        pairs = _pair(first, second)
+        own = np.zeros((3, len(held)))
+        own[2] = sizes
+        if len(known):
+            where = np.minimum(np.searchsorted(known, pairs), len(known) - 1)
+            here = known[where] == pairs
+            for s in (0, 1):
+                own[s] = np.bincount(text[here], loss[s][where[here]], len(held))
+            first, second, text, pairs = (x[~here] for x in (first, second, text, pairs))
+        with np.errstate(over="ignore"):
+            by = np.where(np.isin(first, hot), first ^ second * np.uint64(0x9E3779B97F4A7C15), first)
+        at = ((by >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int64)
+        order = np.argsort(at, kind="stable")
+        pairs, text = pairs[order], text[order]
+        bounds = np.searchsorted(at[order], np.arange(fragments + 1))
+        keys = b"".join(key for key, _ in held)
+        # Tasks may have equal texts: their batches still differ.
+        name = f"{TaskContext.get().partitionId()} {number} ".encode()
+        batch = xxhash.xxh128_digest(name + keys)
+        home = int.from_bytes(batch[:4], "big") % fragments
+        out = []
+        for f in np.union1d(np.flatnonzero(np.diff(bounds)), home if side == 0 else []).astype(int):
+            part = slice(bounds[f], bounds[f + 1])
+            # The texts that have bigrams here, and how many.
+            used, counts = np.unique(text[part], return_counts=True)
+            mine = side == 0 and f == home
+            out.append(
+                (
+                    f,
+                    side,
+                    batch,
+                    keys if mine else b"",
+                    own.tobytes() if mine else b"",
+                    used.astype(np.int32).tobytes() if side == 0 else b"",
+                    counts.astype(np.int32).tobytes() if side == 0 else b"",
+                    pairs[part].tobytes(),
+                )
+            )
+        yield pd.DataFrame(out, columns=SPREAD_COLUMNS)
+
+
+SPREAD = (
+    "fragment int, side int, batch binary, keys binary, own binary, texts binary, counts binary, "
+    "pairs binary"
+)
+SPREAD_COLUMNS = [c.split()[0] for c in SPREAD.split(", ")]
+
+
+def _loss(joint, single, vocabulary: int):
+    return -np.log((joint + MU / vocabulary) / (single + MU))
 
 
 def _losses(rows: pd.DataFrame, hot: dict, vocabulary: int) -> pd.DataFrame:
-    """The losses of one fragment's bigrams under both models, summed per text."""
+    """The losses of one fragment's bigrams under both models, summed per text that has some."""
     pairs = np.concatenate([np.frombuffer(p, np.uint64) for p in rows["pairs"]])
     sizes = np.array([len(p) // 8 for p in rows["pairs"]])
     side = np.repeat(rows["side"].to_numpy(), sizes)
@@ -141,11 +208,10 @@ def _losses(rows: pd.DataFrame, hot: dict, vocabulary: int) -> pd.DataFrame:
         for i, word in enumerate(first[starts].tolist()) if hot else ():
             if word in hot:
                 single[i] = hot[word][s]
-        single = np.repeat(single, lengths)
-        loss.append(-np.log((joint[s] + MU / vocabulary) / (single + MU)))
+        loss.append(_loss(joint[s], np.repeat(single, lengths), vocabulary))
     out, end = [], 0
-    for batch, keys, of, counts, size in zip(
-        rows["batch"], rows["keys"], rows["side"], rows["counts"], sizes, strict=True
+    for batch, keys, own, of, texts, counts, size in zip(
+        rows["batch"], rows["keys"], rows["own"], rows["side"], rows["texts"], rows["counts"], sizes, strict=True
     ):
         mine = which[end : end + size]
         end += size
@@ -153,17 +219,18 @@ def _losses(rows: pd.DataFrame, hot: dict, vocabulary: int) -> pd.DataFrame:
             counts = np.frombuffer(counts, np.int32)
             text = np.repeat(np.arange(len(counts)), counts)
             sums = [np.bincount(text, loss[s][mine], len(counts)) for s in (1, 0)]
-            out.append((batch, keys, np.stack([*sums, counts]).tobytes()))
-    return pd.DataFrame(out, columns=["batch", "keys", "sums"])
+            out.append((batch, keys, own, texts, np.stack(sums).tobytes()))
+    return pd.DataFrame(out, columns=["batch", "keys", "own", "texts", "sums"])
 
 
 def _per_text(rows: pd.DataFrame) -> pd.DataFrame:
     keys = b"".join(rows["keys"])
-    sums = [np.frombuffer(s, np.float64).reshape(3, -1) for s in rows["sums"]]
-    total = np.sum(sums, 0)
+    # Target, background, bigrams: in ``loss`` the background is first.
+    total = np.frombuffer(b"".join(rows["own"]), np.float64).reshape(3, -1)[[1, 0, 2]]
     n = total.shape[1]
-    # Batches of the same texts in the same order have one name: then their keys repeat.
-    total = total * 16 * n / len(keys)
+    for texts, sums in zip(rows["texts"], rows["sums"], strict=True):
+        # No text is twice in a row.
+        total[:2, np.frombuffer(texts, np.int32)] += np.frombuffer(sums, np.float64).reshape(2, -1)
     return pd.DataFrame(
         {
             "key": [keys[16 * i : 16 * i + 16] for i in range(n)],
@@ -199,14 +266,16 @@ def score(
         F.count("*").alias("words"), F.sum("b").alias("b"), F.sum("t").alias("t")
     ).first()
     tokens = (totals["b"] or 0) + (totals["t"] or 0)
-    # Fewer than HOT_SHARE rows, as each is more than that share of all.
-    often = counted.where((F.col("b") + F.col("t")) * HOT_SHARE > tokens).collect()
+    # Each is more than that share of all, so there are few.
+    often = min(tokens / HOT_SHARE, BIGRAMS_PER_FRAGMENT / 4)
+    is_often = F.col("b") + F.col("t") > often
+    frequent = counted.where(is_often).collect()
     texts = [
         x.where(F.rlike("text", F.lit(r"[^\x20\x09-\x0D]"))).count()
         for x in (read, aim)
     ]
-    hashes = [int(START), *[r["word"] % (1 << 64) for r in often]]
-    by_half = {h & 0xFFFFFFFF: (r["b"], r["t"]) for h, r in zip(hashes[1:], often, strict=True)}
+    hashes = [int(START), *[r["word"] % (1 << 64) for r in frequent]]
+    by_half = {h & 0xFFFFFFFF: (r["b"], r["t"]) for h, r in zip(hashes[1:], frequent, strict=True)}
     by_half[int(START)] = tuple(texts)
     hot = np.array(hashes, np.uint64)
     vocabulary = totals["words"] + 1
@@ -215,12 +284,22 @@ def score(
     sides = read.select("text", "key", F.lit(0).alias("side")).unionAll(
         aim.select("text", F.lit(b"").alias("key"), F.lit(1))
     )
-    spread = sides.mapInPandas(
-        lambda b: _spread(b, fragments, hot),
-        "fragment int, side int, batch binary, keys binary, counts binary, pairs binary",
+    # A bigram is no more frequent than its words: only those of two such words can be.
+    paired = sides.mapInPandas(lambda b: _hot_pairs(b, hot), "pair long, b long, t long")
+    paired = paired.groupBy("pair").agg(F.sum("b").alias("b"), F.sum("t").alias("t"))
+    pairs = sorted((r["pair"] % (1 << 64), r["b"], r["t"]) for r in paired.where(is_often).collect())
+    known = np.array([p for p, _, _ in pairs], np.uint64)
+    singles = [by_half[p >> 32] for p, _, _ in pairs]
+    loss = np.array(
+        [
+            [_loss(p[1 + s], single[s], vocabulary) for p, single in zip(pairs, singles, strict=True)]
+            for s in (0, 1)
+        ]
     )
+    spread = sides.mapInPandas(lambda b: _spread(b, fragments, hot, known, loss), SPREAD)
     summed = spread.groupBy("fragment").applyInPandas(
-        lambda rows: _losses(rows, by_half, vocabulary), "batch binary, keys binary, sums binary"
+        lambda rows: _losses(rows, by_half, vocabulary),
+        "batch binary, keys binary, own binary, texts binary, sums binary",
     )
     per_text = summed.groupBy("batch").applyInPandas(
         _per_text, "key binary, target double, background double, bigrams double"
