@@ -1,5 +1,6 @@
 import math
 import re
+import textwrap
 from collections import Counter, defaultdict
 
 import pytest
@@ -102,3 +103,33 @@ def test_empty_table_and_own_templates(spark):
     assert licences.scan(df.limit(0)).collect() == []
     got = licences.scan(df, templates=[("mine", MIT)]).collect()
     assert {r.own_licence for r in got} == {"mine", None}
+
+
+def wrapped(text, width, mark):
+    return "\n".join(mark + line for line in textwrap.wrap(text, width))
+
+
+def test_notices_of_several_lines_and_tags(spark):
+    mit = licences.MIT_GRANT + licences.MIT_REST
+    gnu = {name: licences._gnu_notice(*rest) for name, *rest in licences.GNU}
+    code = "\n\nint main() {\n    return the_answer_to_all_questions(42);\n}\n" * 9
+    owner = "Copyright (c) 2021 Jane Doe and others"
+    apache = wrapped(licences.APACHE_NOTICE, 70, "")
+    texts = {
+        1: ("MIT", f"MIT\n\n{owner}\n\n{wrapped(mit, 70, '')}\n", True),
+        2: ("MIT", f"# {owner}\n#\n{wrapped(mit, 70, '# ')}{code}", False),
+        3: ("Apache-2.0", f"/*\n{owner}\n\n{apache}\n*/{code}", False),
+        4: ("Apache-2.0", f"#!/bin/sh\n# {owner}\n{wrapped(licences.APACHE_NOTICE, 60, '# ')}{code}", False),
+        5: ("GPL-3.0", f"// {owner}\n{wrapped(gnu['GPL-3.0'], 70, '// ')}{code}", False),
+        6: ("GPL-2.0", f"/* {owner}\n{wrapped(gnu['GPL-2.0'], 70, ' * ')}\n */{code}", None),
+        7: ("AGPL-3.0", f"-- {owner}\n{wrapped(gnu['AGPL-3.0'], 70, '-- ')}{code}", False),
+        8: ("MIT", f"// SPDX-License-Identifier: MIT{code}", False),
+        9: ("Apache-2.0", f"# {owner}\n# SPDX-License-Identifier: Apache-2.0{code}", False),
+        10: ("GPL-2.0", f"/* SPDX-License-Identifier: GPL-2.0-or-later */{code}", False),
+        11: (None, f"// SPDX-License-Identifier: Unheard-Of-1.0{code}", False),
+        12: ("MIT", f"{wrapped(licences.MIT_GRANT, 70, '')}{code}", False),
+        13: (None, f"# {owner}\n# of this file{code}", False),
+    }
+    rows = [(i, f"d{i}/f", text, flag) for i, (_, text, flag) in texts.items()]
+    got = {r.doc_id: r.own_licence for r in licences.scan(frame(spark, rows)).collect()}
+    assert got == {i: name for i, (name, _, _) in texts.items()}

@@ -1,7 +1,7 @@
 """Licences of files: what their own text says, or else what their directory inherits.
 
-Lines that speak of a licence, and whole licence files, are compared to templates by the cosine
-of sparse TF-IDF vectors, joined term by term. The licence files of a directory hold for all
+Lines that speak of a licence, the header of a file, and whole licence files are compared to
+templates by the cosine of sparse TF-IDF vectors, joined term by term. The licence files of a directory hold for all
 files below it, unless a directory nearer to the file has licence files of its own.
 """
 
@@ -36,21 +36,121 @@ TEMPLATES = [
     ("proprietary", "All rights reserved."),
 ]
 
+MIT_GRANT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software "
+    'and associated documentation files (the "Software"), to deal in the Software without '
+    "restriction, including without limitation the rights to use, copy, modify, merge, publish, "
+    "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the "
+    "Software is furnished to do so, subject to the following conditions: "
+)
+MIT_REST = (
+    "The above copyright notice and this permission notice shall be included in all copies or "
+    'substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF '
+    "ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, "
+    "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR "
+    "COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF "
+    "CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE "
+    "USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+APACHE_NOTICE = (
+    'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file '
+    "except in compliance with the License. You may obtain a copy of the License at "
+    "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in "
+    'writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT '
+    "WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the "
+    "specific language governing permissions and limitations under the License."
+)
+MPL_NOTICE = (
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy "
+    "of the MPL was not distributed with this file, You can obtain one at "
+    "https://mozilla.org/MPL/2.0/."
+)
+BSD_GRANT = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted "
+    "provided that the following conditions are met: 1. Redistributions of source code must retain "
+    "the above copyright notice, this list of conditions and the following disclaimer. 2. "
+    "Redistributions in binary form must reproduce the above copyright notice, this list of "
+    "conditions and the following disclaimer in the documentation and/or other materials provided "
+    "with the distribution. "
+)
+BSD_NAMES = (
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to "
+    "endorse or promote products derived from this software without specific prior written "
+    "permission. "
+)
+BSD_REST = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR '
+    "IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY "
+    "AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR "
+    "CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR "
+    "CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR "
+    "SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY "
+    "THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR "
+    "OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE "
+    "POSSIBILITY OF SUCH DAMAGE."
+)
+
+
+def _gnu_notice(work: str, name: str, version: str) -> str:
+    return (
+        f"This {work} is free software: you can redistribute it and/or modify it under the terms of "
+        f"the GNU {name} as published by the Free Software Foundation, either version {version} of "
+        f"the License, or (at your option) any later version. This {work} is distributed in the "
+        "hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+        f"MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details. "
+        f"You should have received a copy of the GNU {name} along with this {work}. If not, see "
+        "<https://www.gnu.org/licenses/>."
+    )
+
+
+GNU = [
+    ("GPL-3.0", "program", "General Public License", "3"),
+    ("GPL-2.0", "program", "General Public License", "2"),
+    ("LGPL-3.0", "library", "Lesser General Public License", "3"),
+    ("LGPL-2.1", "library", "Lesser General Public License", "2.1"),
+    ("AGPL-3.0", "program", "Affero General Public License", "3"),
+]
+
+# Whole notices. Those of licences that differ in few words are all here: the nearest wins.
+TEMPLATES += [
+    ("MIT", MIT_GRANT),
+    ("MIT", MIT_GRANT + MIT_REST),
+    ("Apache-2.0", APACHE_NOTICE),
+    ("MPL-2.0", MPL_NOTICE),
+    ("BSD-2-Clause", BSD_GRANT + BSD_REST),
+    ("BSD-3-Clause", BSD_GRANT + BSD_NAMES + BSD_REST),
+    *((licence, _gnu_notice(work, name, version)) for licence, work, name, version in GNU),
+]
+# Tags: the name itself, and the older and newer forms of the GNU names.
+SPDX_NAMES = {name: [""] for name, _ in TEMPLATES if name != "proprietary"}
+SPDX_NAMES |= {name: ["", "+", "-only", "-or-later"] for name, *_ in GNU}
+TEMPLATES += [
+    (name, f"SPDX-License-Identifier: {name}{form}")
+    for name, forms in SPDX_NAMES.items()
+    for form in forms
+]
+
 # Lines that may declare a licence. Others have none of the terms that tell licences apart.
 STATEMENT = r"(?i)licen[cs]|copyright|rights reserved|spdx|permission is|public domain|cc[ -]by|cc0"
-TERM = "[a-z0-9]+"
+# A tag with its name is one term: tags with other names have nothing in common.
+TAG = r"spdx-license-identifier\s*:\s*\(?(?=[a-z0-9])"
+TERM = r"spdx:[a-z0-9]+(?:[.-]+[a-z0-9]+)*[+]?|[a-z0-9]+"
+# What a line of comment begins with; blank lines may be between.
+COMMENT = r"^\s*(#|//|\*|--|;|%|$)"
 LEAST_COSINE = 0.8
 DIGITS = 6
 
 
 def _terms(unit: Column) -> Column:
-    return F.regexp_extract_all(F.lower(unit), F.lit(f"({TERM})"))
+    tagged = F.regexp_replace(F.lower(unit), TAG, "spdx:")
+    return F.regexp_extract_all(tagged, F.lit(f"({TERM})"))
 
 
 def best_templates(units: DataFrame, templates: Sequence[tuple[str, str]]) -> DataFrame:
     """The most similar template of every different text: ``unit, licence, score``.
 
-    ``units`` has one column ``unit`` and ``files``, in how many files it is. A term weighs by
+    ``units`` has ``unit``, a digest of the text, ``text`` and ``files``, in how many files it is,
+    grouped by ``unit``: their terms are counted where they are. A term weighs by
     the share of units, counted by files, that have it; a term that no template has weighs like
     the rarest. Texts without a template above ``LEAST_COSINE`` are left out.
     """
@@ -63,8 +163,10 @@ def best_templates(units: DataFrame, templates: Sequence[tuple[str, str]]) -> Da
     term_counts = term_counts.groupBy("template", "licence", "term").agg(F.count("*").alias("t"))
     # The vocabulary: terms of the templates, a parameter and no larger.
     vocabulary = term_counts.select("term").distinct()
-    unit_terms = units.select("unit", "files", F.explode(_terms(F.col("unit"))).alias("term"))
-    unit_terms = unit_terms.groupBy("unit", "files", "term").agg(F.count("*").alias("u"))
+    unit_terms = units.select("unit", "files", F.explode(_terms(F.col("text"))).alias("term"))
+    unit_terms = unit_terms.groupBy("unit", "term").agg(
+        F.max("files").alias("files"), F.count("*").alias("u")
+    )
     unit_terms = written(unit_terms, "unit-terms")
     total = F.lit(units.agg(F.sum("files")).first()[0] or 0)
     found = unit_terms.groupBy("term").agg(F.sum("files").alias("df"))
@@ -81,10 +183,11 @@ def best_templates(units: DataFrame, templates: Sequence[tuple[str, str]]) -> Da
         "unit", "term", (F.col("u") * F.coalesce("idf", rarest)).alias("uw")
     )
     norms = weighed.groupBy("unit").agg(F.sqrt(F.sum(F.col("uw") * F.col("uw"))).alias("norm"))
-    dots = weighed.join(F.broadcast(own), "term").groupBy("unit", "template", "licence").agg(
+    dots = weighed.join(F.broadcast(own.drop("licence")), "term").groupBy("unit", "template").agg(
         F.sum(F.col("uw") * F.col("tw")).alias("dot")
     )
-    scored = dots.join(norms, "unit").select(
+    named = F.broadcast(known.select("template", "licence"))
+    scored = dots.join(norms, "unit").join(named, "template").select(
         "unit", "licence", F.round(F.col("dot") / F.col("norm"), DIGITS).alias("score")
     )
     scored = scored.where(F.col("score") >= LEAST_COSINE)
@@ -99,6 +202,31 @@ def _directory(path: Column) -> Column:
     return F.regexp_replace(path, "/?[^/]*$", "")
 
 
+def _leading(lines: Column, inside) -> Column:
+    """The lines before the first that is not ``inside``, joined."""
+    end = F.array_position(F.transform(lines, inside), False)
+    return F.array_join(F.when(end > 0, F.slice(lines, 1, end - 1)).otherwise(lines), "\n")
+
+
+def _header(text: Column) -> Column:
+    """The header of a text: its first comment, or else its lines up to the first blank one."""
+    text = F.regexp_replace(text, r"^\s+", "")
+    # A line that tells how to run or read the file is not part of the comment.
+    rest = F.regexp_replace(text, r"^(#!|<\?)[^\n]*\n\s*", "")
+    lines = F.split(rest, "\n")
+    return (
+        F.when(rest.startswith("/*"), F.substring_index(rest, "*/", 1))
+        .when(rest.startswith("<!--"), F.substring_index(rest, "-->", 1))
+        .when(rest.startswith('"""'), F.substring_index(rest, '"""', 2))
+        .when(rest.startswith("'''"), F.substring_index(rest, "'''", 2))
+        .when(
+            F.rlike(F.element_at(lines, 1), F.lit(COMMENT)),
+            _leading(lines, lambda line: F.rlike(line, F.lit(COMMENT))),
+        )
+        .otherwise(_leading(lines, lambda line: F.rlike(line, F.lit(r"\S"))))
+    )
+
+
 def scan(
     files: DataFrame,
     key: str = "doc_id",
@@ -115,21 +243,34 @@ def scan(
     several, or a directory has several licence files, the highest score wins, then the first
     name. Licence files are rows where ``is_licence`` is true.
 
+    What is compared are lines, the header (the first comment, or the lines up to a blank one) and,
+    of licence files, the whole text; of each only what speaks of a licence.
+
     Null texts declare nothing; files with a null path inherit nothing; null ids, repeated rows
     and repeated paths come out as they went in. Other columns are not read.
     """
+    known = F.coalesce(F.col(is_licence), F.lit(False))
+    whole = F.coalesce(F.col(text), F.lit(""))
+    units = F.concat(
+        F.split(whole, "\n"),
+        F.array(_header(whole)),
+        F.when(known, F.array(whole)).otherwise(F.array().cast("array<string>")),
+    )
+    # Most texts have no line that may declare a licence: those are not taken apart.
+    may = F.rlike(whole, F.lit(STATEMENT))
+    units = F.when(may, F.filter(units, lambda unit: F.rlike(unit, F.lit(STATEMENT))))
     read = files.select(
         F.col(key).alias("doc_id"),
         F.col(path).alias("path"),
-        F.coalesce(F.col(is_licence), F.lit(False)).alias("is_licence"),
-        F.filter(
-            F.split(F.col(text), "\n"), lambda line: F.rlike(line, F.lit(STATEMENT))
-        ).alias("lines"),
+        known.alias("is_licence"),
+        units.alias("lines"),
     )
     # Only what may declare a licence is kept of the texts.
     read = written(read.withColumn("lines", F.array_distinct("lines")), "statements")
-    lines = read.select("doc_id", "path", "is_licence", F.explode("lines").alias("unit"))
-    units = lines.groupBy("unit").agg(F.count("*").alias("files"))
+    lines = read.select("doc_id", "path", "is_licence", F.explode("lines").alias("text"))
+    # Whole texts are long: what is counted and joined is their digest.
+    lines = lines.withColumn("unit", F.unhex(F.md5(F.col("text").cast("binary"))))
+    units = lines.groupBy("unit").agg(F.min("text").alias("text"), F.count("*").alias("files"))
     best = written(best_templates(units, templates), "best")
 
     stated = lines.join(best, "unit").select(
