@@ -38,7 +38,7 @@ def test_equals_sql(spark, tables, name):
 def test_all_are_registered():
     names = contract.queries()
     numbers = sorted(int(n[2:].split("_")[0]) for n in LLM_QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert set(LLM_QUERIES) | {"pipeline"} <= set(names)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,9 +19,11 @@ from wordwood.llm import (
     repeats,
     rules,
     sharding,
+    token_files,
 )
 from wordwood.llm.common import WORD
 from wordwood.sources import read_dataset
+from wordwood.sources.scratch import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -129,3 +132,16 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the 100-byte strings that start earlier elsewhere."""
     return repeats.remove_repeats(table(spark, sf_dir, "documents"), keep_bytes=False)
+
+
+# The vocabulary, and the id that ends a document.
+VOCABULARY, END_ID = "word_bpe_49k.json", 1
+
+
+@query
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token ids of all documents as files, and what these hold."""
+    path = scratch_path(spark, "token-files")
+    vocabulary = public_tokenizers.path(VOCABULARY)
+    token_files.write_token_files(table(spark, sf_dir, "documents"), path, vocabulary, END_ID)
+    return token_files.read_token_files(spark, path)
