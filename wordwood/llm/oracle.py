@@ -164,3 +164,26 @@ LLM_ORACLE["op10_suffix_dedup"] = """
     SELECT doc_id, n AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed,
            coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(k)) AS kept_sha256
     FROM raw JOIN kept USING (doc_id) LEFT JOIN counted USING (doc_id)"""
+
+LLM_ORACLE["op13_hard_negatives"] = """
+    WITH rows AS (
+        SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+               list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+        FROM embeddings
+        WHERE label IS NOT NULL AND embedding IS NOT NULL
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    scores AS (
+        SELECT a.vec_id AS anchor, r.vec_id, a.label = r.label AS same,
+               list_inner_product(a.q, r.q)::BIGINT AS score
+        FROM rows a JOIN rows r ON a.vec_id % 100 = 0 AND a.vec_id <> r.vec_id),
+    positives AS (
+        SELECT anchor, vec_id AS positive, score FROM scores WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id) <= 5),
+    inside AS (
+        SELECT p.anchor, p.positive, p.score AS positive_score, n.vec_id, n.score,
+               row_number() OVER (PARTITION BY p.anchor, p.positive ORDER BY n.score DESC, n.vec_id) AS rank
+        FROM positives p JOIN scores n ON n.anchor = p.anchor AND NOT n.same
+         AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score)
+    SELECT anchor AS anchor_id, positive AS positive_id, rank::INT AS rank, vec_id AS negative_id,
+           positive_score, score AS negative_score
+    FROM inside WHERE rank <= 10"""

@@ -16,6 +16,7 @@ from wordwood.llm import (
     licences,
     lm,
     mixing,
+    negatives,
     repeats,
     rules,
     sharding,
@@ -145,3 +146,9 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path(VOCABULARY)
     token_files.write_token_files(table(spark, sf_dir, "documents"), path, vocabulary, END_ID)
     return token_files.read_token_files(spark, path)
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of other labels that score nearly as high as the positives of each hundredth vector."""
+    return negatives.mine(table(spark, sf_dir, "embeddings"))
