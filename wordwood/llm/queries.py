@@ -17,6 +17,7 @@ from wordwood.llm import (
     lm,
     mixing,
     negatives,
+    repair,
     repeats,
     rules,
     sharding,
@@ -148,6 +149,13 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, path)
 
 
+@query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repair of all conversations, once some of their rows are damaged."""
+    rows = table(spark, sf_dir, "conversations")
+    return repair.report(repair.damaged(rows), rows)
+
+
 @query
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of other labels that score nearly as high as the positives of each hundredth vector."""
