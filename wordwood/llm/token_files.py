@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import itertools
 import os
+import string
 import struct
 import zlib
 from collections.abc import Iterator
@@ -43,6 +44,10 @@ IDS_PER_FILE, DOCS_PER_FILE = 8 << 20, 1 << 17
 CHARS_AT_ONCE = 4 << 20
 WORDS_KNOWN, IDS_KNOWN = 500_000, 8_000_000
 
+# Punctuation that may end a word. The apostrophe is left out: it may belong to letters.
+LETTERS = frozenset(string.ascii_letters)
+ENDS = string.punctuation.replace("'", "")
+
 # New words are tokenised so many at a time, with a mark between them that is a token of its own.
 JOINED, MARK = 64, "\x01"
 
@@ -77,6 +82,17 @@ class Encoder:
         self.ids = np.empty(0, np.uint32)
         mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.cut = "".join(filter(self.cuts, ENDS))
+
+    def cuts(self, end: str) -> bool:
+        """Whether letters and this punctuation after them are never in one token."""
+        before = self.tokenizer.pre_tokenizer
+        return before is not None and all(
+            [t for t, _ in before.pre_tokenize_str(x + more)] == [x, more]
+            for x in ("a", "ab", "Ab")
+            for more in (end, end * 3, f"{end}.", f",{end}")
+        )
 
     def each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words, one after the other, and how many each has."""
@@ -92,13 +108,39 @@ class Encoder:
         ids = np.fromiter(itertools.chain.from_iterable(found), np.uint32)
         return ids, np.fromiter(map(len, found), np.int64, len(found))
 
-    def learn(self, words: list[str]) -> None:
-        """Tokenise these words, whose numbers follow those of all before."""
-        ids, lengths = self.each(words)
-        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.uses = np.concatenate([self.uses, np.zeros(len(words), np.int32)])
+    def learn(self) -> None:
+        """Tokenise the new words.
+
+        A word that ends in punctuation has the ids of what it is without and those of its end,
+        if the tokenizer cuts it there.
+        """
+        new, ended = self.known.new, []
+        for i, word in enumerate(new):
+            bare = word.rstrip(self.cut)
+            if len(bare) < len(word) and bare[-1:] in LETTERS and not any(a in word for a in self.added):
+                ended.append((i, self.known[bare], self.known[word[len(bare) :]]))
+        known, lengths, starts = len(self.lengths), np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+        whole = np.ones(len(new), bool)
+        whole[[i for i, _, _ in ended]] = False
+        ids, lengths[whole] = self.each([new[i] for i in np.flatnonzero(whole)])
+        starts[whole] = len(self.ids) + np.cumsum(lengths[whole]) - lengths[whole]
         self.ids = np.concatenate([self.ids, ids])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.starts = np.concatenate([self.starts, starts])
+        self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int32)])
+        if ended:
+            at, *parts = np.array(ended).T
+            parts = np.stack(parts, axis=1)
+            lengths = self.lengths[parts].sum(1)
+            self.lengths[known + at] = lengths
+            self.starts[known + at] = len(self.ids) + np.cumsum(lengths) - lengths
+            self.ids = np.concatenate([self.ids, self.gathered(parts.reshape(-1))])
+
+    def gathered(self, numbers: np.ndarray) -> np.ndarray:
+        """The ids of words, one after the other."""
+        lengths = self.lengths[numbers]
+        ends = np.cumsum(lengths)
+        return self.ids[np.arange(ends[-1]) + np.repeat(self.starts[numbers] - ends + lengths, lengths)]
 
     def forget(self) -> None:
         """Keep the words that were used most since the last time, half of the bound at most."""
@@ -106,11 +148,10 @@ class Encoder:
         often = often[(self.uses[often] > 1) & (self.lengths[often] <= IDS_KNOWN // WORDS_KNOWN)]
         words = list(self.known)
         words = [words[i] for i in often]
-        lengths, starts = self.lengths[often], self.starts[often]
-        ends = np.cumsum(lengths)
-        at = np.arange(lengths.sum()) + np.repeat(starts - ends + lengths, lengths)
         self.known = Known(zip(words, range(len(words)), strict=True))
-        self.ids, self.starts, self.lengths = self.ids[at], ends - lengths, lengths
+        self.ids = self.gathered(often) if len(often) else self.ids[:0]
+        self.lengths = self.lengths[often]
+        self.starts = np.cumsum(self.lengths) - self.lengths
         self.uses = np.zeros(len(words), np.int32)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -125,12 +166,10 @@ class Encoder:
         numbers = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         which = numbers[coded.indices.to_numpy()]
         if self.known.new:
-            self.learn(self.known.new)
+            self.learn()
         self.uses += np.bincount(which, minlength=len(self.uses)).astype(np.int32)
-        lengths = self.lengths[which]
-        stops = np.cumsum(lengths)
-        at = np.arange(stops[-1]) + np.repeat(self.starts[which] - stops + lengths, lengths)
-        return np.split(self.ids[at], stops[ends - 1][:-1])
+        stops = np.cumsum(self.lengths[which])
+        return np.split(self.gathered(which), stops[ends - 1][:-1])
 
 
 def pieces(texts: Iterator[tuple[int | None, str]]) -> Iterator[list[tuple[int | None, str, bool]]]:
