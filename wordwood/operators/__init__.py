@@ -1,5 +1,6 @@
 """Operators: functions from DataFrame to DataFrame."""
 
+from wordwood.operators.distribution import differences, distribution, is_classification
 from wordwood.operators.forest import (
     accuracy_pct,
     assemble,
@@ -20,6 +21,7 @@ from wordwood.operators.runlog import (
     stage_summary,
 )
 from wordwood.operators.sampling import exact_split, hash_split, permute, preview
+from wordwood.operators.sweeps import Journal, copies_sweep, text_sweep, upload_sweep
 from wordwood.operators.text import (
     counts_diff,
     counts_match,
@@ -31,23 +33,30 @@ from wordwood.operators.text import (
     top_words,
     word_counts,
 )
+from wordwood.operators.treewalk import forest_nodes, walk_forest, walked_alike
 from wordwood.operators.upscale import dense_index, number_copies, replicate, tile
 
 __all__ = [
+    "Journal",
     "RUN_LOG_SCHEMA",
     "accuracy_pct",
     "assemble",
     "beats_majority",
     "conform",
+    "copies_sweep",
     "counts_diff",
     "counts_match",
     "dense_index",
+    "differences",
     "distinct_words",
+    "distribution",
     "document_features",
     "evaluate_forest",
     "exact_split",
+    "forest_nodes",
     "forest_sweep",
     "hash_split",
+    "is_classification",
     "mask_failed",
     "number_copies",
     "permute",
@@ -58,12 +67,16 @@ __all__ = [
     "speedup",
     "stage_summary",
     "text_size_mb",
+    "text_sweep",
     "tile",
     "to_lines",
     "token_total",
     "tokenize",
     "top_words",
     "train_forest",
+    "upload_sweep",
+    "walk_forest",
+    "walked_alike",
     "word_counts",
     "written_split",
 ]

@@ -17,6 +17,7 @@ from wordwood.functions.labels import files_for
 from wordwood.functions.text import tokens
 from wordwood.operators.runlog import RUN_LOG_SCHEMA
 from wordwood.operators.sampling import hash_split
+from wordwood.operators.sweeps import Journal
 from wordwood.sources.datasets import (
     FEATURE_COLS,
     FEATURE_SCHEMA,
@@ -42,6 +43,11 @@ SWEEP_SCHEMA = T.StructType(
     ]
 )
 
+# A journal also tells by which split a run was tested.
+JOURNAL_SCHEMA = T.StructType(
+    [*SWEEP_SCHEMA.fields, T.StructField("test", T.DoubleType()), T.StructField("seed", T.LongType())]
+)
+
 
 def conform(df: DataFrame) -> DataFrame:
     """Project to the feature schema: float features, int label, whatever the producer."""
@@ -207,6 +213,8 @@ def forest_sweep(
     test: float | None = 0.2,
     seed: int = 42,
     build: Callable[[int], DataFrame] | None = None,
+    journal: str | None = None,
+    retry_failed: bool = False,
 ) -> DataFrame:
     """Train and test a forest for each size and number of trees: a run log of all stages.
 
@@ -215,10 +223,29 @@ def forest_sweep(
     ``build(size)`` or else the generator. Without ``test`` the forest is trained on all rows. The
     seconds of ``train`` cover reading and training, not testing. What fails in Spark is a row with
     ``ok = false``, the error, and nulls; a dataset that fails takes its training runs with it.
+
+    With a path as ``journal`` every run is written down there when it ends. A sweep that was stopped
+    goes on with the first run that is missing; with ``retry_failed`` those that failed are done again.
+    Runs with another ``test`` or ``seed`` are other runs. The log is that of the journal.
     """
     make = build or (lambda n: gen_classification(spark, n))
-    trees, runs = list(trees), []
+    trees, runs, done, kept = list(trees), [], {}, None
+    if journal:
+        kept = Journal(spark, journal, JOURNAL_SCHEMA, ["size", "stage", "trees", "test", "seed"])
+        done = kept.finished(retry_failed)
+
+    def ended(size: int, stage: str, n: int | None = None) -> bool:
+        return (size, stage, n, test, seed) in done
+
+    def note(row: tuple) -> None:
+        runs.append(row)
+        if kept:
+            kept.append([(*row, test, seed)])
+
     for size in sizes:
+        left = [n for n in trees if not ended(size, "train", n)]
+        if not left and ended(size, "generate"):
+            continue
         started = time.monotonic()
         try:
             df, _ = ensure_dataset(
@@ -226,13 +253,18 @@ def forest_sweep(
             )
             split = written_split(df, "id", test, seed)
         except (PySparkException, Py4JJavaError, ValueError) as e:
-            runs.append(_row(spark, size, "generate", None, e))
-            runs += [_row(spark, size, "train", None, e, n) for n in trees]
+            note(_row(spark, size, "generate", None, e))
+            for n in left:
+                note(_row(spark, size, "train", None, e, n))
             continue
-        runs.append(_row(spark, size, "generate", time.monotonic() - started))
-        for n_trees in trees:
-            runs.append(_run(split, size, n_trees, seed))
-    return spark.createDataFrame(runs, SWEEP_SCHEMA)
+        if not ended(size, "generate"):
+            note(_row(spark, size, "generate", time.monotonic() - started))
+        for n in left:
+            note(_run(split, size, n, seed))
+    if not kept:
+        return spark.createDataFrame(runs, SWEEP_SCHEMA)
+    same = F.col("test").eqNullSafe(F.lit(test)) & (F.col("seed") == seed)
+    return kept.log().where(same).select(*SWEEP_SCHEMA.names)
 
 
 def _row(spark, size, stage, seconds, error=None, trees=None, counts=(None, None, None)) -> tuple:

@@ -15,10 +15,18 @@ from pyspark.sql import functions as F
 from wordwood.functions.hashing import fresh
 from wordwood.sources.datasets import read_dataset, write_dataset
 from wordwood.sources.scratch import scratch_path
+from wordwood.sources.sizing import row_bytes, table_bytes
 
-# Copies that one row makes at a time, and rows that one task should make.
+# Copies that one row makes at a time.
 BLOCK = 10_000
+
+# What one task should make, in rows and in bytes of memory, and the most tasks that are asked for.
 ROWS_PER_TASK = 1_000_000
+BYTES_PER_TASK = 16 << 20
+MAX_TASKS = 20_000
+
+# Copies of one row are dealt out in pieces of about so many bytes.
+PIECE_BYTES = 1 << 20
 
 # monotonically_increasing_id() holds the partition above this bit, the row number below.
 PARTITION_BIT = 33
@@ -59,6 +67,11 @@ def _copied(df: DataFrame, copies: Column, name: str, tasks: int | None) -> Data
     return blocks.select(*df.columns, F.explode(F.sequence(first, last)).alias(name))
 
 
+def _tasks(rows: int, size: int) -> int:
+    """Tasks to make so many rows of so many bytes."""
+    return min(MAX_TASKS, max(1, math.ceil(rows / ROWS_PER_TASK), math.ceil(size / BYTES_PER_TASK)))
+
+
 def tile(df: DataFrame, key: str, size: int, name: str = "id") -> DataFrame:
     """Repeat a table, in the order of its unique key, up to exactly ``size`` rows.
 
@@ -67,13 +80,13 @@ def tile(df: DataFrame, key: str, size: int, name: str = "id") -> DataFrame:
     """
     if name.lower() in {c.lower() for c in df.columns}:
         raise ValueError(f"the table has a column {name} already: choose another name")
-    n = df.count()
+    n, held = table_bytes(df)
     if n == 0:
         raise ValueError("cannot tile an empty table")
     index, copy = fresh(df, "_i", "_copy")
     base = dense_index(df, key, index).where(F.col(index) < size)
     copies = F.call_function("div", F.lit(size - 1) - F.col(index), F.lit(n)) + 1
-    copied = _copied(base, copies, copy, math.ceil(size / ROWS_PER_TASK))
+    copied = _copied(base, copies, copy, _tasks(size, held * size // n))
     return copied.select((F.col(copy) * n + F.col(index)).alias(name), *df.columns)
 
 
@@ -96,18 +109,27 @@ def number_copies(df: DataFrame, name: str = "copy") -> DataFrame:
 def replicate(df: DataFrame, m: int, slices: int | None = None) -> DataFrame:
     """Every row ``m`` times; none at 0.
 
-    Input of few, long rows should name the number of ``slices`` to spread the copies over;
-    otherwise they are made where the row is, without a shuffle.
+    The work is what the copies weigh, not where the rows are: the bytes of the rows, times ``m``, say how many
+    tasks make the copies, and the rows are dealt out over these before they are copied, so each is
+    moved once, or once for each piece of its copies if it is long. A table whose copies
+    one task can make stays where it is. With ``slices`` that many tasks share the copies of every row.
     """
     if m < 0:
         raise ValueError(f"m must not be negative, but is {m}")
-    (copy,) = fresh(df, "_copy")
-    if not slices:
-        return _copied(df, F.lit(m).cast("bigint"), copy, None).drop(copy)
-    share, own = fresh(df, "_share", "_own")
-    blocks = min(m, slices)
-    each, rest = divmod(m, blocks) if blocks else (0, 0)
-    dealt = df.withColumn(own, F.lit(blocks)).where(F.col(own) > 0)
-    dealt = dealt.withColumn(share, F.explode(F.sequence(F.lit(1), F.col(own)))).repartition(slices)
-    copies = F.lit(each).cast("bigint") + F.when(F.col(share) <= rest, 1).otherwise(0)
-    return _copied(dealt, copies, copy, None).select(*df.columns)
+    if m == 0:
+        return df.where(F.lit(False))
+    copy, share, own = fresh(df, "_copy", "_share", "_own")
+    if slices:
+        pieces, tasks = F.lit(min(m, slices)), slices
+    else:
+        rows, size = table_bytes(df)
+        tasks = _tasks(rows * m, size * m)
+        if tasks == 1:
+            return _copied(df, F.lit(m).cast("bigint"), copy, None).drop(copy)
+        heavy = F.ceil(row_bytes(df) * m / F.lit(PIECE_BYTES))
+        pieces = F.greatest(F.lit(1), F.least(F.lit(m), heavy)).cast("int")
+    dealt = df.withColumn(own, pieces)
+    dealt = dealt.withColumn(share, F.explode(F.sequence(F.lit(1), F.col(own)))).repartition(tasks)
+    each = F.call_function("div", F.lit(m), F.col(own))
+    rest = F.col(share) <= F.lit(m) % F.col(own)
+    return _copied(dealt, each + F.when(rest, 1).otherwise(0), copy, None).select(*df.columns)

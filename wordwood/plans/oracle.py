@@ -241,3 +241,79 @@ ORACLE_SQL: dict[str, str] = {
                concat(size // 1000, 'K') AS label_k
         FROM (SELECT o_orderkey * 1000 AS size FROM orders)""",
 }
+
+# Soft splits, files by bytes, sizes in one table, sweeps that go on, and plans.
+
+FEATURES = ("f0", "f1", "f2", "f3")
+MOMENTS = ", ".join(
+    [f"round(avg({c}::DOUBLE), 6) AS mean_{c}" for c in FEATURES]
+    + [
+        f"round(covar_pop({a}::DOUBLE, {b}::DOUBLE), 6) AS cov_{a}_{b}"
+        for i, a in enumerate(FEATURES)
+        for b in FEATURES[i:]
+    ]
+)
+NUMBERED_ORDERS = "(SELECT row_number() OVER () - 1 AS id FROM orders)"
+SAMPLE_TEXT = "Hello Spark Hello Big Data Python Java Hadoop Cluster AI Machine Learning"
+CUSTOMER_SPLIT = """
+    SELECT (SELECT count(*) FROM customer) AS size,
+           count(*) FILTER (WHERE substr(md5(concat(c_custkey, '-42')), 1, 8) < '33333333') AS n_test,
+           count(*) FILTER (WHERE substr(md5(concat(c_custkey, '-42')), 1, 8) >= '33333333') AS n_train
+    FROM customer"""
+
+
+def one_size(table: str, key: str) -> str:
+    return f"""
+    SELECT (SELECT count(*) FROM {table}) AS size, count(*) AS n, sum(label)::BIGINT AS labels,
+           round(sum(f0::DOUBLE), 3) AS f0, true AS untouched
+    FROM ({classification(table, key)})"""
+
+
+ORACLE_SQL |= {
+    "split_scan": f"""
+        SELECT count(*) AS tokens, true AS enough, 0::INT AS shuffles FROM ({WORDS}) WHERE word <> ''""",
+    "text_sweep": """
+        WITH size AS (
+            SELECT sum(octet_length(encode(text)) + 1)::DOUBLE / 1048576 AS mb FROM documents),
+        sizes AS (
+            SELECT greatest(1, ceil(mb / 4))::BIGINT AS size FROM size
+            UNION ALL SELECT greatest(2, ceil(mb))::BIGINT FROM size)
+        SELECT size, 'generate' AS stage, NULL::BIGINT AS counted, true AS ok FROM sizes
+        UNION ALL
+        SELECT size, 'count', (ceil(size * 1048576::DOUBLE / 6601) * 1100)::BIGINT, true FROM sizes""",
+    "copies_sweep": f"""
+        SELECT m AS size, 'count' AS stage, m * n AS counted, true AS ok
+        FROM (SELECT count(*) AS n FROM ({WORDS.replace('documents', 'conversations')}) WHERE word <> ''),
+             (VALUES (1::BIGINT), (3::BIGINT)) AS f(m)""",
+    "sample_lines_by_row": counts(
+        f"SELECT unnest(string_split(concat_ws(' ', '{SAMPLE_TEXT}', o_orderpriority), ' ')) AS word FROM orders"
+    ),
+    "generated_moments": f"""
+        SELECT label, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share, {MOMENTS},
+               true AS alike
+        FROM ({classification(NUMBERED_ORDERS, 'id')}) GROUP BY label""",
+    "preview_any": "SELECT 3::BIGINT AS n, 3::BIGINT AS known",
+    "failed_overwrite": "SELECT * FROM orders",
+    "files_by_bytes": " UNION ALL ".join(
+        f"SELECT '{t}' AS name, count(*) AS n, true AS even FROM {t}" for t in ("documents", "orders", "lineitem")
+    ),
+    "sized_table": f"{one_size('customer', 'c_custkey')} UNION ALL {one_size('orders', 'o_orderkey')}",
+    "resumed_sweep": f"""
+        SELECT size, 'generate' AS stage, NULL::INT AS trees, NULL::BIGINT AS n_train, NULL::BIGINT AS n_test,
+               true AS ok
+        FROM ({CUSTOMER_SPLIT})
+        UNION ALL
+        SELECT size, 'train', trees, n_train, n_test, true
+        FROM ({CUSTOMER_SPLIT}), (VALUES (5), (8)) AS t(trees)""",
+    "upload_log": """
+        SELECT n AS size, stage, CASE WHEN stage = 'upload' THEN n END AS counted, true AS ok
+        FROM (SELECT count(*) AS n FROM customer), (VALUES ('generate'), ('upload')) AS s(stage)""",
+    "pandas_plain_hand_over": """
+        SELECT arrow, r_regionkey AS id, (r_regionkey / 2::DOUBLE)::FLOAT AS f0, length(r_name)::FLOAT AS f3,
+               (r_regionkey % 2)::INT AS label, count(*) AS nations
+        FROM region JOIN nation ON n_regionkey = r_regionkey, (VALUES (true), (false)) AS a(arrow)
+        GROUP BY arrow, r_regionkey, r_name""",
+    "plan_shapes": """
+        SELECT * FROM (VALUES ('word_count', 1), ('token_total', 1), ('hash_split', 0), ('counts_diff', 2))
+               AS p(name, shuffles)""",
+}

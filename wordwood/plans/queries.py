@@ -6,6 +6,7 @@ so the work of every query grows with them.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.ml.functions import vector_to_array
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from wordwood import operators as op
 from wordwood import sources as src
 from wordwood.functions import files_for, size_label
+from wordwood.plans.inspect import final_plan
 from wordwood.sources.datasets import CORE_LEVELS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +25,8 @@ QUERIES: dict[str, Query] = {}
 
 UPSCALE_FACTOR = 10
 SLICES = 24
+COPY_BYTES = 64 << 20
+SMALL_FILE = 128 << 10
 STAGES = ["generate", "upload", "train"]
 DIMENSIONS = 64
 
@@ -146,6 +150,69 @@ def pandas_hand_over(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select(F.col("c_custkey").alias("id"), *src.FEATURE_COLS, "label")
 
 
+@query
+def split_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines in eight files, scanned in about 24 tasks without a shuffle."""
+    path = src.scratch_path(spark, "lines")
+    src.write_lines(op.to_lines(table(spark, sf_dir, "documents")), path, files=8)
+    lines = src.read_lines(spark, path, splits=SLICES)
+    tasks = lines.select(F.spark_partition_id().alias("task")).distinct().count()
+    shuffles = len(final_plan(lines).shuffles)
+    enough = F.lit(2 * SLICES // 3 <= tasks <= SLICES)
+    return op.token_total(lines, "value").select(
+        "tokens", enough.alias("enough"), F.lit(shuffles).alias("shuffles")
+    )
+
+
+@query
+def text_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text files of a quarter and of all of the documents' size, counted; stopped and gone on with."""
+    mb = op.text_size_mb(table(spark, sf_dir, "documents")).first()["size_mb"]
+    sizes = [max(1, math.ceil(mb / 4)), max(2, math.ceil(mb))]
+    root, journal = src.scratch_path(spark, "texts"), src.scratch_path(spark, "journal")
+    op.text_sweep(spark, root, sizes[:1], SLICES, journal)
+    log = op.text_sweep(spark, root, sizes, SLICES, journal)
+    return log.select("size", "stage", "counted", "ok")
+
+
+@query
+def copies_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of the conversations, repeated and counted."""
+    lines = op.to_lines(table(spark, sf_dir, "conversations"))
+    return op.copies_sweep(lines, [1, 3], SLICES).select("size", "stage", "counted", "ok")
+
+
+@query
+def pandas_plain_hand_over(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The regions as a pandas frame and back, with Arrow and without it: their nations counted."""
+    regions = table(spark, sf_dir, "region").selectExpr(
+        "r_regionkey AS id", "r_regionkey / 2D AS f0", "1D AS f1", "2D AS f2", "length(r_name) * 1D AS f3",
+        "r_regionkey % 2 AS label",
+    )
+    pdf = regions.toPandas()
+    both = [src.from_pandas(spark, pdf, arrow=a).withColumn("arrow", F.lit(a)) for a in (True, False)]
+    nations = table(spark, sf_dir, "nation").withColumnRenamed("n_regionkey", "id")
+    return nations.join(both[0].unionAll(both[1]), "id").groupBy("arrow", "id", "f0", "f3", "label").agg(
+        F.count("*").alias("nations")
+    )
+
+
+@query
+def plan_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often queries shuffle, in the plans that ran: once per count, and top k with one row per task more."""
+    docs = table(spark, sf_dir, "documents")
+    plans = {
+        "word_count": op.word_counts(docs),
+        "token_total": op.token_total(docs, by=("lang",)),
+        "hash_split": op.hash_split(docs, "doc_id"),
+        "counts_diff": op.counts_diff(
+            op.word_counts(docs), op.word_counts(table(spark, sf_dir, "conversations"))
+        ),
+    }
+    rows = [(name, len(final_plan(df).shuffles)) for name, df in plans.items()]
+    return spark.createDataFrame(rows, "name string, shuffles int")
+
+
 # Generated data
 
 
@@ -181,6 +248,26 @@ def tile_to_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.tile(table(spark, sf_dir, "labels"), "doc_id", size)
 
 
+@query
+def sample_lines_by_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sample line of each order, ended by its priority, counted by the single-space rule."""
+    lines = src.add_sample_lines(table(spark, sf_dir, "orders"), "o_orderpriority")
+    return op.word_counts(lines, "value", "space")
+
+
+@query
+def generated_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many generated rows as there are orders: means and covariances, and whether they are as promised."""
+    n = table(spark, sf_dir, "orders").count()
+    found = op.distribution(src.gen_classification(spark, n))
+    rows = found.collect()
+    alike = not op.differences(rows)
+    names = [c for c in found.columns if c.startswith(("mean_", "cov_"))]
+    share = F.round(F.col("n") / F.lit(sum(r["n"] for r in rows)), 6).alias("share")
+    moments = [F.round(c, 6).alias(c) for c in names]
+    return found.select("label", "n", share, *moments, F.lit(alike).alias("alike"))
+
+
 # Order, splits, previews
 
 
@@ -211,6 +298,15 @@ def preview_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.preview(table(spark, sf_dir, "orders"), "o_orderkey", 3)
 
 
+@query
+def preview_any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Any three orders: how many they are, and how many of them are orders."""
+    orders = table(spark, sf_dir, "orders")
+    few = op.preview(orders, n=3).select("o_orderkey")
+    known = few.join(orders.select("o_orderkey"), "o_orderkey").agg(F.count("*").alias("known"))
+    return known.select(F.lit(few.count()).cast("bigint").alias("n"), "known")
+
+
 # Projection, features, datasets
 
 
@@ -247,12 +343,11 @@ def document_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def dataset_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write the orders to a number of files, copy them to a sixth of it, read the copy."""
+    """Write the orders to a number of files, copy them to files of a size, read the copy."""
     orders = table(spark, sf_dir, "orders")
-    files = files_for(orders.count())
     first, second = src.scratch_path(spark, "orders"), src.scratch_path(spark, "copy")
-    src.write_dataset(orders, first, files)
-    return src.copy_dataset(spark, first, second, files // 6)
+    src.write_dataset(orders, first, files_for(orders.count()))
+    return src.copy_dataset(spark, first, second, file_bytes=COPY_BYTES)
 
 
 @query
@@ -264,6 +359,67 @@ def overwrite_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return src.read_dataset(spark, path)
 
 
+@query
+def failed_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write the orders, then fail half way through writing others to the same place: the orders are left."""
+    path = src.scratch_path(spark, "kept")
+    orders = table(spark, sf_dir, "orders")
+    src.write_dataset(orders, path)
+    broken = F.when(F.col("o_orderkey") % 7 == 3, F.raise_error(F.lit("broken row")))
+    worse = orders.withColumn("o_totalprice", F.coalesce(broken.cast("double"), "o_totalprice"))
+    try:
+        src.write_dataset(worse, path)
+    except Exception as e:
+        if "broken row" not in str(e):
+            raise
+    return src.read_dataset(spark, path)
+
+
+@query
+def files_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long rows and short rows in files of one size: rows read back, and whether the files have it.
+
+    Tables that make one file are too small for it.
+    """
+    found = []
+    for name in ("documents", "orders", "lineitem"):
+        path = src.scratch_path(spark, name)
+        src.write_dataset(table(spark, sf_dir, name), path, file_bytes=SMALL_FILE)
+        back = src.read_dataset(spark, path)
+        sizes = [src.stored_bytes(spark, f) for f in back.inputFiles()]
+        even = len(sizes) == 1 or all(SMALL_FILE / 2 <= s <= SMALL_FILE * 2 for s in sizes)
+        found.append(back.agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.lit(even).alias("even")))
+    return found[0].unionAll(found[1]).unionAll(found[2])
+
+
+def _files(df: DataFrame) -> set[str]:
+    """The files that rows come from."""
+    return {r[0] for r in df.select(F.input_file_name()).distinct().collect()}
+
+
+@query
+def sized_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of the customers and orders as two sizes of one table, one of them written again.
+
+    The rows by size, whether the files of the other size are as they were, and whether a read of one
+    size reads no other's.
+    """
+    root = src.scratch_path(spark, "sizes")
+    orders = synthetic(spark, sf_dir, "orders", "o_orderkey")
+    customers = synthetic(spark, sf_dir, "customer", "c_custkey")
+    few, many = customers.count(), orders.count()
+    both = customers.withColumn("size", F.lit(few)).unionAll(orders.withColumn("size", F.lit(many)))
+    src.write_sizes(both, root)
+    before = _files(src.read_sizes(spark, root, many))
+    src.write_size(customers, root, few)
+    one = src.read_sizes(spark, root, many)
+    untouched = before == _files(one) and final_plan(one).files_read == len(before)
+    counts = src.read_sizes(spark, root).groupBy("size").agg(
+        F.count("*").alias("n"), F.sum("label").alias("labels"), F.round(F.sum("f0"), 3).alias("f0")
+    )
+    return counts.withColumn("untouched", F.lit(untouched))
+
+
 @query
 def ensure_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Build a feature table of the customers where it is missing; ask for it twice."""
@@ -314,16 +470,19 @@ def doc_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def doc_quality_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact split, 20 trees: every test document has one prediction, of a label there is."""
+    """Exact split, 20 trees: whether the prediction of each test document is that of the nodes.
+
+    No prediction is valid if they are not right more often than the most frequent label.
+    """
     split = op.exact_split(_labelled_documents(spark, sf_dir), "id")
     path = src.scratch_path(spark, "exact")
     split.write.partitionBy("part").parquet(path)
     split = src.read_dataset(spark, path)
     model = op.train_forest(split.where("part = 'train'"))
     scored = op.score(model, split.where("part = 'test'"))
-    p1 = vector_to_array("probability")[1]
-    valid = F.col("prediction").isin(0.0, 1.0) & p1.between(0.0, 1.0)
-    return scored.select("id", "label", valid.alias("valid"))
+    better = op.beats_majority(scored).first()["beats_majority"]
+    walked = op.walked_alike(model, split.where("part = 'test'"))
+    return walked.select("id", "label", (F.col("same") & F.lit(better)).alias("valid"))
 
 
 @query
@@ -363,6 +522,37 @@ def forest_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.select("size", "stage", "trees", "n_train", "n_test", "ok", good)
 
 
+@query
+def resumed_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sweep over the customers that fails, is stopped after one forest, and goes on: its journal."""
+    n = table(spark, sf_dir, "customer").count()
+    root, journal = src.scratch_path(spark, "sweep"), src.scratch_path(spark, "journal")
+
+    def build(_: int) -> DataFrame:
+        return synthetic(spark, sf_dir, "customer", "c_custkey")
+
+    def broken(_: int) -> DataFrame:
+        raise ValueError("no rows today")
+
+    op.forest_sweep(spark, root, [n], (5,), build=broken, journal=journal)
+    op.forest_sweep(spark, root, [n], (5,), build=build, journal=journal, retry_failed=True)
+    log = op.forest_sweep(spark, root, [n], (5, 8), build=broken, journal=journal)
+    return log.select("size", "stage", "trees", "n_train", "n_test", "ok")
+
+
+@query
+def upload_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Making features of the customers and bringing them to their place: the log without its times."""
+    n = table(spark, sf_dir, "customer").count()
+    log = op.upload_sweep(
+        spark,
+        src.scratch_path(spark, "uploads"),
+        [n],
+        build=lambda _: synthetic(spark, sf_dir, "customer", "c_custkey"),
+    )
+    return log.select("size", "stage", "counted", "ok")
+
+
 @query
 def accuracy_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How well "not toxic" predicts quality."""

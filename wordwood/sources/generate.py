@@ -94,3 +94,11 @@ def gen_text(spark: SparkSession, target_mb: float) -> DataFrame:
 def gen_sample_lines(spark: SparkSession, n: int = SAMPLE_LINES) -> DataFrame:
     """``n`` copies of the short sample line, ``value string``."""
     return _range(spark, n, ROWS_PER_TASK).select(F.lit(SAMPLE_LINE).alias("value"))
+
+
+def add_sample_lines(df: DataFrame, *cols: str) -> DataFrame:
+    """The sample line for each row of a table, followed by the values of ``cols``: ``value string``.
+
+    A null value adds nothing.
+    """
+    return df.select(F.concat_ws(" ", F.lit(SAMPLE_LINE), *[F.col(c).cast("string") for c in cols]).alias("value"))
