@@ -41,15 +41,16 @@ BYTES_PER_TASK = 24 << 20
 IDS_PER_FILE, DOCS_PER_FILE = 8 << 20, 1 << 17
 
 # Text looked at in one go; words remembered, and the ids of these.
-CHARS_AT_ONCE = 4 << 20
-WORDS_KNOWN, IDS_KNOWN = 500_000, 8_000_000
+CHARS_AT_ONCE = 1 << 20
+WORDS_KNOWN, IDS_KNOWN = 400_000, 6_000_000
 
 # Punctuation that may end a word. The apostrophe is left out: it may belong to letters.
 LETTERS = frozenset(string.ascii_letters)
 ENDS = string.punctuation.replace("'", "")
 
-# New words are tokenised so many at a time, with a mark between them that is a token of its own.
-JOINED, MARK = 64, "\x01"
+# New words are tokenised in texts of so many, with a mark between them that is a token of its own, and
+# so many in one call, as the tokenizer's results are large.
+JOINED, LOT, MARK = 64, 16_384, "\x01"
 
 # Boundaries that a reader selects in one go.
 SELECT_AT_ONCE = 4096
@@ -96,11 +97,14 @@ class Encoder:
 
     def each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words, one after the other, and how many each has."""
-        joined = [f" {MARK} ".join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)]
         if self.mark is not None and not any(MARK in w for w in words):
-            found = self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)
-            ends = itertools.chain.from_iterable((*x.ids, self.mark) for x in found)
-            ids = np.fromiter(ends, np.uint32)
+            parts = []
+            for lot in itertools.batched(words, LOT):
+                joined = [f" {MARK} ".join(some) for some in itertools.batched(lot, JOINED)]
+                found = self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)
+                ends = itertools.chain.from_iterable((*x.ids, self.mark) for x in found)
+                parts.append(np.fromiter(ends, np.uint32))
+            ids = np.concatenate([np.empty(0, np.uint32), *parts])
             marks = np.flatnonzero(ids == self.mark)
             if len(marks) == len(words):
                 return np.delete(ids, marks), np.diff(marks, prepend=-1) - 1
