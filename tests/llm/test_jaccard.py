@@ -134,3 +134,56 @@ def test_components(spark):
                 seen.add(m)
                 todo.append(m)
         assert got[n] == min(seen)
+
+
+@pytest.mark.parametrize(
+    "texts",
+    [
+        ["one document alone"],
+        ["one two three four five six", "seven eight nine ten eleven twelve"],
+        ["a", "b", "c d"],
+        ["the same text here now again"] * 5,
+        ["", None, "  "],
+    ],
+)
+def test_tables_without_near_duplicates(spark, texts):
+    rows = [(i, t, "a") for i, t in enumerate(texts)]
+    got = jaccard.near_duplicates(table(spark, rows)).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter(plain(rows))
+    assert jaccard.without_near_duplicates(table(spark, rows)).count() == len(
+        {c if n else ("alone", i) for i, n, c in plain(rows)}
+    )
+
+
+def test_a_table_without_duplicates_stays(spark):
+    once = jaccard.without_near_duplicates(table(spark, near_rows(4)))
+    once = spark.createDataFrame(once.collect(), once.schema)
+    assert jaccard.without_near_duplicates(once).count() == once.count()
+
+
+def test_small_lots_and_fragments(spark, monkeypatch):
+    for name, value in (("NGRAMS_AT_ONCE", 700), ("TEXTS_AT_ONCE", 9), ("NGRAMS_PER_FRAGMENT", 900)):
+        monkeypatch.setattr(jaccard, name, value)
+    rows = near_rows(5) + odd_rows()
+    got = jaccard.near_duplicates(table(spark, rows)).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter(plain(rows))
+
+
+def test_another_order_is_an_error(spark):
+    rows = [(i, f"word{i} a b c d e f", "a") for i in range(50)]
+    owners = [{"lot": 0, "chk": 1, "owners": b"\xff"}]
+    import pandas as pd
+
+    cut = pd.DataFrame(
+        [(0, 0, 2, b"\0\0\0\0", b"\1\0\0\0", b"12345678")], columns=["fragment", "lot", "chk", "texts", "counts", "grams"]
+    )
+    with pytest.raises(RuntimeError, match="another order"):
+        jaccard._shared(cut, pd.DataFrame(owners))
+    assert jaccard.near_duplicates(table(spark, rows)).count() == 50
+
+
+def test_columns_with_inner_names_come_back(spark):
+    df = table(spark, near_rows(1)[:40]).selectExpr("*", "'mine' AS _md5", "'own' AS _id", "1 AS stays")
+    out = jaccard.without_near_duplicates(df)
+    assert out.columns == df.columns
+    assert {(r["_md5"], r["_id"], r["stays"]) for r in out.collect()} == {("mine", "own", 1)}

@@ -1,17 +1,21 @@
 """Near duplicates by an exact Jaccard join of n-gram sets, partitioned vertically.
 
-The order of all n-grams (by hash) is cut into fragments. Every document sends to each fragment
-the part of its set that falls there. Inside a fragment the n-grams that only one set has are
-dropped, as they can be in no overlap, and what is left of each part is counted. Summed over the
-fragments, that count bounds every overlap of the document from above, so a document that shares
+The order of all n-grams (by hash) is cut into fragments. Texts are read in lots; a lot sends to
+each fragment the parts of its sets that fall there, and only what is there. Inside a fragment the n-grams that only one set has are
+dropped, as they can be in no overlap, and what is left goes back to its lot. Summed over the
+fragments, its count bounds every overlap of a set from above, so a set that shares
 less than the threshold with all others together is in no pair. Of the rest, the overlap of a
 pair is counted part by part and summed.
 
 Which pairs are counted: first each set against hubs for its MinHash values, which joins most
-copies of a text to each other without listing their pairs. Then, exactly, all pairs from
-different components that share an n-gram of both prefixes: with the rarest n-grams first, two
-sets that are similar enough have one of their first few in common. A sketch of each set drops
+copies of a text to each other without listing their pairs. Then all pairs from
+different components that share one of their first few prefix n-grams, and then, exactly, one of all: with the rarest n-grams first, two
+sets that are similar enough have one of their prefixes in common. A sketch of each set drops
 pairs that cannot be similar before their n-grams are looked at; it drops no other.
+
+Equal sets count once. Which row stands for a set is found in a first pass over the texts; the second
+pass, which sends the n-grams, must see the rows of each partition in the same order, as any scan of files
+does. A checksum of each lot tells if it does not, and is an error.
 """
 
 from __future__ import annotations
@@ -21,30 +25,33 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from wordwood.llm.common import fragments_for, total_bytes, written
+from wordwood.functions.hashing import fresh
+from wordwood.llm.common import fragments_for, written
 from wordwood.llm.components import components
 
 # Words of an n-gram, least similarity in percent.
 WIDTH = 5
 LEAST_PCT = 80
 
-# Text that one fragment stands for, and fragments there are at least.
-BYTES_PER_FRAGMENT, LEAST_FRAGMENTS = 20 << 20, 8
+# N-grams that one fragment stands for.
+NGRAMS_PER_FRAGMENT = 3_000_000
 
-# Parts in which overlaps are counted, and MinHash values that choose hubs.
+# Parts in which overlaps are counted, MinHash values that choose hubs, and n-grams of a prefix
+# by which sets meet before they meet by all of it.
 PARTS = 8
 HUBS = 6
+FIRST = 3
 
 # Bits of the sketch that bounds the difference of two sets.
 BITS = 1024
 BIT_WORDS = [f"bits{i}" for i in range(BITS // 64)]
 
-# N-grams sent on at a time, and words remembered with their hashes: both bound a task's memory.
-NGRAMS_AT_ONCE = 500_000
+# N-grams and texts of a lot, and words remembered with their hashes: all bound a task's memory.
+NGRAMS_AT_ONCE, TEXTS_AT_ONCE = 500_000, 4_000
 WORDS_KNOWN = 100_000
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -78,141 +85,201 @@ class Sets:
         return np.unique(grams)
 
 
-SIZED = T.StructType(
-    [T.StructField("n_shingles", T.LongType()), T.StructField("node", T.BinaryType())]
-)
+def _lots(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, pd.DataFrame, list[np.ndarray]]]:
+    """Rows with the sets of their ``text``, many together, and the number of each lot.
 
+    Lots depend on the rows of the partition and their order, not on how these come in.
+    """
+    sets, number = Sets(), TaskContext.get().partitionId() << 24
+    held, grams, size = [], [], 0
+    for frame in batches:
+        start = 0
+        for i, text in enumerate(frame["text"], 1):
+            grams.append(sets.of(text))
+            size += len(grams[-1])
+            if size > NGRAMS_AT_ONCE or len(grams) >= TEXTS_AT_ONCE:
+                yield number, pd.concat([*held, frame.iloc[start:i]]), grams
+                held, grams, size, start, number = [], [], 0, i, number + 1
+        held.append(frame.iloc[start:])
+    if grams:
+        yield number, pd.concat(held), grams
 
-@F.pandas_udf(SIZED)
-def _sized(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    sets = Sets()
-    for texts in batches:
-        grams = [sets.of(t) for t in texts]
-        nodes = [xxhash.xxh128_digest(g.tobytes()) if len(g) else None for g in grams]
-        yield pd.DataFrame({"n_shingles": [len(g) for g in grams], "node": nodes})
 
+def _node(grams: np.ndarray) -> bytes:
+    return xxhash.xxh128_digest(grams.tobytes()) if len(grams) else b""
 
-def _cut(batches: Iterator[pd.DataFrame], fragments: int) -> Iterator[pd.DataFrame]:
-    """The parts of the sets of some texts, one row per fragment for many texts together."""
-    sets = Sets()
 
-    def rows(found: dict[bytes, np.ndarray]) -> pd.DataFrame:
-        sizes = np.array([len(g) for g in found.values()])
-        grams = np.concatenate(list(found.values()))
-        # The leading bits of a hash, scaled: fragments are ranges of the order of hashes.
-        at = ((grams >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int64)
-        text = np.repeat(np.arange(len(found)), sizes)
-        counts = np.bincount(at * len(found) + text, minlength=fragments * len(found))
-        counts = counts.reshape(fragments, len(found)).astype(np.int32)
-        order = np.argsort(at, kind="stable")
-        ends = np.cumsum(counts.sum(1))
-        parts = np.split(grams[order], ends[:-1])
-        return pd.DataFrame(
+def _check(nodes: list[bytes]) -> int:
+    """The checksum of a lot."""
+    return int.from_bytes(xxhash.xxh64_digest(b"/".join(nodes)), "big", signed=True)
+
+
+NAMED = "key string, text_md5 string, n_shingles long, node binary, lot long, idx int, chk long"
+
+
+def _named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The name and size of the set of each text, and where it is among the lots."""
+    for lot, rows, grams in _lots(batches):
+        nodes = [_node(g) for g in grams]
+        yield pd.DataFrame(
             {
-                "fragment": np.arange(fragments, dtype=np.int32),
-                "nodes": [b"".join(found)] * fragments,
-                "counts": [c.tobytes() for c in counts],
-                "grams": [p.tobytes() for p in parts],
+                "key": rows["key"].to_numpy(object),
+                "text_md5": rows["text_md5"].to_numpy(object),
+                "n_shingles": [len(g) for g in grams],
+                "node": [n or None for n in nodes],
+                "lot": lot,
+                "idx": np.arange(len(grams), dtype=np.int32),
+                "chk": _check(nodes),
             }
         )
 
-    found, held = {}, 0
-    for batch in batches:
-        for text in batch["text"]:
-            grams = sets.of(text)
-            node = xxhash.xxh128_digest(grams.tobytes())
-            if not len(grams) or node in found:
-                continue
-            found[node] = grams
-            held += len(grams)
-            if held > NGRAMS_AT_ONCE:
-                yield rows(found)
-                found, held = {}, 0
-    if found:
-        yield rows(found)
-
-
-def _shared(rows: pd.DataFrame) -> pd.DataFrame:
+
+CUT = "fragment int, lot long, chk long, texts binary, counts binary, grams binary"
+
+
+def _cut(batches: Iterator[pd.DataFrame], fragments: int) -> Iterator[pd.DataFrame]:
+    """The parts of the sets of a lot, one row for each fragment that has some of it."""
+    for lot, _, sets in _lots(batches):
+        check = _check([_node(g) for g in sets])
+        grams = np.concatenate(sets)
+        text = np.repeat(np.arange(len(sets), dtype=np.int32), [len(g) for g in sets])
+        # The leading bits of a hash, scaled: fragments are ranges of the order of hashes.
+        at = ((grams >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int64)
+        order = np.argsort(at, kind="stable")
+        grams, text = grams[order], text[order]
+        bounds = np.searchsorted(at[order], np.arange(fragments + 1))
+        out = []
+        for f in np.flatnonzero(np.diff(bounds)).tolist():
+            part = slice(bounds[f], bounds[f + 1])
+            texts, counts = np.unique(text[part], return_counts=True)
+            out.append(
+                (f, lot, check, texts.tobytes(), counts.astype(np.int32).tobytes(), grams[part].tobytes())
+            )
+        yield pd.DataFrame(out, columns=["fragment", "lot", "chk", "texts", "counts", "grams"])
+
+
+def _owners(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of one lot, the texts that stand for their sets, as bits."""
+    bits = np.zeros(rows["idx"].max() + 1, bool)
+    bits[rows["idx"]] = True
+    return pd.DataFrame(
+        {"lot": rows["lot"].iloc[:1], "chk": rows["chk"].iloc[:1], "owners": [np.packbits(bits).tobytes()]}
+    )
+
+
+SHARED = "lot long, texts binary, counts binary, grams binary, sets binary"
+
+
+def _shared(rows: pd.DataFrame, owners: pd.DataFrame) -> pd.DataFrame:
     """Of each set that a fragment holds a part of, the n-grams that another set has as well.
 
     With each n-gram goes the number of sets that have it: all of them are in this fragment.
     """
-    seen: set[bytes] = set()
-    nodes, parts = [], []
-    for names, counts, grams in zip(rows["nodes"], rows["counts"], rows["grams"], strict=True):
-        counts = np.frombuffer(counts, np.int32)
-        ends = np.cumsum(counts)
-        grams = np.frombuffer(grams, np.uint64)
-        for i in np.flatnonzero(counts):
-            node = names[16 * i : 16 * i + 16]
-            if node not in seen:
-                seen.add(node)
-                nodes.append(node)
-                parts.append(grams[ends[i] - counts[i] : ends[i]])
-    if not parts:
-        return pd.DataFrame({"node": [], "grams": [], "sets": []})
-    sizes = np.array([len(p) for p in parts])
-    grams = np.concatenate(parts)
-    del parts, rows
-    order = np.argsort(grams).astype(np.int32)
-    in_order = grams[order]
-    starts = np.flatnonzero(np.append(True, in_order[1:] != in_order[:-1]))
-    del in_order
-    runs = np.diff(np.append(starts, len(grams))).astype(np.int32)
-    sets = np.empty(len(grams), np.int32)
-    sets[order] = np.repeat(runs, runs)
-    del order, starts, runs
-    shared = sets > 1
-    left = np.add.reduceat(shared, np.concatenate([[0], np.cumsum(sizes)[:-1]]), dtype=np.int64)
-    cuts = np.cumsum(left)[:-1]
-    grams, sets = grams[shared].view(np.int64), sets[shared]
-    kept, often = np.split(grams, cuts), np.split(sets, cuts)
-    some = np.flatnonzero(left)
-    return pd.DataFrame(
-        {
-            "node": [nodes[i] for i in some],
-            "grams": [kept[i] for i in some],
-            "sets": [often[i] for i in some],
-        }
-    )
+    bits = {lot: (chk, own) for lot, chk, own in zip(owners["lot"], owners["chk"], owners["owners"], strict=True)}
+    lots, parts = [], []
+    for lot, chk, texts, counts, grams in zip(
+        rows["lot"], rows["chk"], rows["texts"], rows["counts"], rows["grams"], strict=True
+    ):
+        if lot not in bits:
+            continue
+        if bits[lot][0] != chk:
+            raise RuntimeError("the rows came in another order than before: write the table first")
+        texts, counts = np.frombuffer(texts, np.int32), np.frombuffer(counts, np.int32)
+        own = np.unpackbits(np.frombuffer(bits[lot][1], np.uint8))
+        own = np.pad(own, (0, max(0, texts[-1] + 1 - len(own))))[texts].astype(bool)
+        if own.any():
+            lots.append((lot, texts[own], counts[own]))
+            parts.append(np.frombuffer(grams, np.uint64)[np.repeat(own, counts)])
+    out = []
+    if parts:
+        grams = np.concatenate(parts)
+        ends = np.cumsum([len(p) for p in parts])
+        del parts, rows
+        order = np.argsort(grams).astype(np.int32)
+        in_order = grams[order]
+        starts = np.flatnonzero(np.append(True, in_order[1:] != in_order[:-1]))
+        del in_order
+        runs = np.diff(np.append(starts, len(grams))).astype(np.int32)
+        sets = np.empty(len(grams), np.int32)
+        sets[order] = np.repeat(runs, runs)
+        del order, starts, runs
+        for (lot, texts, counts), end in zip(lots, ends, strict=True):
+            mine = slice(end - counts.sum(), end)
+            shared = sets[mine] > 1
+            if shared.any():
+                text = np.repeat(texts, counts)[shared]
+                texts, counts = np.unique(text, return_counts=True)
+                out.append(
+                    (
+                        lot,
+                        texts.astype(np.int32).tobytes(),
+                        counts.astype(np.int32).tobytes(),
+                        grams[mine][shared].tobytes(),
+                        sets[mine][shared].tobytes(),
+                    )
+                )
+    return pd.DataFrame(out, columns=["lot", "texts", "counts", "grams", "sets"])
+
+
+PART_NAMES = [f"part{p}" for p in range(PARTS)]
+HASH_NAMES = [f"hash{k}" for k in range(HUBS)]
+PROFILE = ", ".join(
+    ["node binary", "size long", "alone long", "weight double", "prefix array<long>"]
+    + [f"{name} long" for name in (*BIT_WORDS, *HASH_NAMES)]
+    + [f"{name} array<long>" for name in PART_NAMES]
+)
+
 
+def _joined(names: str) -> list[str]:
+    return [c.split()[0] for c in names.split(", ")]
 
-def _profiles(parts: DataFrame) -> DataFrame:
-    """What is compared of a set before its n-grams are, one row per set.
 
-    Returns ``node, size, alone, weight, prefix`` and the words of bits. N-grams are in the order of rarity, then
+def _profiles(rows: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+    """What is compared of the sets of one lot that may have a pair, one row per set.
+
+    N-grams are in the order of rarity, then
     hash. ``prefix`` are those by which the set can be found, ``alone``
-    counts the n-grams that no other set has: the rarest of all, they are not in ``parts`` and are
+    counts the n-grams that no other set has: the rarest of all, they are not there and are
     only counted off. ``weight`` is the mean chance that a set with an n-gram of this one is
     another: of copies of a text the one that has changed least has the highest. Each of ``BITS``
     bits says whether the number of n-grams that fall there is odd.
     """
-    grams = parts.select("node", F.explode("grams").alias("gram"))
-    word = F.pmod(F.shiftrightunsigned("gram", 6), F.lit(BITS // 64))
-    flag = F.expr("shiftleft(1L, cast(gram & 63 AS int))")
-    bits = [
-        F.bit_xor(F.when(word == i, flag).otherwise(F.lit(0).cast("bigint"))).alias(name)
-        for i, name in enumerate(BIT_WORDS)
-    ]
-    # A part is one row, so tasks have summed up its bits before these are moved.
-    bits = grams.groupBy("node").agg(*bits)
-    zipped = F.arrays_zip("sets", "grams")
-    ranked = parts.groupBy("node", "size").agg(
-        F.sort_array(F.flatten(F.collect_list(zipped))).alias("ordered")
-    )
-    found = F.aggregate("ordered", F.lit(0.0), lambda n, g: n + 1 - 1 / g["sets"])
-    ranked = ranked.withColumn("found", found).join(bits, "node")
-    alone = F.col("size") - F.size("ordered")
-    needed = F.ceil(F.col("size") * LEAST_PCT / 100)
-    first = F.greatest(F.lit(0), F.col("size") - needed + 1 - alone).cast("int")
-    return ranked.select(
-        "node",
-        "size",
-        alone.alias("alone"),
-        (F.col("found") / F.col("size")).alias("weight"),
-        F.slice(F.col("ordered.grams"), F.lit(1), first).alias("prefix"),
-        *BIT_WORDS,
-    )
+    out = []
+    if len(rows) and len(members):
+        names = dict(zip(members["idx"], zip(members["node"], members["n_shingles"], strict=True), strict=True))
+        text = np.concatenate(
+            [
+                np.repeat(np.frombuffer(t, np.int32), np.frombuffer(c, np.int32))
+                for t, c in zip(rows["texts"], rows["counts"], strict=True)
+            ]
+        )
+        grams = np.concatenate([np.frombuffer(g, np.uint64) for g in rows["grams"]])
+        sets = np.concatenate([np.frombuffer(s, np.int32) for s in rows["sets"]])
+        order = np.lexsort((grams, text))
+        text, grams, sets = text[order], grams[order], sets[order]
+        used, starts = np.unique(text, return_index=True)
+        for idx, start, end in zip(used.tolist(), starts, np.append(starts[1:], len(text)), strict=True):
+            node, size = names[idx]
+            if (end - start) * 100 >= size * LEAST_PCT:
+                out.append((node, int(size), *_profile(grams[start:end], sets[start:end], int(size))))
+    return pd.DataFrame(out, columns=_joined(PROFILE))
+
+
+def _profile(grams: np.ndarray, sets: np.ndarray, size: int) -> tuple:
+    alone = size - len(grams)
+    first = max(0, size - -(-size * LEAST_PCT // 100) + 1 - alone)
+    # The n-grams are sorted, so equally rare ones stay in the order of their hashes.
+    prefix = grams[np.argsort(sets, kind="stable")[:first]].view(np.int64)
+    odd = np.bincount((grams & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    bits = np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+    seeds = np.arange(1, HUBS + 1, dtype=np.uint64)[:, None]
+    with np.errstate(over="ignore"):
+        mixed = (grams ^ (seeds * MIX)) * MIX
+        mixed = (mixed ^ (mixed >> np.uint64(31))) * MIX
+        least = (mixed ^ (mixed >> np.uint64(29))).min(1).view(np.int64)
+    cuts = np.searchsorted(grams >> np.uint64(32), np.arange(1, PARTS, dtype=np.uint64) * np.uint64(2**32 // PARTS))
+    weight = float((1 - 1 / sets).sum() / size)
+    return (alone, weight, prefix, *bits.tolist(), *least.tolist(), *np.split(grams.view(np.int64), cuts))
 
 
 def _may_be_similar() -> Column:
@@ -246,38 +313,28 @@ def _possible(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
     return both.where(_may_be_similar()).select("a", "b")
 
 
-def _verified(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """Those of the pairs ``a, b`` that are similar enough. Overlaps are counted part by part."""
-    first = parts.select(
-        F.col("node").alias("a"), "part", F.col("grams").alias("x"), F.col("size").alias("m")
-    )
-    second = parts.select(
-        F.col("node").alias("b"), "part", F.col("grams").alias("y"), F.col("size").alias("n")
-    )
-    partial = pairs.join(first, "a").join(second, ["b", "part"])
-    partial = partial.select(
-        "a", "b", "m", "n", F.size(F.array_intersect("x", "y")).cast("bigint").alias("common")
-    )
-    summed = partial.groupBy("a", "b", "m", "n").agg(F.sum("common").alias("common"))
-    union = F.col("m") + F.col("n") - F.col("common")
-    return summed.where(F.col("common") * 100 >= union * LEAST_PCT).select("a", "b")
+def _verified(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Those of the pairs ``a, b`` that are similar enough. Overlaps are counted part by part and summed."""
+
+    def of(name: str, tag: str) -> DataFrame:
+        parts = [F.col(p).alias(f"{p}_{tag}") for p in PART_NAMES]
+        return profiles.select(F.col("node").alias(name), F.col("size").alias(f"size_{tag}"), *parts)
+
+    both = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b")
+    partial = [F.size(F.array_intersect(f"{p}_x", f"{p}_y")).cast("bigint") for p in PART_NAMES]
+    counted = both.select("a", "b", "size_x", "size_y", sum(partial[1:], partial[0]).alias("common"))
+    union = F.col("size_x") + F.col("size_y") - F.col("common")
+    return counted.where(F.col("common") * 100 >= union * LEAST_PCT).select("a", "b")
 
 
 def _near_in_size(m: Column, n: Column) -> Column:
     return F.least(m, n) * 100 >= F.greatest(m, n) * LEAST_PCT
 
 
-def _min_hashes(parts: DataFrame, profiles: DataFrame) -> DataFrame:
+def _min_hashes(profiles: DataFrame) -> DataFrame:
     """The MinHash values of each set: ``node, weight, k, value``."""
-    smallest = [
-        F.array_min(F.transform("grams", lambda g, k=k: F.xxhash64(g, F.lit(k)))).alias(f"h{k}")
-        for k in range(HUBS)
-    ]
-    least = parts.select("node", *smallest).groupBy("node").agg(
-        *[F.min(f"h{k}").alias(f"h{k}") for k in range(HUBS)]
-    )
-    values = F.posexplode(F.array(*[f"h{k}" for k in range(HUBS)])).alias("k", "value")
-    return least.join(profiles.select("node", "weight"), "node").select("node", "weight", values)
+    values = F.posexplode(F.array(*HASH_NAMES)).alias("k", "value")
+    return profiles.select("node", "weight", values)
 
 
 def _hub_pairs(values: DataFrame) -> DataFrame:
@@ -289,14 +346,18 @@ def _hub_pairs(values: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def _cross_pairs(profiles: DataFrame, labels: DataFrame, one_each: bool) -> DataFrame:
+def _cross_pairs(
+    profiles: DataFrame, labels: DataFrame, one_each: bool, first: int | None = None
+) -> DataFrame:
     """Possible pairs of sets from different components that share an n-gram of their prefixes.
 
+    With ``first``, one of the first n-grams of both.
     Sets of the component that has most sets at an n-gram do not meet each other there: they only
     meet the rest, and the rest meets itself. What cannot be similar by size and sketch is dropped
     as it meets. With ``one_each`` only the set of most weight stands for its component.
     """
-    posted = profiles.select("node", F.explode("prefix").alias("gram")).join(labels, "node")
+    prefix = F.slice("prefix", 1, first) if first else F.col("prefix")
+    posted = profiles.select("node", F.explode(prefix).alias("gram")).join(labels, "node")
     counts = posted.groupBy("gram", "label").agg(F.count("*").alias("sets"))
     mains = counts.groupBy("gram").agg(
         F.max(F.struct("sets", "label"))["label"].alias("main"), F.count("*").alias("labels")
@@ -337,42 +398,30 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return written(joined.select("node", F.coalesce("new", "label").alias("label")), "labels")
 
 
-def linked_sets(docs: DataFrame, sizes: DataFrame, text: str) -> DataFrame:
-    """The component of each set that has a link: ``node, label``.
+def linked_sets(texts: DataFrame, sets: DataFrame, ngrams: int) -> DataFrame:
+    """The component of each set that may have a link: ``node, label``.
 
-    ``sizes`` has every different set once, ``node, n_shingles``.
+    ``texts`` are the rows of the first pass. ``sets`` has every different set once, ``node, n_shingles, lot, idx, chk``: the text that stands
+    for it. ``ngrams`` is the number of n-grams of all texts.
     """
-    fragments = max(
-        LEAST_FRAGMENTS, fragments_for(docs.sparkSession, total_bytes(docs, text), BYTES_PER_FRAGMENT)
-    )
-    cut = docs.select(F.col(text).alias("text")).mapInPandas(
-        lambda batches: _cut(batches, fragments),
-        "fragment int, nodes binary, counts binary, grams binary",
-    )
-    shared = cut.groupBy("fragment").applyInPandas(
-        lambda key, rows: _shared(rows).assign(part=key[0] * PARTS // fragments),
-        "node binary, grams array<bigint>, sets array<int>, part int",
-    )
-    shared = written(shared, "shared")
-    counts = shared.groupBy("node").agg(F.sum(F.size("grams")).alias("shared"))
-    live = counts.join(sizes, "node").where(F.col("shared") * 100 >= F.col("n_shingles") * LEAST_PCT)
-    live = live.select("node", F.col("n_shingles").alias("size"))
-    parts = shared.join(live, "node").groupBy("node", "size", "part").agg(
-        F.flatten(F.collect_list("grams")).alias("grams"),
-        F.flatten(F.collect_list("sets")).alias("sets"),
-    )
-    parts = written(parts, "parts")
-    profiles = written(_profiles(parts), "profiles")
-    nodes = profiles.select("node")
-    values = written(_min_hashes(parts, profiles), "min-hashes")
-    labels = nodes.select("node", F.col("node").alias("label"))
+    fragments = fragments_for(texts.sparkSession, ngrams, NGRAMS_PER_FRAGMENT)
+    cut = texts.mapInPandas(lambda batches: _cut(batches, fragments), CUT)
+    owners = sets.groupBy("lot").applyInPandas(_owners, "lot long, chk long, owners binary")
+    everywhere = F.explode(F.sequence(F.lit(0), F.lit(fragments - 1))).alias("fragment")
+    owners = owners.select("*", everywhere)
+    shared = cut.groupBy("fragment").cogroup(owners.groupBy("fragment")).applyInPandas(_shared, SHARED)
+    members = sets.select("lot", "idx", "node", "n_shingles")
+    profiles = shared.groupBy("lot").cogroup(members.groupBy("lot")).applyInPandas(_profiles, PROFILE)
+    profiles = written(profiles, "profiles")
+    labels = profiles.select("node", F.col("node").alias("label"))
     for search in (
-        lambda now: _possible(_hub_pairs(values), profiles),
+        lambda now: _possible(_hub_pairs(_min_hashes(profiles)), profiles),
+        lambda now: _cross_pairs(profiles, now, one_each=True, first=FIRST),
         lambda now: _cross_pairs(profiles, now, one_each=True),
         lambda now: _cross_pairs(profiles, now, one_each=False),
     ):
         pairs = written(search(labels), "pairs")
-        labels = _merged(labels, written(_verified(pairs, parts), "links"))
+        labels = _merged(labels, written(_verified(pairs, profiles), "links"))
     return labels
 
 
@@ -389,17 +438,23 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     Null ids link like others but are never the smallest; a group of null ids only has a null
     ``component_id``. Repeated rows are in one group. Other columns are not read.
     """
-    read = docs.select(
-        F.col(key).alias("doc_id"),
+    kind = docs.schema[key].dataType
+    # Both passes read the same columns: with others Spark might deal the rows out otherwise.
+    texts = docs.select(
+        F.col(key).cast("string").alias("key"),
         F.md5(F.col(text).cast("binary")).alias("text_md5"),
-        _sized(F.col(text)).alias("set"),
+        F.col(text).alias("text"),
     )
-    read = written(read.select("doc_id", "text_md5", "set.*"), "sets")
-    sets = read.where("n_shingles > 0").groupBy("node").agg(
-        F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles")
+    read = texts.mapInPandas(_named, NAMED)
+    read = written(read.withColumn("doc_id", F.col("key").cast(kind)).drop("key"), "sets")
+    found = read.where("n_shingles > 0").groupBy("node").agg(
+        F.min("doc_id").alias("first_id"),
+        F.first("n_shingles").alias("n_shingles"),
+        F.min(F.struct("lot", "idx", "chk")).alias("at"),
     )
-    sets = written(sets, "sets")
-    labels = linked_sets(docs, sets.select("node", "n_shingles"), text)
+    sets = written(found.select("node", "first_id", "n_shingles", "at.*"), "sets")
+    ngrams = read.agg(F.sum("n_shingles")).first()[0] or 0
+    labels = linked_sets(texts, sets, ngrams)
     labelled = sets.join(labels, "node", "left").select(
         "node", "first_id", F.coalesce("label", "node").alias("label")
     )
@@ -432,18 +487,19 @@ def without_near_duplicates(
     rows = rows.join(first, rows["group"] == first["g"], "left")
     # A document without n-grams is the first of its own group.
     stays = F.coalesce(F.col("row") == F.col("first"), F.lit(True))
+    own_id, own_md5 = fresh(docs, "_id", "_md5")
     rows = rows.select(
-        F.col("doc_id").alias("_id"), F.col("text_md5").alias("_md5"), "rows", stays.alias("stays")
+        F.col("doc_id").alias(own_id), F.col("text_md5").alias(own_md5), "rows", stays.alias("stays")
     )
     # Most documents stay and occur once: only the others are listed, and looked up.
     listed = written(rows.where("rows > 1 OR NOT stays"), "listed")
     md5 = F.md5(docs[text].cast("binary"))
 
     def same(table: DataFrame):
-        return docs[key].eqNullSafe(table["_id"]) & md5.eqNullSafe(table["_md5"])
+        return docs[key].eqNullSafe(table[own_id]) & md5.eqNullSafe(table[own_md5])
 
     single = docs.join(listed, same(listed), "left_anti")
     several = written(listed.where("stays"), "several")
     once = docs.join(several, same(several), "left_semi")
-    once = once.withColumn("_md5", F.md5(F.col(text).cast("binary"))).dropDuplicates([key, "_md5"])
+    once = once.withColumn(own_md5, F.md5(F.col(text).cast("binary"))).dropDuplicates([key, own_md5])
     return single.unionAll(once.select(docs.columns))
