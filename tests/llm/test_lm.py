@@ -22,6 +22,8 @@ def plain(rows, target):
             pairs[side].update(zip(w, w[1:], strict=False))
             first[side].update(w[:-1])
     v = len(known) + 1
+    # The end is as frequent as the beginning, which is the first of two.
+    totals = [sum(first[s].values()) for s in (0, 1)]
     out = []
     for i, text, *_ in rows:
         w = words(text)
@@ -30,7 +32,8 @@ def plain(rows, target):
             continue
         loss = [
             -sum(
-                math.log((pairs[s][a, b] + lm.MU / v) / (first[s][a] + lm.MU))
+                (1 - lm.ALONE) * math.log((pairs[s][a, b] + lm.MU / v) / (first[s][a] + lm.MU))
+                + lm.ALONE * math.log((first[s][a] + lm.MU / v) / (totals[s] + lm.MU))
                 for a, b in zip(w, w[1:], strict=False)
             ) / (len(w) - 1)
             for s in (1, 0)
@@ -94,9 +97,9 @@ def test_frequent_bigrams_are_not_sent(spark, monkeypatch):
     seen = spark.sparkContext.accumulator(0)
     whole = lm._losses
 
-    def watched(rows, hot, vocabulary):
+    def watched(rows, *others):
         seen.add(sum(len(p) // 8 for p in rows["pairs"]))
-        return whole(rows, hot, vocabulary)
+        return whole(rows, *others)
 
     monkeypatch.setattr(lm, "_losses", watched)
     rows = [(i, "the the the the the the the the", "a") for i in range(2_000)] + some(6, 20)
@@ -110,8 +113,8 @@ def test_a_fragment_gets_only_what_is_there(spark, monkeypatch):
     sizes = spark.sparkContext.accumulator(0)
     whole = lm._losses
 
-    def watched(rows, hot, vocabulary):
-        out = whole(rows, hot, vocabulary)
+    def watched(rows, *others):
+        out = whole(rows, *others)
         sizes.add(sum(len(b) for b in rows["counts"]) + sum(len(b) for b in out["sums"]))
         return out
 
@@ -120,3 +123,16 @@ def test_a_fragment_gets_only_what_is_there(spark, monkeypatch):
     check(spark, rows, ["word1 other1"])
     # Three bigrams a text, each with a number and two sums; not 500 fragments with all texts.
     assert sizes.value <= 400 * 3 * 20
+
+
+def test_words_that_share_half_of_their_hash(spark):
+    """``w6164`` and ``w10661`` have the same low 32 bits."""
+    rows = [(0, "x w6164", "a"), (4, "y z", "a")] + [(i, "x w10661", "a") for i in (1, 2, 3)]
+    check(spark, rows, ["x w6164"])
+
+
+def test_known_words_in_another_order_cost_less_than_unknown_ones(spark):
+    aim = spark.createDataFrame([("red green blue white",)] * 5, "text string")
+    rows = [(1, "white blue green red", "a"), (2, "one two three four", "a")]
+    got = {r.doc_id: r for r in lm.score(table(spark, rows), aim).collect()}
+    assert got[1].target_loss < got[2].target_loss - 0.5

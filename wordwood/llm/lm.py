@@ -1,8 +1,11 @@
 """Cross-entropy difference: how much more a text is like a target corpus than like the background.
 
-Two bigram models of the same form are counted, one over the target, one over the background,
-and smoothed over one vocabulary, that of both together. The loss of a word after another is
-minus the logarithm of its probability; a document's score is the mean over its words of the
+Two models of the same form are counted, one over the target, one over the background,
+and smoothed over one vocabulary, that of both together. The loss of a word after another is the weighted mean of two: minus
+the logarithm of its probability after that word, and of its probability alone. So a word that the target
+knows, in an order that it does not, costs less than a word that it does not know. The mean of logarithms stands for a product of
+both probabilities, not brought back to a sum of one; as it is a sum, each part is counted where
+its counts are. A document's score is the mean over its words of the
 target's loss less that of the background. Low scores are like the target.
 
 Neither model fits into a task, so the words go to the counts, not the counts to the words.
@@ -30,20 +33,23 @@ from pyspark.sql import functions as F
 
 from wordwood.llm.common import fragments_for, lower_ascii, words, written
 
-# Strength of the smoothing, in words.
+# Strength of the smoothing, in words, and the weight of the probability of a word alone.
 MU = 2.0
+ALONE = 0.5
 
 HOT_SHARE = 1024
 
 # Bigrams that one fragment stands for, fragments there are at least; bigrams sent on at a time
 # and words remembered with their hashes, which bound a task's memory.
-BIGRAMS_PER_FRAGMENT, LEAST_FRAGMENTS = 4_000_000, 8
+BIGRAMS_PER_FRAGMENT, LEAST_FRAGMENTS = 3_000_000, 8
 BIGRAMS_AT_ONCE = 1_000_000
 WORDS_KNOWN = 200_000
 
 # The seed of the hash of words, the same inside and outside Python.
 SEED = 42
-# Stand-ins for the beginning and the end of a text; no word hashes to them but by chance.
+# Stand-ins for the beginning and the end of a text; no word hashes to them but by chance. Every
+# word is once the first of two, and the beginning is so as often as the end is a second: its count
+# stands for that of the end.
 START, END = np.uint64(1), np.uint64(2)
 
 
@@ -103,9 +109,15 @@ def _bigrams(held: list[tuple[bytes, np.ndarray]]) -> tuple[np.ndarray, np.ndarr
     return first, np.concatenate([h[1:] for _, h in held])
 
 
+MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
 def _pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    # The low halves: the high halves have chosen the fragment.
-    return first << np.uint64(32) | second & np.uint64(0xFFFFFFFF)
+    """A hash of all bits of both words."""
+    with np.errstate(over="ignore"):
+        mixed = (first ^ (first >> np.uint64(29))) * MIX + second
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * MIX
+    return mixed ^ (mixed >> np.uint64(29))
 
 
 def _hot_pairs(batches: Iterator[pd.DataFrame], hot: np.ndarray) -> Iterator[pd.DataFrame]:
@@ -116,10 +128,14 @@ def _hot_pairs(batches: Iterator[pd.DataFrame], hot: np.ndarray) -> Iterator[pd.
         both = np.isin(first, hot)
         first, second = first[both], second[both]
         both = np.isin(second, ends)
-        kinds, counts = np.unique(_pair(first[both], second[both]), return_counts=True)
+        first = first[both]
+        kinds, at, counts = np.unique(
+            _pair(first, second[both]), return_index=True, return_counts=True
+        )
         yield pd.DataFrame(
             {
                 "pair": kinds.view(np.int64),
+                "word": first[at].view(np.int64),
                 "b": counts * (side == 0),
                 "t": counts * (side == 1),
             }
@@ -148,10 +164,10 @@ def _spread(
                 own[s] = np.bincount(text[here], loss[s][where[here]], len(held))
             first, second, text, pairs = (x[~here] for x in (first, second, text, pairs))
         with np.errstate(over="ignore"):
-            by = np.where(np.isin(first, hot), first ^ second * np.uint64(0x9E3779B97F4A7C15), first)
+            by = np.where(np.isin(first, hot), first ^ second * MIX, first)
         at = ((by >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int64)
         order = np.argsort(at, kind="stable")
-        pairs, text = pairs[order], text[order]
+        pairs, text, first = pairs[order], text[order], first[order]
         bounds = np.searchsorted(at[order], np.arange(fragments + 1))
         keys = b"".join(key for key, _ in held)
         # Tasks may have equal texts: their batches still differ.
@@ -163,6 +179,8 @@ def _spread(
             part = slice(bounds[f], bounds[f + 1])
             # The texts that have bigrams here, and how many.
             used, counts = np.unique(text[part], return_counts=True)
+            words, word = np.unique(first[part], return_inverse=True)
+            kind = np.uint16 if len(words) <= 1 << 16 else np.uint32
             mine = side == 0 and f == home
             out.append(
                 (
@@ -174,6 +192,8 @@ def _spread(
                     used.astype(np.int32).tobytes() if side == 0 else b"",
                     counts.astype(np.int32).tobytes() if side == 0 else b"",
                     pairs[part].tobytes(),
+                    words.tobytes(),
+                    word.astype(kind).tobytes(),
                 )
             )
         yield pd.DataFrame(out, columns=SPREAD_COLUMNS)
@@ -181,34 +201,43 @@ def _spread(
 
 SPREAD = (
     "fragment int, side int, batch binary, keys binary, own binary, texts binary, counts binary, "
-    "pairs binary"
+    "pairs binary, firsts binary, first binary"
 )
 SPREAD_COLUMNS = [c.split()[0] for c in SPREAD.split(", ")]
 
 
-def _loss(joint, single, vocabulary: int):
-    return -np.log((joint + MU / vocabulary) / (single + MU))
+def _loss(joint, single, total: int, vocabulary: int):
+    """The loss of a bigram, and of its first word alone, or of the end where that is the beginning."""
+    after = -np.log((joint + MU / vocabulary) / (single + MU))
+    alone = -np.log((single + MU / vocabulary) / (total + MU))
+    return (1 - ALONE) * after + ALONE * alone
 
 
-def _losses(rows: pd.DataFrame, hot: dict, vocabulary: int) -> pd.DataFrame:
+def _losses(rows: pd.DataFrame, hot: dict, totals: tuple[int, int], vocabulary: int) -> pd.DataFrame:
     """The losses of one fragment's bigrams under both models, summed per text that has some."""
     pairs = np.concatenate([np.frombuffer(p, np.uint64) for p in rows["pairs"]])
     sizes = np.array([len(p) // 8 for p in rows["pairs"]])
     side = np.repeat(rows["side"].to_numpy(), sizes)
-    kinds, which = np.unique(pairs, return_inverse=True)
-    joint = [np.bincount(which, side == s, len(kinds)) for s in (0, 1)]
-    # Pairs are sorted by their first word.
-    first = kinds >> np.uint64(32)
-    starts = np.flatnonzero(np.append(True, first[1:] != first[:-1])[: len(first)])
-    lengths = np.diff(np.append(starts, len(kinds)))
+    # The first words of all rows as one list, and the place of each bigram's in it.
+    lists = [np.frombuffer(w, np.uint64) for w in rows["firsts"]]
+    words, place = np.unique(np.concatenate(lists), return_inverse=True)
+    place = np.split(place, np.cumsum([len(x) for x in lists])[:-1])
+    word = np.concatenate(
+        [
+            p[np.frombuffer(f, np.uint16 if len(p) <= 1 << 16 else np.uint32)].astype(np.int32)
+            for p, f in zip(place, rows["first"], strict=True)
+        ]
+    )
+    kinds, at, which = np.unique(pairs, return_index=True, return_inverse=True)
+    first = word[at]
     loss = []
     for s in (0, 1):
-        # A fragment without bigrams has no loss to add, but it may bring the keys.
-        single = np.add.reduceat(joint[s], starts) if len(starts) else joint[s]
-        for i, word in enumerate(first[starts].tolist()) if hot else ():
-            if word in hot:
-                single[i] = hot[word][s]
-        loss.append(_loss(joint[s], np.repeat(single, lengths), vocabulary))
+        joint = np.bincount(which, side == s, len(kinds))
+        single = np.bincount(first, joint, len(words))
+        for i, w in enumerate(words.tolist()) if hot else ():
+            if w in hot:
+                single[i] = hot[w][s]
+        loss.append(_loss(joint, single[first], totals[s], vocabulary))
     out, end = [], 0
     for batch, keys, own, of, texts, counts, size in zip(
         rows["batch"], rows["keys"], rows["own"], rows["side"], rows["texts"], rows["counts"], sizes, strict=True
@@ -275,8 +304,10 @@ def score(
         for x in (read, aim)
     ]
     hashes = [int(START), *[r["word"] % (1 << 64) for r in frequent]]
-    by_half = {h & 0xFFFFFFFF: (r["b"], r["t"]) for h, r in zip(hashes[1:], frequent, strict=True)}
-    by_half[int(START)] = tuple(texts)
+    counts = {h: (r["b"], r["t"]) for h, r in zip(hashes[1:], frequent, strict=True)}
+    counts[int(START)] = tuple(texts)
+    # Words and ends of each side.
+    ends = ((totals["b"] or 0) + texts[0], (totals["t"] or 0) + texts[1])
     hot = np.array(hashes, np.uint64)
     vocabulary = totals["words"] + 1
     fragments = max(LEAST_FRAGMENTS, fragments_for(docs.sparkSession, tokens, BIGRAMS_PER_FRAGMENT))
@@ -285,20 +316,19 @@ def score(
         aim.select("text", F.lit(b"").alias("key"), F.lit(1))
     )
     # A bigram is no more frequent than its words: only those of two such words can be.
-    paired = sides.mapInPandas(lambda b: _hot_pairs(b, hot), "pair long, b long, t long")
-    paired = paired.groupBy("pair").agg(F.sum("b").alias("b"), F.sum("t").alias("t"))
-    pairs = sorted((r["pair"] % (1 << 64), r["b"], r["t"]) for r in paired.where(is_often).collect())
+    paired = sides.mapInPandas(lambda b: _hot_pairs(b, hot), "pair long, word long, b long, t long")
+    paired = paired.groupBy("pair", "word").agg(F.sum("b").alias("b"), F.sum("t").alias("t"))
+    pairs = sorted(
+        (r["pair"] % (1 << 64), (r["b"], r["t"]), counts[r["word"] % (1 << 64)])
+        for r in paired.where(is_often).collect()
+    )
     known = np.array([p for p, _, _ in pairs], np.uint64)
-    singles = [by_half[p >> 32] for p, _, _ in pairs]
     loss = np.array(
-        [
-            [_loss(p[1 + s], single[s], vocabulary) for p, single in zip(pairs, singles, strict=True)]
-            for s in (0, 1)
-        ]
+        [[_loss(joint[s], single[s], ends[s], vocabulary) for _, joint, single in pairs] for s in (0, 1)]
     )
     spread = sides.mapInPandas(lambda b: _spread(b, fragments, hot, known, loss), SPREAD)
     summed = spread.groupBy("fragment").applyInPandas(
-        lambda rows: _losses(rows, by_half, vocabulary),
+        lambda rows: _losses(rows, counts, ends, vocabulary),
         "batch binary, keys binary, own binary, texts binary, sums binary",
     )
     per_text = summed.groupBy("batch").applyInPandas(
