@@ -2,6 +2,7 @@ import hashlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 from llm.helpers import CLASHING, SCHEMA, odd_rows, table
 
 from wordwood.llm import mixing
@@ -113,3 +114,23 @@ def test_many_equal_rows_share_the_budget(spark):
     assert len(got) == 310
     taken = sum(r.taken for r in got if r.doc_id == 1)
     assert abs(taken - plain_targets({"a": 900, "b": 10})["a"]) <= 0.5
+
+
+def test_rows_that_differ_in_another_column_all_stay(spark):
+    rows = [(1, "same words here", lang, "a", 3) for lang in ("en", "de", None) for _ in range(2)]
+    rows += [(i, "x y z w", "en", "b", 7) for i in range(10, 30)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for name in ("_md5", "_last", "_times", "_id", "_copy", "_rounds", "_source", "_row"):
+        df = df.withColumn(name, F.lit("mine"))
+    out = mixing.mixed_documents(df)
+    assert out.columns == df.columns
+    got = Counter(r.lang for r in out.where("doc_id = 1").collect())
+    # The source gets twice its size: each row comes twice.
+    assert got == {"en": 4, "de": 4, None: 4}
+    assert {r["_md5"] for r in out.collect()} == {"mine"}
+
+
+def test_very_many_copies_of_one_row(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "COPIES_PER_BLOCK", 7)
+    df = table(spark, [(1, "w", "a")] * 50)
+    assert mixing.mixed_documents(df, share=4.0, epochs=4).count() == 200

@@ -15,7 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wordwood.llm.common import BUCKET_DIGITS, WORD, blocks_of_copies, shown, written
+from wordwood.functions.hashing import fresh
+from wordwood.llm.common import BUCKET_DIGITS, COPIES_PER_BLOCK, WORD, blocks_of_copies, shown, written
 
 # Weights of the sources in order, share of all words, most epochs.
 WEIGHTS = (5, 2, 1)
@@ -163,32 +164,63 @@ def mixed_documents(
 
     Documents stay whole. In the order of the mix what is taken ends at one key per source, so
     these keys are all that the documents are compared to, and no text is moved. Rows that are
-    there several times share one key; how often they are taken is looked up row by row.
+    there several times, equal in id, source and text, share one key: what the mix takes of them all is shared out
+    among those that differ in other columns, by how often each is there.
+
+    Nulls and columns of any name are as any others; an empty table gives an empty one.
     """
     plan = written(mix(docs, key, source, text, seed=seed, whole=True, **how), "mix-plan")
+    rounds, last, times, own_id, own_source, own_md5, copy, row = fresh(
+        docs, "_rounds", "_last", "_times", "_id", "_source", "_md5", "_copy", "_row"
+    )
     single = plan.where("rows = 1").groupBy("source").agg(
-        F.min("rounds").alias("_rounds"),
-        F.max(F.when(F.col("times") > F.col("rounds"), F.col("random"))).alias("_last"),
+        F.min("rounds").alias(rounds),
+        F.max(F.when(F.col("times") > F.col("rounds"), F.col("random"))).alias(last),
     )
-    single = written(single.withColumnRenamed("source", "_source"), "mix-cuts")
+    single = written(single.withColumnRenamed("source", own_source), "mix-cuts")
     several = plan.where("rows > 1").groupBy("doc_id", "source", "text_md5").agg(
-        F.sum("times").alias("_times")
+        F.sum("times").alias(times)
     )
-    several = written(several.toDF("_id", "_source", "_md5", "_times"), "mix-several")
+    several = written(several.toDF(own_id, own_source, own_md5, times), "mix-several")
     md5 = F.md5(docs[text].cast("binary"))
 
     def same(table: DataFrame):
         return (
-            docs[key].eqNullSafe(table["_id"])
-            & docs[source].eqNullSafe(table["_source"])
-            & md5.eqNullSafe(table["_md5"])
+            docs[key].eqNullSafe(table[own_id])
+            & docs[source].eqNullSafe(table[own_source])
+            & md5.eqNullSafe(table[own_md5])
         )
 
     alone = docs.join(several, same(several), "left_anti")
-    cut = alone.join(single, alone[source].eqNullSafe(single["_source"]))
-    inside = F.coalesce(_random(F.col(key), md5, F.lit(0), seed) <= F.col("_last"), F.lit(False))
-    cut = cut.withColumn("_times", (F.col("_rounds") + inside.cast("int")).cast("bigint"))
-    once = docs.join(several, same(several)).dropDuplicates([key, source, "_md5"])
-    copies = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_times")))
-    taken = cut.select(*docs.columns, "_times").unionAll(once.select(*docs.columns, "_times"))
-    return taken.where("_times > 0").withColumn("_copy", copies).select(*docs.columns)
+    cut = alone.join(single, alone[source].eqNullSafe(single[own_source]))
+    inside = F.coalesce(_random(F.col(key), md5, F.lit(0), seed) <= F.col(last), F.lit(False))
+    cut = cut.withColumn(times, (F.col(rounds) + inside.cast("int")).cast("bigint"))
+
+    # Of the others each different row once, with the number of its copies summed within tasks.
+    whole = F.struct(*[docs[c] for c in docs.columns])
+    joined = docs.join(several, same(several))
+    kinds = joined.groupBy(own_id, own_source, own_md5, times, F.md5(F.to_json(whole)).alias(copy)).agg(
+        F.count("*").alias(rounds), F.first(whole).alias(row)
+    )
+    group = Window.partitionBy(own_id, own_source, own_md5)
+    until = F.sum(rounds).over(group.orderBy(copy))
+    total = F.sum(rounds).over(group)
+    kinds = kinds.select(row, times, until.alias(last), F.col(rounds), total.alias(own_id))
+
+    def share(rows: Column) -> Column:
+        return F.call_function("div", F.col(times) * rows, F.col(own_id))
+
+    taken = share(F.col(last)) - share(F.col(last) - F.col(rounds))
+    kinds = kinds.select(taken.cast("bigint").alias(times), f"{row}.*")
+    taken = cut.select(*docs.columns, times).unionAll(kinds.select(*docs.columns, times))
+    # Copies in blocks: none makes a long list, and blocks of one row are the work of many tasks.
+    blocks = F.sequence(F.lit(0).cast("bigint"), F.call_function("div", F.col(times) - 1, F.lit(COPIES_PER_BLOCK)))
+    some = taken.where(F.col(times) > 0)
+    few = some.where(F.col(times) <= COPIES_PER_BLOCK).withColumn(last, F.col(times))
+    many = some.where(F.col(times) > COPIES_PER_BLOCK).withColumn(copy, F.explode(blocks))
+    left = F.col(times) - F.col(copy) * COPIES_PER_BLOCK
+    many = many.withColumn(last, F.least(left, F.lit(COPIES_PER_BLOCK).cast("bigint"))).drop(copy)
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    made = few.unionAll(many.select(few.columns).repartition(tasks))
+    copies = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(last)))
+    return made.withColumn(copy, copies).select(*docs.columns)
