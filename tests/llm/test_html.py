@@ -109,3 +109,34 @@ def test_the_given_pages(spark, sf_dir):
         blocks = re.split("</?(?:p|h1)>", inside)
         blocks = [" ".join(unescape(re.sub("<[^>]*>", " ", b)).split()) for b in blocks]
         assert r.text == "\n".join(b for b in blocks if b)
+
+
+NAMES = [
+    "social-science", "product-related", "widget-content", "hidden-xs", "notice-of-award", "header-image-post",
+    "comment-policy-article", "article-header",
+]
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_a_name_does_not_lose_the_only_text(name):
+    text = "A sentence of the article, long enough to be one, with commas. " * 5
+    page = f"<html><body><nav>Home</nav><div class='{name}'><p>{text}</p></div><footer>End</footer></body></html>"
+    assert html.main_text(page) == text.strip()
+
+
+@pytest.mark.parametrize("size", [8_000, 8_193, 1_000_000])
+def test_long_attributes_do_not_leak(size):
+    page = f'<div><p title="{"a" * size} > LEAK, leak">Some text, here.</p><p>More text, there.</p></div>'
+    assert html.main_text(page) == "Some text, here.\nMore text, there."
+
+
+def test_quotes_that_are_none():
+    assert html.main_text("<p class=a'b>It's one, \"two\".</p><p x = 'q > r'>Three.</p>") == "It's one, \"two\".\nThree."
+    assert html.main_text("<p title='open>Text, more.</p>") == "Text, more."
+    assert html.main_text("<p>a < b and c <d or e.</p><p>two</p>").startswith("a < b and c")
+    assert html.main_text("<p>Text, all of it.</p><b unfinished") == "Text, all of it."
+
+
+def test_many_open_quotes_take_linear_time():
+    page = "<p>Text, here.</p>" + "<a href='x " * 20_000
+    assert html.main_text(page).startswith("Text, here.")

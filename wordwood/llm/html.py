@@ -21,13 +21,11 @@ from pyspark.sql import types as T
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)"
-    r"(?P<rest>(?:[^>\"']++|\"[^\"]{0,8192}+\"|'[^']{0,8192}+')*+)>"
-    # Quotes that do not close, or not soon, are no quotes.
-    r"|<(?P<end2>/?)(?P<tag2>[A-Za-z][^\s/>]*)(?P<rest2>[^>]*)>"
-    r"|<[!?/][^>]*(?:>|\Z)"
-    r"|<[A-Za-z][^<>]*\Z",
+    r"|<[!?/][^>]*(?:>|\Z)",
     re.S,
 )
+# What may end a tag, or a value in it.
+MARK = re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"([^\s=/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s]+))?")
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -75,10 +73,26 @@ TAG_POINTS = {"article": 10.0, "main": 10.0, "section": 3.0, "div": 3.0, "ul": -
 SIBLING_SHARE, SIBLING_POINTS, SIBLING_LINKS = 0.2, 10.0, 0.25
 
 
+def _tag_end(html: str, at: int, last: dict[str, int]) -> int:
+    """Where the ``>`` of a tag is, whatever its quoted values hold and however long they are; or -1.
+
+    A quote is one if it follows an equals sign and is closed somewhere.
+    """
+    while at <= last[">"]:
+        found = MARK.search(html, at)
+        mark, at = found[0], found.end()
+        if mark == ">":
+            return found.start()
+        if at <= last[mark] and html[max(0, found.start() - 64) : found.start()].rstrip()[-1:] == "=":
+            at = html.find(mark, at) + 1
+    return -1
+
+
 class Page:
     """Elements as parallel lists, and the text blocks in page order."""
 
-    def __init__(self, html: str):
+    def __init__(self, html: str, by_name: bool = True):
+        self.by_name = by_name
         self.tag, self.parent, self.dropped = ["#page"], [-1], [False]
         # Of each block: innermost block element, text, characters inside links.
         self.blocks: list[tuple[int, str, int]] = []
@@ -86,26 +100,35 @@ class Page:
         self._read(html)
 
     def _read(self, html: str) -> None:
-        at = 0
+        at, text_from = 0, 0
+        last = {mark: html.rfind(mark) for mark in "<>\"'"}
         while True:
             found = TOKEN.search(html, at)
-            self._text(html[at : found.start() if found else len(html)])
+            name = found["tag"].lower() if found and found["tag"] else ""
+            end = _tag_end(html, found.end(), last) if name else -1
+            if name and end < 0:
+                # No tag: all that is left if it stands alone, else a character like others.
+                if found.start() == last["<"]:
+                    self._text(html[text_from : found.start()])
+                    break
+                at = found.start() + 1
+                continue
+            self._text(html[text_from : found.start() if found else len(html)])
             if not found:
                 break
-            at = found.end()
-            name = (found["tag"] or found["tag2"] or "").lower()
-            rest = found["rest"] or found["rest2"] or ""
+            at = text_from = end + 1 if name else found.end()
             if not name:
                 continue
-            if found["end"] or found["end2"]:
+            if found["end"]:
                 self._close(name)
                 continue
+            rest = html[found.end() : end]
             self._open(name, rest)
             if name in RAW and not rest.endswith("/"):
-                end = re.compile(f"</{name}", re.I).search(html, at)
-                if end is None:
+                raw = re.compile(f"</{name}", re.I).search(html, at)
+                if raw is None:
                     break
-                at = end.start()
+                at = text_from = raw.start()
         self._flush()
 
     def _text(self, text: str) -> None:
@@ -137,7 +160,7 @@ class Page:
             return
         self.tag.append(name)
         self.parent.append(self._stack[-1])
-        self.dropped.append(self.dropped[self._stack[-1]] or _is_dropped(name, rest))
+        self.dropped.append(self.dropped[self._stack[-1]] or _is_dropped(name, rest, self.by_name))
         self._stack.append(len(self.tag) - 1)
 
     def _close(self, name: str) -> None:
@@ -159,7 +182,7 @@ class Page:
                 return
 
 
-def _is_dropped(name: str, rest: str) -> bool:
+def _is_dropped(name: str, rest: str, by_name: bool) -> bool:
     if name in DROPPED:
         return True
     if not rest.strip(" /") or name in NEVER_DROPPED:
@@ -172,7 +195,7 @@ def _is_dropped(name: str, rest: str) -> bool:
             return True
         if key == "style" and re.search(r"display\s*:\s*none", value):
             return True
-        if key in ("class", "id"):
+        if by_name and key in ("class", "id"):
             for one in value.split():
                 before = ""
                 for part in NAME_PART.findall(one):
@@ -184,8 +207,15 @@ def _is_dropped(name: str, rest: str) -> bool:
 
 
 def main_text(html: str | None) -> str:
-    """The article of a page, one line per block; empty for null and where there is none."""
-    page = Page(html or "")
+    """The article of a page, one line per block; empty for null and where there is none.
+
+    Where all text stands in elements whose names say that they are no article, the names are wrong about
+    at least one of them: then tags, roles and points alone decide.
+    """
+    return _article(Page(html or "")) or _article(Page(html or "", by_name=False))
+
+
+def _article(page: Page) -> str:
     size = len(page.tag)
     points, chars, links = [0.0] * size, [0] * size, [0] * size
     for node, text, linked in page.blocks:
