@@ -124,3 +124,27 @@ def test_held_out_accuracy(spark, sf_dir):
     got = classifier.classify(docs, net).join(labels, "doc_id").where("held_out").collect()
     assert np.mean([r.predicted == r.quality for r in got]) >= 0.97
     assert all(r.predicted for r in got if r.quality)
+
+
+def test_a_long_text_is_scored_in_ranges(monkeypatch):
+    net = classifier.train(*corpus(1, 40))
+    text = prose(random.Random(7), vocabulary(7), 4_000)
+    whole = chunked(text.encode())
+    for first in (0, 1, 5, len(whole[0]) - 1):
+        part = chunked(text.encode(), first, 3)
+        assert (part[0] == whole[0][first : first + 3]).all() and (part[1] == whole[1][first : first + 3]).all()
+    monkeypatch.setattr(classifier, "CHUNKS_AT_ONCE", 4)
+    assert net.score([text])[0] == pytest.approx(plain_score(net, text), abs=1e-4)
+
+
+def test_long_labelled_texts_are_learnt_from(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(classifier, "train", lambda texts, labels: seen.append((texts, labels)))
+    text = "".join(f"{i:07d} " for i in range(20_000))
+    docs = table(spark, [(i, text, "a") for i in range(20)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    classifier.fit(docs, labels, sample_bytes=8_000)
+    texts, given = seen[0]
+    assert set(given) == {0, 1} and all(1_000 < len(t) <= 8_000 for t in texts)
+    # Pieces from the beginning to the end.
+    assert text[:50] in texts[0] and "0017500" in texts[0]

@@ -29,6 +29,9 @@ REPEAT_GRAM, REPEAT_BACK = 4, 24
 
 # The bounds of the training sample: rows of each label, and bytes of a text.
 SAMPLE_ROWS, SAMPLE_BYTES = 600, 32_768
+
+# Pieces of a longer text, of characters of up to four bytes.
+SAMPLE_PIECES = 8
 EPOCHS, LEAST_STEPS, BATCH, RATE, DECAY = 10, 300, 48, 0.01, 1e-4
 
 # Scored at a time; bounds the memory of a task whatever the length of a text.
@@ -38,24 +41,37 @@ HELD_OUT = 5
 THRESHOLD = 0.3
 
 
-def chunked(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and repeat marks of the chunks, padded: two arrays of ``chunks x CHUNK``."""
+def chunk_count(text: bytes) -> int:
+    return max(1, -(-(len(text) - OVERLAP) // (CHUNK - OVERLAP)))
+
+
+def chunked(text: bytes, first: int = 0, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and repeat marks of the chunks, padded: two arrays of ``chunks x CHUNK``.
+
+    Of a long text ``most`` chunks from ``first`` on are made; only their bytes and a few beside them are looked at.
+    """
     step = CHUNK - OVERLAP
-    count = max(1, -(-(len(text) - OVERLAP) // step))
+    count = chunk_count(text) - first
+    if most is not None:
+        count = min(count, most)
     size = step * count + OVERLAP
+    begin = step * first
+    context = min(begin, REPEAT_BACK)
+    raw = np.frombuffer(text, np.uint8)[begin - context : begin + size + REPEAT_GRAM - 1].astype(np.uint32)
+    own = raw[context : context + size]
     data = np.full(size, PAD, np.int64)
-    data[: len(text)] = np.frombuffer(text, np.uint8)
+    data[: len(own)] = own
     marks = np.zeros(size, np.float32)
-    n = len(text) - REPEAT_GRAM + 1
+    n = len(raw) - REPEAT_GRAM + 1
     if n > 0:
-        raw = data[: len(text)]
         gram = np.zeros(n, np.uint32)
         for i in range(REPEAT_GRAM):
-            gram = gram << np.uint32(8) | raw[i : i + n].astype(np.uint32)
+            gram = gram << np.uint32(8) | raw[i : i + n]
         again = np.zeros(n, bool)
         for back in range(2, min(REPEAT_BACK, n - 1) + 1):
             again[back:] |= gram[back:] == gram[:-back]
-        marks[:n] = again
+        again = again[context : context + size]
+        marks[: len(again)] = again
     starts = np.arange(count)[:, None] * step + np.arange(CHUNK)
     return data[starts], marks[starts]
 
@@ -86,12 +102,19 @@ class Network:
 
     def pooled(self, data: np.ndarray, marks: np.ndarray) -> np.ndarray:
         """The largest value of each filter in each chunk."""
-        parts = []
-        for i in range(0, len(data), CHUNKS_AT_ONCE):
-            window = self.windows(data[i : i + CHUNKS_AT_ONCE], marks[i : i + CHUNKS_AT_ONCE])
-            flat = window.reshape(-1, window.shape[-1]) @ self.filters
-            parts.append(flat.reshape(*window.shape[:2], FILTERS).max(1))
-        return np.maximum(np.concatenate(parts) + self.bias, 0)
+        window = self.windows(data, marks)
+        flat = window.reshape(-1, window.shape[-1]) @ self.filters
+        return np.maximum(flat.reshape(*window.shape[:2], FILTERS).max(1) + self.bias, 0)
+
+    def features(self, text: bytes) -> np.ndarray:
+        """The largest and the mean value of each filter over all chunks, some chunks at a time."""
+        chunks = chunk_count(text)
+        largest, total = np.zeros(FILTERS, np.float32), np.zeros(FILTERS)
+        for first in range(0, chunks, CHUNKS_AT_ONCE):
+            top = self.pooled(*chunked(text, first, CHUNKS_AT_ONCE))
+            largest = np.maximum(largest, top.max(0))
+            total += top.sum(0)
+        return np.concatenate([largest, total / chunks])
 
     def score(self, texts: Sequence[str | None]) -> np.ndarray:
         """A probability for each text; the empty text and null are one text like any other."""
@@ -99,9 +122,7 @@ class Network:
             return np.full(len(texts), self.constant)
         scores = np.empty(len(texts))
         for i, text in enumerate(texts):
-            top = self.pooled(*chunked((text or "").encode()))
-            both = np.concatenate([top.max(0), top.mean(0)])
-            scores[i] = both @ self.out + self.shift[0]
+            scores[i] = self.features((text or "").encode()) @ self.out + self.shift[0]
         return 1 / (1 + np.exp(-np.clip(scores, -30, 30)))
 
 
@@ -191,11 +212,13 @@ def fit(
     text: str = "text",
     label: str = "quality",
     rows: int = SAMPLE_ROWS,
+    sample_bytes: int = SAMPLE_BYTES,
 ) -> Network:
     """Train on at most ``rows`` labelled documents of each label, none of them held out.
 
-    The rows are those with the smallest digests of their ids among the labelled ones; texts
-    over ``SAMPLE_BYTES`` bytes and null texts are left out of the sample.
+    The rows are those with the smallest digests of their ids among the labelled ones; null texts are left
+    out. Of texts over ``sample_bytes`` the network learns from pieces that are spread evenly over the whole
+    text and make up that size at most.
     """
     known = labels.select(F.col(key).alias("id"), F.col(label).alias("label")).where(
         F.col("id").isNotNull() & F.col("label").isin(0, 1) & (_remainder(F.col("id")) != 0)
@@ -206,9 +229,16 @@ def fit(
         some = known.where(F.col("label") == value).orderBy(order, "id").limit(rows)
         chosen = some if chosen is None else chosen.unionAll(some)
     # At most twice ``rows`` short rows are broadcast, so no text is moved but theirs.
-    read = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).where(
-        F.octet_length("text") <= SAMPLE_BYTES
+    long = F.octet_length("text") > sample_bytes
+    each = sample_bytes // (4 * SAMPLE_PIECES)
+    pieces = F.concat(
+        *[
+            F.substring(F.col("text"), (F.length("text") * i / SAMPLE_PIECES).cast("int") + 1, F.lit(each))
+            for i in range(SAMPLE_PIECES)
+        ]
     )
+    read = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).where("text IS NOT NULL")
+    read = read.withColumn("text", F.when(long, pieces).otherwise(F.col("text")))
     sample = read.join(F.broadcast(chosen), "id").select("id", "text", "label")
     found = sample.orderBy(order, "id", F.md5(F.col("text").cast("binary"))).limit(2 * rows)
     found = found.collect()
