@@ -5,8 +5,11 @@ Jaccard sketches of whole documents cannot see it, as a long document dwarfs an
 sketch is one of the item alone, and the whole document is held against it. Items are
 partitioned by size. A partition has one sketch length, long enough that a document with the
 wanted share of any of its items must have one of the sketch's hashes: an item of q shingles of
-which k must be found may lack q - k, so of its q - k + 1 smallest hashes one is there. The search
-therefore misses nothing, and candidates are verified by counting the shingles themselves.
+which k must be found may lack q - k, so of its q - k + 1 first hashes one is there, in whatever order they
+are. The order is that of the number of items that have a hash, then of the hash, so what many items begin
+with is in none of their sketches if they have anything of their own. The search
+misses nothing. Candidates are pairs of a document and an item, and only these are verified, by counting the shingles
+themselves.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wordwood.functions.hashing import fresh
 from wordwood.llm.common import lower_ascii, words, written
 
 # Words of a shingle, and the least containment in percent.
@@ -78,9 +82,14 @@ def find_leaks(
     are searched whole.
     """
     read = written(item_shingles(items, item_key, item_text), "items")
-    sketch = read.select(
-        F.explode(F.slice("hashes", 1, F.col("sketch_size"))).alias("hash")
-    ).distinct()
+    of_items = read.select("item_id", "item_md5", "sketch_size", F.explode("hashes").alias("hash"))
+    rarity = of_items.groupBy("hash").agg(F.count("*").alias("n"))
+    ranked = of_items.join(rarity, "hash").groupBy("item_id", "item_md5", "sketch_size").agg(
+        F.sort_array(F.collect_list(F.struct("n", "hash"))).alias("ranked")
+    )
+    first = F.slice("ranked", 1, F.col("sketch_size"))
+    sketch = ranked.select("item_id", "item_md5", F.explode(first).alias("x"))
+    sketch = sketch.select("item_id", "item_md5", F.col("x.hash").alias("hash"))
     sizes = read.agg(
         F.sum("sketch_size").alias("hashes"), F.array_sort(F.collect_set("width")).alias("widths")
     ).first()
@@ -107,24 +116,30 @@ def find_leaks(
         )
 
     hashed = terms.select("doc_id", "text_md5", F.explode(all_shingles(F.xxhash64)).alias("hash"))
-    found = hashed.join(sketch, "hash").select("doc_id", "text_md5").distinct()
+    found = hashed.join(sketch, "hash").select("doc_id", "text_md5", "item_id", "item_md5").distinct()
     # As a table its size is known, so Spark sends it to the texts if it is small.
     found = written(found, "leak-candidates")
 
-    suspects = found.toDF("d", "m")
+    suspects = found.select(F.col("doc_id").alias("d"), F.col("text_md5").alias("m")).distinct()
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_md5") == F.col("m"))
     texts = terms.join(suspects, same, "left_semi").dropDuplicates(["doc_id", "text_md5"])
     owned = texts.select(
-        "doc_id", "text_md5", F.explode(F.array_distinct(all_shingles(_as_text))).alias("shingle")
+        F.col("doc_id").alias("d"),
+        F.col("text_md5").alias("m"),
+        F.explode(F.array_distinct(all_shingles(_as_text))).alias("s"),
     )
-    wanted = read.select(
-        "item_id",
-        "item_md5",
+    # The shingles of each item for each of its candidates: an item is looked for in no other document.
+    shingles = read.select(
+        F.col("item_id").alias("i"),
+        F.col("item_md5").alias("im"),
         F.size("shingles").cast("bigint").alias("n_shingles"),
-        F.explode("shingles").alias("shingle"),
+        "shingles",
+    )
+    same_item = F.col("item_id").eqNullSafe(F.col("i")) & (F.col("item_md5") == F.col("im"))
+    wanted = found.join(shingles, same_item).select(
+        "doc_id", "text_md5", "item_id", "item_md5", "n_shingles", F.explode("shingles").alias("shingle")
     )
-    # Shingles of items only: what a document has beside them is of no use here.
-    matches = owned.join(wanted, "shingle").groupBy(
+    matches = wanted.join(owned, same & (F.col("shingle") == F.col("s"))).groupBy(
         "doc_id", "text_md5", "item_id", "item_md5", "n_shingles"
     ).agg(F.count("*").alias("shared"))
     enough = matches.where(F.col("shared") * 100 >= F.col("n_shingles") * LEAST_PCT)
@@ -137,11 +152,12 @@ def without_leaks(
     docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """The rows of ``docs`` that hold no item, with all their columns."""
+    own_id, own_md5 = fresh(docs, "_leak_id", "_leak_md5")
     leaks = find_leaks(docs, items, key, text).select(
-        F.col("doc_id").alias("_leak_id"), F.col("text_md5").alias("_leak_md5")
+        F.col("doc_id").alias(own_id), F.col("text_md5").alias(own_md5)
     )
     leaks = written(leaks.distinct(), "leaks")
-    same = docs[key].eqNullSafe(leaks["_leak_id"]) & (
-        F.md5(docs[text].cast("binary")) == leaks["_leak_md5"]
+    same = docs[key].eqNullSafe(leaks[own_id]) & (
+        F.md5(docs[text].cast("binary")) == leaks[own_md5]
     )
     return docs.join(leaks, same, "left_anti")
