@@ -79,3 +79,29 @@ def test_without_leaks_keeps_rows_and_columns(spark):
 def test_a_large_benchmark_is_joined_by_a_shuffle(spark, monkeypatch):
     monkeypatch.setattr(leaks, "BROADCAST_HASHES", 0)
     test_the_threshold_is_met_exactly(spark)
+
+
+def test_items_with_one_stem_do_not_multiply(spark, monkeypatch):
+    """Many items that begin alike: each is looked for in its own documents only."""
+    stem = "all of these items begin in the same way"
+    rng, words = random.Random(8), vocabulary(8, 4000)
+    items = [(i, f"{stem} {prose(rng, words, 12)}") for i in range(120)]
+    docs = [(i, f"{prose(rng, words, 30)} {t} {prose(rng, words, 30)}", "a") for i, t in items]
+    seen = []
+    whole = leaks.written
+
+    def watched(df, name):
+        out = whole(df, name)
+        if name == "leak-candidates":
+            seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(leaks, "written", watched)
+    assert run(spark, docs, items) == plain(docs, items) == {(i, i) for i in range(120)}
+    assert seen == [120]
+
+
+def test_columns_with_inner_names_come_back(spark):
+    df = table(spark, odd_rows()).selectExpr("*", "'mine' AS _leak_id", "'own' AS _leak_md5")
+    out = leaks.without_leaks(df, spark.createDataFrame([(1, "one two three four five six", "")], ITEMS))
+    assert out.columns == df.columns and {r["_leak_id"] for r in out.collect()} == {"mine"}
