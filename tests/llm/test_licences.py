@@ -1,4 +1,6 @@
+import itertools
 import math
+import os
 import re
 import textwrap
 from collections import Counter, defaultdict
@@ -20,27 +22,35 @@ def terms(text):
 
 
 def plain(rows):
-    lines = [
-        {x for x in (t or "").split("\n") if re.search(STATEMENT.replace("(?i)", ""), x, re.I)}
-        for _, _, t, _ in rows
-    ]
-    n = sum(map(len, lines))
-    df = Counter(term for own in lines for line in own for term in terms(line))
+    def says(x):
+        return re.search(STATEMENT.replace("(?i)", ""), x, re.I)
+
+    def header(t):
+        return "\n".join(itertools.takewhile(str.strip, t.lstrip().split("\n")))
+
+    units = []
+    for _, _, t, is_licence in rows:
+        t, own = t or "", {}
+        for kind, found in ((2, t.split("\n")), (1, [header(t)]), (0, [t] if is_licence else [])):
+            own |= {x: kind for x in found if says(x)}
+        units.append(own)
+    n = sum(map(len, units))
+    df = Counter(term for own in units for x in own for term in terms(x))
     known = {term for _, s in TEMPLATES for term in terms(s)}
     idf = lambda t: math.log((1 + n) / (1 + (df[t] if t in known else 0))) + 1
 
-    def best(line):
-        u = {t: c * idf(t) for t, c in terms(line).items()}
+    def best(unit, kind):
+        u = {t: c * idf(t) for t, c in terms(unit).items()}
         found = []
         for name, s in TEMPLATES:
             v = {t: c * idf(t) for t, c in terms(s).items()}
             dot = sum(u.get(t, 0) * x for t, x in v.items())
             norm = math.hypot(*u.values()) * math.hypot(*v.values())
             if norm and round(dot / norm, 6) >= LEAST_COSINE:
-                found.append((-round(dot / norm, 6), name))
+                found.append((kind, -round(dot / norm, 6), name))
         return min(found, default=None)
 
-    own = [min(filter(None, map(best, x)), default=None) for x in lines]
+    own = [min(filter(None, (best(*x) for x in own.items())), default=None) for own in units]
     by_key = defaultdict(list)
     for (i, p, _, _), o in zip(rows, own, strict=True):
         if o:
@@ -53,14 +63,14 @@ def plain(rows):
     out = []
     for i, p, _, _ in rows:
         o = min(by_key[i, p], default=None)
-        name, where = (o[1] if o else None), None
+        name, where = (o[2] if o else None), None
         d = None if p is None else up(p)
         while not o and d is not None:
             if d in above:
-                name, where = min(above[d])[1], d
+                name, where = min(above[d])[2], d
                 break
             d = up(d) if d else None
-        out.append((i, p, o and o[1], o and -o[0], name, where))
+        out.append((i, p, o and o[2], o and -o[1], name, where))
     return out
 
 
@@ -133,3 +143,31 @@ def test_notices_of_several_lines_and_tags(spark):
     rows = [(i, f"d{i}/f", text, flag) for i, (_, text, flag) in texts.items()]
     got = {r.doc_id: r.own_licence for r in licences.scan(frame(spark, rows)).collect()}
     assert got == {i: name for i, (name, _, _) in texts.items()}
+
+
+def test_a_whole_text_goes_before_its_lines(spark):
+    bsd = f"Copyright (c) 2021 Jane Doe.\nAll rights reserved.\n\n{licences.BSD_GRANT + licences.BSD_NAMES + licences.BSD_REST}"
+    rows = [(1, "a/LICENSE", bsd, True), (2, "a/x.c", "int x;", False)]
+    got = {r.doc_id: (r.licence, r.inherited_from) for r in licences.scan(frame(spark, rows)).collect()}
+    assert got == {1: ("BSD-3-Clause", None), 2: ("BSD-3-Clause", "a")}
+
+
+SYSTEM = "/usr/share/common-licenses"
+NAMES = ["Apache-2.0", "BSD", "CC0-1.0", "GFDL-1.3", "GPL-2", "GPL-3", "LGPL-2.1", "LGPL-3", "MPL-2.0"]
+
+
+@pytest.mark.skipif(not os.path.isdir(SYSTEM), reason="no licence files on this system")
+def test_whole_licence_files(spark):
+    """Full texts as templates: each file is itself, also with a name in front and other line ends."""
+    texts = licences.named_texts(spark, f"{SYSTEM}/{{{','.join(NAMES)}}}")
+    assert [name for name, _ in texts] == NAMES
+    rows = []
+    for i, (name, text) in enumerate(texts):
+        rows += [(i, f"{name}/LICENSE", f"Copyright (c) 2021 Jane Doe\n\n{text}", True)]
+        rows += [(100 + i, f"{name}/deep/er/x.c", "int x;", False)]
+    got = licences.scan(frame(spark, rows), templates=[*TEMPLATES, *texts]).collect()
+    found = {r.doc_id: (r.licence, r.inherited_from) for r in got}
+    same = {"BSD": ("BSD", "BSD-3-Clause"), "GPL-2": ("GPL-2", "GPL-2.0"), "GPL-3": ("GPL-3", "GPL-3.0")}
+    for i, name in enumerate(NAMES):
+        assert found[i][0] in same.get(name, (name,))
+        assert found[100 + i] == (found[i][0], name)

@@ -198,10 +198,24 @@ def best_templates(units: DataFrame, templates: Sequence[tuple[str, str]]) -> Da
     )
 
 
+def named_texts(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """Templates from files of whole licences, one each, named as the file without its ending.
+
+    For ``scan(..., templates=[*TEMPLATES, *named_texts(...)])``. The texts pass through the driver: a
+    list of licences is a parameter, and small.
+    """
+    rows = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("name"))
+    return sorted((r["name"].removesuffix(".txt"), r["value"]) for r in rows.collect())
+
+
 def _directory(path: Column) -> Column:
     return F.regexp_replace(path, "/?[^/]*$", "")
 
 
+def _digest(text: Column) -> Column:
+    return F.unhex(F.md5(text.cast("binary")))
+
+
 def _leading(lines: Column, inside) -> Column:
     """The lines before the first that is not ``inside``, joined."""
     end = F.array_position(F.transform(lines, inside), False)
@@ -240,7 +254,8 @@ def scan(
     Returns ``doc_id, path, own_licence, own_score, licence, inherited_from``: what the text of
     the file declares, if anything, and what holds for it: that, or else the licence of the
     nearest directory above with licence files, and that directory. Where a file declares
-    several, or a directory has several licence files, the highest score wins, then the first
+    several, or a directory has several licence files, what a whole text says goes before what a header
+    says, and that before what a line says; then the highest score wins, then the first
     name. Licence files are rows where ``is_licence`` is true.
 
     What is compared are lines, the header (the first comment, or the lines up to a blank one) and,
@@ -264,12 +279,16 @@ def scan(
         F.col(path).alias("path"),
         known.alias("is_licence"),
         units.alias("lines"),
+        F.when(known, _digest(whole)).alias("whole"),
+        _digest(_header(whole)).alias("header"),
     )
     # Only what may declare a licence is kept of the texts.
     read = written(read.withColumn("lines", F.array_distinct("lines")), "statements")
-    lines = read.select("doc_id", "path", "is_licence", F.explode("lines").alias("text"))
+    lines = read.select("doc_id", "path", "is_licence", "whole", "header", F.explode("lines").alias("text"))
     # Whole texts are long: what is counted and joined is their digest.
-    lines = lines.withColumn("unit", F.unhex(F.md5(F.col("text").cast("binary"))))
+    lines = lines.withColumn("unit", _digest(F.col("text")))
+    kind = F.when(F.col("unit") == F.col("whole"), 0).when(F.col("unit") == F.col("header"), 1).otherwise(2)
+    lines = lines.withColumn("kind", kind).drop("whole", "header")
     units = lines.groupBy("unit").agg(F.min("text").alias("text"), F.count("*").alias("files"))
     best = written(best_templates(units, templates), "best")
 
@@ -277,7 +296,7 @@ def scan(
         "doc_id",
         "path",
         "is_licence",
-        F.struct((-F.col("score")).alias("order"), "licence", "score").alias("found"),
+        F.struct("kind", (-F.col("score")).alias("order"), "licence", "score").alias("found"),
     )
     own = stated.groupBy("doc_id", "path").agg(F.min("found").alias("found"))
     own = own.select(

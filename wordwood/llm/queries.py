@@ -100,12 +100,14 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The licences of all documents, as files of their source and language.
 
-    Documents of at most 60 words that speak of a licence count as the licence files of their
-    source and language; the others are in folders of 500 ids below. So folders inherit.
+    Documents in which lines that speak of a licence hold half of the words, or more, count as the licence
+    files of their source and language; the others are in folders of 500 ids below. So folders inherit.
     """
     docs = table(spark, sf_dir, "documents")
-    short = F.regexp_count("text", F.lit(WORD)) <= 60
-    is_licence = short & F.rlike("text", F.lit(licences.STATEMENT))
+    speaks = F.rlike("text", F.lit(licences.STATEMENT))
+    stating = F.filter(F.split("text", "\n"), lambda line: F.rlike(line, F.lit(licences.STATEMENT)))
+    stated = F.aggregate(stating, F.lit(0), lambda n, line: n + F.regexp_count(line, F.lit(WORD)))
+    is_licence = F.when(speaks, 2 * stated >= F.regexp_count("text", F.lit(WORD))).otherwise(False)
     folder = F.when(~is_licence, F.floor(F.col("doc_id") / 500).cast("string"))
     files = docs.select(
         "doc_id",
