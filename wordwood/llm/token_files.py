@@ -29,6 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import WhitespaceSplit
 
 from wordwood.llm import elias_fano
 from wordwood.llm.common import fragments_for, total_bytes, written
@@ -81,10 +82,13 @@ class Encoder:
         self.lengths, self.starts = np.empty(0, np.int64), np.empty(0, np.int64)
         self.uses = np.empty(0, np.int32)
         self.ids = np.empty(0, np.uint32)
-        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
-        self.mark = mark[0] if len(mark) == 1 else None
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cut = "".join(filter(self.cuts, ENDS))
+        self.lower, self.letters, self.mark = False, None, ""
+        if self.knows_letters():
+            self.letters = Tokenizer(self.tokenizer.model)
+            self.letters.pre_tokenizer = WhitespaceSplit()
+            self.mark = self.tokenizer.pre_tokenizer.pre_tokenize_str(MARK)[0][0]
 
     def cuts(self, end: str) -> bool:
         """Whether letters and this punctuation after them are never in one token."""
@@ -95,20 +99,35 @@ class Encoder:
             for more in (end, end * 3, f"{end}.", f",{end}")
         )
 
-    def each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def knows_letters(self) -> bool:
+        """Whether a word of ASCII letters is one piece for the model, but for its case."""
+        before, normal = self.tokenizer.pre_tokenizer, self.tokenizer.normalizer
+        if before is None or any(a.isalpha() for a in self.added):
+            return False
+        small = string.ascii_lowercase
+        words = [small, *(a + b for a in small for b in small)]
+        words += [w.upper() for w in words] + [w.title() for w in words]
+        shown = [normal.normalize_str(w) if normal else w for w in words]
+        self.lower = shown == [w.lower() for w in words]
+        return (self.lower or shown == words) and all(
+            [t for t, _ in before.pre_tokenize_str(w)] == [w] for w in shown
+        )
+
+    def each(self, words: list[str], tokenizer: Tokenizer, mark: str) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words, one after the other, and how many each has."""
-        if self.mark is not None and not any(MARK in w for w in words):
+        end = tokenizer.encode(mark, add_special_tokens=False).ids
+        if len(end) == 1 and not any(mark in w for w in words):
             parts = []
             for lot in itertools.batched(words, LOT):
-                joined = [f" {MARK} ".join(some) for some in itertools.batched(lot, JOINED)]
-                found = self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)
-                ends = itertools.chain.from_iterable((*x.ids, self.mark) for x in found)
+                joined = [f" {mark} ".join(some) for some in itertools.batched(lot, JOINED)]
+                found = tokenizer.encode_batch_fast(joined, add_special_tokens=False)
+                ends = itertools.chain.from_iterable((*x.ids, end[0]) for x in found)
                 parts.append(np.fromiter(ends, np.uint32))
             ids = np.concatenate([np.empty(0, np.uint32), *parts])
-            marks = np.flatnonzero(ids == self.mark)
+            marks = np.flatnonzero(ids == end[0])
             if len(marks) == len(words):
                 return np.delete(ids, marks), np.diff(marks, prepend=-1) - 1
-        found = [x.ids for x in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        found = [x.ids for x in tokenizer.encode_batch(words, add_special_tokens=False)]
         ids = np.fromiter(itertools.chain.from_iterable(found), np.uint32)
         return ids, np.fromiter(map(len, found), np.int64, len(found))
 
@@ -116,24 +135,32 @@ class Encoder:
         """Tokenise the new words.
 
         A word that ends in punctuation has the ids of what it is without and those of its end,
-        if the tokenizer cuts it there.
+        if the tokenizer cuts it there; one with capitals, those of it without, if the tokenizer drops them. Words of
+        letters alone need not be cut, so the model gets them as they are.
         """
-        new, ended = self.known.new, []
+        new, ended, capital, whole, letters = self.known.new, [], [], [], []
         for i, word in enumerate(new):
             bare = word.rstrip(self.cut)
             if len(bare) < len(word) and bare[-1:] in LETTERS and not any(a in word for a in self.added):
                 ended.append((i, self.known[bare], self.known[word[len(bare) :]]))
+            elif self.letters is None or not (word.isascii() and word.isalpha()):
+                whole.append(i)
+            elif self.lower and not word.islower():
+                capital.append((i, self.known[word.lower()], self.known[""]))
+            else:
+                letters.append(i)
         known, lengths, starts = len(self.lengths), np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
-        whole = np.ones(len(new), bool)
-        whole[[i for i, _, _ in ended]] = False
-        ids, lengths[whole] = self.each([new[i] for i in np.flatnonzero(whole)])
-        starts[whole] = len(self.ids) + np.cumsum(lengths[whole]) - lengths[whole]
-        self.ids = np.concatenate([self.ids, ids])
+        for which, tokenizer, mark in ((whole, self.tokenizer, MARK), (letters, self.letters, self.mark)):
+            if which:
+                ids, lengths[which] = self.each([new[i] for i in which], tokenizer, mark)
+                starts[which] = len(self.ids) + np.cumsum(lengths[which]) - lengths[which]
+                self.ids = np.concatenate([self.ids, ids])
         self.lengths = np.concatenate([self.lengths, lengths])
         self.starts = np.concatenate([self.starts, starts])
         self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int32)])
-        if ended:
-            at, *parts = np.array(ended).T
+        # What others are made of comes first.
+        for made in filter(None, (capital, ended)):
+            at, *parts = np.array(made).T
             parts = np.stack(parts, axis=1)
             lengths = self.lengths[parts].sum(1)
             self.lengths[known + at] = lengths
@@ -144,7 +171,10 @@ class Encoder:
         """The ids of words, one after the other."""
         lengths = self.lengths[numbers]
         ends = np.cumsum(lengths)
-        return self.ids[np.arange(ends[-1]) + np.repeat(self.starts[numbers] - ends + lengths, lengths)]
+        # A lot has far fewer ids than 32 bits can count.
+        at = np.repeat((self.starts[numbers] - ends + lengths).astype(np.int32), lengths)
+        at += np.arange(len(at), dtype=np.int32)
+        return self.ids[at]
 
     def forget(self) -> None:
         """Keep the words that were used most since the last time, half of the bound at most."""
