@@ -209,6 +209,19 @@ print("rows", QUERIES["line_scan_roundtrip"](spark, {sf_dir!r}).count())
     assert int(done.stdout.split()[-1]) > 0
 
 
+def test_drop_path(spark):
+    gone, kept = src.scratch_path(spark, "tables"), src.scratch_path(spark, "tables")
+    for path in (f"{gone}/one", f"{gone}/two", kept):
+        src.write_dataset(spark.range(3), path)
+    src.drop_path(spark, gone)
+    for name in ("one", "two"):
+        with pytest.raises(AnalysisException):
+            src.read_dataset(spark, f"{gone}/{name}")
+    assert src.read_dataset(spark, kept).count() == 3
+    with pytest.raises(ValueError):
+        src.drop_path(spark, "/somewhere/else")
+
+
 def test_drop_scratch(spark):
     path = src.scratch_path(spark, "gone")
     src.write_dataset(spark.range(3), path)

@@ -26,7 +26,7 @@ from wordwood.sources.generate import (
     text_lines,
 )
 from wordwood.sources.replace import replace, restore
-from wordwood.sources.scratch import drop_scratch, scratch_path
+from wordwood.sources.scratch import drop_path, drop_scratch, scratch_path
 from wordwood.sources.sizing import files_of, row_bytes, stored_bytes, table_bytes
 
 __all__ = [
@@ -36,6 +36,7 @@ __all__ = [
     "add_sample_lines",
     "copy_dataset",
     "dataset_path",
+    "drop_path",
     "drop_scratch",
     "ensure_dataset",
     "files_of",

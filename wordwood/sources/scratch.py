@@ -39,8 +39,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete one scratch table, or a folder of them, once nothing reads it any more."""
+    if not path.startswith(f"{_own_folder(spark)}/"):
+        raise ValueError(f"{path} is not in the scratch folder of this application")
+    _delete(spark, path)
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete what this application wrote, once nothing reads it any more."""
+    _delete(spark, _own_folder(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
     sc = spark.sparkContext
-    path = sc._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path = sc._jvm.org.apache.hadoop.fs.Path(path)
     path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
