@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,10 +37,13 @@ def shown(value: Column) -> Column:
     return F.coalesce(value.cast("string"), F.lit("\x00null"))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows as a table in the shared scratch folder: lineage ends here."""
+def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """The same rows as a table in the shared scratch folder: lineage ends here.
+
+    With ``folder``, a path of that scratch folder, beneath it: so tables can go together.
+    """
     spark = df.sparkSession
-    path = scratch_path(spark, name)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}" if folder else scratch_path(spark, name)
     write_dataset(df, path)
     return read_dataset(spark, path, df.schema)
 

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from wordwood.functions.hashing import fresh
 from wordwood.llm.common import fragments_for, written
 from wordwood.llm.components import components
+from wordwood.sources.scratch import drop_path, scratch_path
 
 # Words of an n-gram, least similarity in percent.
 WIDTH = 5
@@ -386,25 +387,28 @@ def _cross_pairs(
     ).distinct()
 
 
-def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+def _merged(labels: DataFrame, links: DataFrame, folder: str) -> DataFrame:
     """The labels once the components that the links connect are one."""
     a = labels.select(F.col("node").alias("a"), F.col("label").alias("label_a"))
     b = labels.select(F.col("node").alias("b"), F.col("label").alias("label_b"))
     edges = links.join(a, "a").join(b, "b").where("label_a <> label_b")
     edges = edges.select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
     touched = edges.select("a").unionAll(edges.select("b")).distinct().toDF("node")
-    merged = components(touched, edges).toDF("old", "new")
+    merged = components(touched, edges, folder).toDF("old", "new")
     joined = labels.join(merged, labels["label"] == merged["old"], "left")
-    return written(joined.select("node", F.coalesce("new", "label").alias("label")), "labels")
+    return written(joined.select("node", F.coalesce("new", "label").alias("label")), "labels", folder)
 
 
 def linked_sets(texts: DataFrame, sets: DataFrame, ngrams: int) -> DataFrame:
     """The component of each set that may have a link: ``node, label``.
 
     ``texts`` are the rows of the first pass. ``sets`` has every different set once, ``node, n_shingles, lot, idx, chk``: the text that stands
-    for it. ``ngrams`` is the number of n-grams of all texts.
+    for it. ``ngrams`` is the number of n-grams of all texts. What the search writes on its way is
+    deleted once its result is written.
     """
-    fragments = fragments_for(texts.sparkSession, ngrams, NGRAMS_PER_FRAGMENT)
+    spark = texts.sparkSession
+    folder = scratch_path(spark, "linked_sets")
+    fragments = fragments_for(spark, ngrams, NGRAMS_PER_FRAGMENT)
     cut = texts.mapInPandas(lambda batches: _cut(batches, fragments), CUT)
     owners = sets.groupBy("lot").applyInPandas(_owners, "lot long, chk long, owners binary")
     everywhere = F.explode(F.sequence(F.lit(0), F.lit(fragments - 1))).alias("fragment")
@@ -412,7 +416,7 @@ def linked_sets(texts: DataFrame, sets: DataFrame, ngrams: int) -> DataFrame:
     shared = cut.groupBy("fragment").cogroup(owners.groupBy("fragment")).applyInPandas(_shared, SHARED)
     members = sets.select("lot", "idx", "node", "n_shingles")
     profiles = shared.groupBy("lot").cogroup(members.groupBy("lot")).applyInPandas(_profiles, PROFILE)
-    profiles = written(profiles, "profiles")
+    profiles = written(profiles, "profiles", folder)
     labels = profiles.select("node", F.col("node").alias("label"))
     for search in (
         lambda now: _possible(_hub_pairs(_min_hashes(profiles)), profiles),
@@ -420,8 +424,10 @@ def linked_sets(texts: DataFrame, sets: DataFrame, ngrams: int) -> DataFrame:
         lambda now: _cross_pairs(profiles, now, one_each=True),
         lambda now: _cross_pairs(profiles, now, one_each=False),
     ):
-        pairs = written(search(labels), "pairs")
-        labels = _merged(labels, written(_verified(pairs, profiles), "links"))
+        pairs = written(search(labels), "pairs", folder)
+        labels = _merged(labels, written(_verified(pairs, profiles), "links", folder), folder)
+    labels = written(labels, "labels")
+    drop_path(spark, folder)
     return labels
 
 
@@ -491,14 +497,15 @@ def without_near_duplicates(
     rows = rows.select(
         F.col("doc_id").alias(own_id), F.col("text_md5").alias(own_md5), "rows", stays.alias("stays")
     )
-    # Most documents stay and occur once: only the others are listed, and looked up.
+    # Most documents stay and occur once: only the others are listed, and looked up. The list grows
+    # with the corpus, so the texts are dealt out to it at every size, and sorted, which may spill.
     listed = written(rows.where("rows > 1 OR NOT stays"), "listed")
     md5 = F.md5(docs[text].cast("binary"))
 
     def same(table: DataFrame):
         return docs[key].eqNullSafe(table[own_id]) & md5.eqNullSafe(table[own_md5])
 
-    single = docs.join(listed, same(listed), "left_anti")
+    single = docs.join(listed.hint("merge"), same(listed), "left_anti")
     several = written(listed.where("stays"), "several")
     once = docs.join(several, same(several), "left_semi")
     once = once.withColumn(own_md5, F.md5(F.col(text).cast("binary"))).dropDuplicates([key, own_md5])
