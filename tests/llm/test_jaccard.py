@@ -1,6 +1,9 @@
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
+import numpy as np
+import pandas as pd
 import pytest
 from llm.helpers import CLASHING, SCHEMA, odd_rows, prose, table, vocabulary
 
@@ -187,3 +190,28 @@ def test_columns_with_inner_names_come_back(spark):
     out = jaccard.without_near_duplicates(df)
     assert out.columns == df.columns
     assert {(r["_md5"], r["_id"], r["stays"]) for r in out.collect()} == {("mine", "own", 1)}
+
+
+def test_memory_of_one_fragment():
+    """A fragment of the usual size leaves room for a second task and the JVM in a small executor."""
+    rng, lots, texts = np.random.default_rng(1), 20, 500
+    each = jaccard.NGRAMS_PER_FRAGMENT // (lots * texts)
+    counts = np.full(texts, each, np.int32).tobytes()
+    rows = pd.DataFrame(
+        {
+            "lot": range(lots),
+            "chk": 0,
+            "texts": [np.arange(texts, dtype=np.int32).tobytes()] * lots,
+            "counts": [counts] * lots,
+            "grams": [rng.integers(0, jaccard.NGRAMS_PER_FRAGMENT, texts * each, np.uint64).tobytes() for _ in range(lots)],
+        }
+    )
+    bits = np.packbits(np.ones(texts, bool)).tobytes()
+    owners = pd.DataFrame({"lot": range(lots), "chk": 0, "owners": [bits] * lots})
+    tracemalloc.start()
+    try:
+        found = jaccard._shared(rows, owners)
+        _, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert len(found) == lots and peak < 80 << 20

@@ -38,8 +38,9 @@ from wordwood.sources.scratch import drop_path, scratch_path
 WIDTH = 5
 LEAST_PCT = 80
 
-# N-grams that one fragment stands for.
-NGRAMS_PER_FRAGMENT = 3_000_000
+# N-grams that one fragment stands for: a task holds some 50 bytes for each, two tasks share a small
+# executor with a JVM that takes what it may.
+NGRAMS_PER_FRAGMENT = 1_000_000
 
 # Parts in which overlaps are counted, MinHash values that choose hubs, and n-grams of a prefix
 # by which sets meet before they meet by all of it.
