@@ -1,12 +1,14 @@
 import sys
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from helpers import as_dict, column
 from pyspark.sql import functions as F
 
 from wordwood import operators as op
 from wordwood.functions import lines, stripped, tokens
+from wordwood.operators import text
 
 LINES = [
     "a\tb c",
@@ -156,3 +158,24 @@ def test_counts_do_not_depend_on_partitions(spark, sf_dir):
 def test_text_size(spark):
     df = spark.createDataFrame([("é",), ("abc",), ("",)], "text string")
     assert op.text_size_mb(df).first()["size_mb"] == (2 + 1 + 3 + 1 + 0 + 1) / (1024 * 1024)
+
+
+def test_words_are_summed_before_they_are_rows(spark):
+    """No generator: the rows that Spark makes are sums of words, not single tokens."""
+    df = spark.createDataFrame([("a b a",)], "text string")
+    text = op.word_counts(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in text and text.count("Exchange") == 1
+
+
+@pytest.mark.parametrize("mode", RULES)
+def test_word_counts_of_long_texts_and_odd_bytes(spark, monkeypatch, mode):
+    texts = ["x\u2003y " * 50, "é\x85ü é", "word " * 2000 + "end", "l" * 3000, " ", "\u3000 a\tb\u00a0c \u3000"]
+    monkeypatch.setattr(text, "BYTES_AT_ONCE", 1000)
+    batch = pa.RecordBatch.from_pydict({"t": [None, *(t.encode() for t in texts)]})
+    got = Counter()
+    for sums in text._word_sums(iter([batch]), mode):
+        assert sums.num_rows < 60
+        got.update(dict(zip(*sums.to_pydict().values(), strict=True)))
+    assert got == Counter(w for t in texts for w in RULES[mode](t))
+    odd = spark.range(1).selectExpr("cast(X'61FF2062' AS string) AS text")
+    assert as_dict(op.word_counts(odd, mode=mode)) == {"a\ufffd": 1, "b": 1}

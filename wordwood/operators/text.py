@@ -6,10 +6,21 @@ own tokens before the shuffle, so at most one row per word and task travels.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordwood.functions.text import lines, raw_tokens
+from wordwood.functions.text import WHITESPACE_CHARS, lines, raw_tokens
+
+# Bytes of text that a task splits and sums at a time: they bound its memory.
+BYTES_AT_ONCE = 8 << 20
+
+# White space of one byte becomes a space in one step; texts with other white space go a longer way.
+SPACED = bytes(32 if chr(c) in WHITESPACE_CHARS and c < 128 else c for c in range(256))
+RARE_STARTS = [b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80"]
 
 
 def to_lines(df: DataFrame, col: str = "text") -> DataFrame:
@@ -35,9 +46,61 @@ def token_total(
     return tokenize(df, col, mode, by).groupBy(*by).agg(F.count("*").alias("tokens"))
 
 
+def _spaced(raw: bytes, mode: str) -> bytes:
+    """A text in which spaces alone stand between its words."""
+    if not raw.isascii():
+        raw = raw.decode("utf-8", "replace").encode()
+    if mode == "space":
+        return raw.decode().strip(WHITESPACE_CHARS).encode()
+    if not raw.isascii() and any(start in raw for start in RARE_STARTS):
+        return " ".join(raw.decode().split()).encode()
+    return raw.translate(SPACED)
+
+
+def _pieces(text: bytes) -> Iterator[bytes]:
+    """A text, cut between words if it is long."""
+    at = 0
+    while len(text) - at > BYTES_AT_ONCE and (end := text.find(b" ", at + BYTES_AT_ONCE)) >= 0:
+        yield text[at:end]
+        at = end + 1
+    yield text[at:]
+
+
+def _summed(pieces: list[bytes]) -> pa.RecordBatch:
+    """How often each word occurs in these pieces."""
+    joined = pa.array([b" ".join(pieces)], pa.large_binary()).cast(pa.large_string())
+    counts = pc.split_pattern(joined, " ").values.value_counts()
+    word, n = counts.field("values").cast(pa.string()), counts.field("counts")
+    found = pa.RecordBatch.from_arrays([word, n], ["word", "partial_count"])
+    return found.filter(pc.not_equal(word, ""))
+
+
+def _word_sums(batches: Iterator[pa.RecordBatch], mode: str) -> Iterator[pa.RecordBatch]:
+    """The words of a task's texts, summed for many texts at a time."""
+    held, size = [], 0
+    for batch in batches:
+        for raw in batch.column(0).to_pylist():
+            if raw is None:
+                continue
+            for piece in _pieces(_spaced(raw, mode)):
+                held.append(piece)
+                size += len(piece)
+                if size > BYTES_AT_ONCE:
+                    yield _summed(held)
+                    held, size = [], 0
+    if held:
+        yield _summed(held)
+
+
 def word_counts(df: DataFrame, col: str = "text", mode: str = "whitespace") -> DataFrame:
-    """How often each word occurs: ``word, n``. Case and punctuation are kept."""
-    return tokenize(df, col, mode).groupBy("word").agg(F.count("*").alias("n"))
+    """How often each word occurs: ``word, n``. Case and punctuation are kept.
+
+    Each task sums its words as it splits the texts, so no row is made for a single token.
+    """
+    raw_tokens(F.col(col), mode)  # for its error
+    texts = df.select(F.col(col).cast("string").cast("binary"))
+    sums = texts.mapInArrow(lambda batches: _word_sums(batches, mode), "word string, partial_count long")
+    return sums.groupBy("word").agg(F.sum("partial_count").alias("n"))
 
 
 def distinct_words(
