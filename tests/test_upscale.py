@@ -140,3 +140,21 @@ def test_no_row_is_joined_to_its_copies(base):
     assert "Join" not in plan(op.replicate(base, 10)) + plan(op.replicate(base, 10, 4))
     tiled = plan(op.tile(base, "k", 1000))
     assert tiled.count("Join") == tiled.count("BroadcastHashJoin") == 1
+
+
+def test_rows_of_a_large_table_are_moved_once(spark):
+    """With slices, too: what is dealt out are the rows, not a row for each copy; the slices get even shares."""
+    df = spark.range(0, 5000, 1, 4).selectExpr("concat('text ', id) AS text")
+    got = op.replicate(df, 10, 24)
+    assert got.count() == 50_000 and got.distinct().count() == 5000
+    per_task = as_dict(got.groupBy(F.spark_partition_id()).count())
+    assert len(per_task) == 24 and max(per_task.values()) < 1.2 * 50_000 / 24
+    moved = got.select("text", F.spark_partition_id().alias("task")).distinct().count()
+    assert moved == 5000
+
+
+def test_one_heavy_row_among_many_is_shared_by_the_slices(spark):
+    df = spark.range(500).selectExpr("if(id = 7, repeat('x', 1000000), 'y') AS text")
+    got = op.replicate(df, 48, 24).where("length(text) > 1")
+    per_task = as_dict(got.groupBy(F.spark_partition_id()).count())
+    assert sum(per_task.values()) == 48 and len(per_task) >= 12

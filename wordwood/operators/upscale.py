@@ -25,8 +25,11 @@ ROWS_PER_TASK = 1_000_000
 BYTES_PER_TASK = 16 << 20
 MAX_TASKS = 20_000
 
-# Copies of one row are dealt out in pieces of about so many bytes.
+# Copies of one row are dealt out in pieces of about so many bytes; with a number of slices, a slice gets
+# at least so many pieces. A row weighs its bytes and some more, as an empty one is work too.
 PIECE_BYTES = 1 << 20
+PIECES_PER_SLICE = 8
+LEAST_WEIGHT = 16
 
 # monotonically_increasing_id() holds the partition above this bit, the row number below.
 PARTITION_BIT = 33
@@ -112,22 +115,24 @@ def replicate(df: DataFrame, m: int, slices: int | None = None) -> DataFrame:
     The work is what the copies weigh, not where the rows are: the bytes of the rows, times ``m``, say how many
     tasks make the copies, and the rows are dealt out over these before they are copied, so each is
     moved once, or once for each piece of its copies if it is long. A table whose copies
-    one task can make stays where it is. With ``slices`` that many tasks share the copies of every row.
+    one task can make stays where it is. With ``slices`` that many tasks share the copies: of few rows those of
+    every row, while of many rows each is moved once, as above.
     """
     if m < 0:
         raise ValueError(f"m must not be negative, but is {m}")
     if m == 0:
         return df.where(F.lit(False))
     copy, share, own = fresh(df, "_copy", "_share", "_own")
+    rows, size = table_bytes(df)
+    weight, tasks, piece = row_bytes(df) * m, slices or _tasks(rows * m, size * m), PIECE_BYTES
     if slices:
-        pieces, tasks = F.lit(min(m, slices)), slices
-    else:
-        rows, size = table_bytes(df)
-        tasks = _tasks(rows * m, size * m)
-        if tasks == 1:
-            return _copied(df, F.lit(m).cast("bigint"), copy, None).drop(copy)
-        heavy = F.ceil(row_bytes(df) * m / F.lit(PIECE_BYTES))
-        pieces = F.greatest(F.lit(1), F.least(F.lit(m), heavy)).cast("int")
+        weight = weight + LEAST_WEIGHT * m
+        piece = max(1, (size + LEAST_WEIGHT * rows) * m // (slices * PIECES_PER_SLICE))
+    elif tasks == 1:
+        return _copied(df, F.lit(m).cast("bigint"), copy, None).drop(copy)
+    most = min(m, slices) if slices else m
+    heavy = F.ceil(weight / F.lit(piece))
+    pieces = F.greatest(F.lit(1), F.least(F.lit(most), heavy)).cast("int")
     dealt = df.withColumn(own, pieces)
     dealt = dealt.withColumn(share, F.explode(F.sequence(F.lit(1), F.col(own)))).repartition(tasks)
     each = F.call_function("div", F.lit(m), F.col(own))
