@@ -7,7 +7,9 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from wordwood import sources as src
+from wordwood.plans import QUERIES
 from wordwood.plans.inspect import final_plan
+from wordwood.sources import datasets
 from wordwood.sources.replace import folder
 
 
@@ -182,3 +184,25 @@ def test_skew_is_split(spark):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_a_task_writes_several_of_many_small_files(spark, tmp_path, monkeypatch):
+    """Tasks do not become as many as files; the files keep their size, the last of a task too."""
+    monkeypatch.setattr(datasets, "MANY_FILES", 40)
+    path = str(tmp_path / "small")
+    src.write_dataset(spark.range(0, 200_000, 1, 7).selectExpr("id", "md5(string(id)) AS m"), path, file_bytes=128 << 10)
+    rows = src.read_dataset(spark, path).groupBy("_metadata.file_path", "_metadata.file_size").count().collect()
+    tasks = {r["file_path"].rsplit("/", 1)[1].split("-")[1] for r in rows}
+    assert sum(r["count"] for r in rows) == 200_000
+    assert len(rows) >= 40 and len(rows) >= 8 * len(tasks)
+    assert all(64 << 10 <= r["file_size"] <= 256 << 10 for r in rows)
+
+
+def test_files_by_bytes_lists_no_file_alone(spark, sf_dir, monkeypatch):
+    def listed(*_):
+        raise AssertionError("one listing for each file")
+
+    monkeypatch.setattr(src, "stored_bytes", listed)
+    got = QUERIES["files_by_bytes"](spark, sf_dir).collect()
+    assert [(r["name"], r["even"]) for r in got] == [(n, True) for n in ("documents", "orders", "lineitem")]
+    assert [r["n"] for r in got] == [spark.read.parquet(f"{sf_dir}/{r['name']}.parquet").count() for r in got]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wordwood.sources.replace import folder, replace, restore
-from wordwood.sources.sizing import files_of, split_bytes, stored_bytes, stored_sizes
+from wordwood.sources.sizing import files_and_rows, split_bytes, stored_bytes, stored_sizes
 
 FEATURE_COLS = ["f0", "f1", "f2", "f3"]
 
@@ -27,6 +28,12 @@ TEXT_SIZES_MB = [50, 200, 500, 1024, 1536]
 FACTORS = [10, 20, 50, 100, 200, 500, 1000, 2000, 5000]
 CORE_LEVELS = [16, 20, 24, 30]
 
+# Of many small files a task writes several, so that tasks do not become as many as files: at most
+# ``FILES_PER_TASK``, of ``MANY_FILES``, of so many rows each that the tasks' shares are even enough.
+FILES_PER_TASK = 16
+MANY_FILES = 400
+ROWS_OF_EVEN_FILES = 2048
+
 # What a finished write leaves next to its files.
 DONE = "_SUCCESS"
 
@@ -104,10 +111,27 @@ def write_dataset(
     In exactly ``files`` even files if that is asked for, or in files of about ``file_bytes``, whether rows
     have 40 bytes or 100,000. Without either every partition writes its own file and nothing is shuffled.
     """
+    most = 0
     if file_bytes:
-        files = files_of(df, file_bytes)
+        files, rows = files_and_rows(df, file_bytes)
+        if files >= MANY_FILES and rows >= files * ROWS_OF_EVEN_FILES:
+            files, most = _shared_out(files, rows)
     out = df.repartition(files) if files else df
-    replace(df.sparkSession, path, lambda at: out.write.mode("overwrite").parquet(at))
+    # 0 is no limit.
+    replace(
+        df.sparkSession, path, lambda at: out.write.mode("overwrite").option("maxRecordsPerFile", most).parquet(at)
+    )
+
+
+def _shared_out(files: int, rows: int) -> tuple[int, int]:
+    """Tasks that write so many files together, and the most rows of a file.
+
+    Shares of a round robin differ by some rows, so files may have a little more than theirs, and
+    the last one of a task has less by an eighth.
+    """
+    tasks = -(-files // FILES_PER_TASK)
+    each = -(-files // tasks)
+    return tasks, math.ceil(rows / tasks / each * (1 + 1 / (8 * each)))
 
 
 def write_lines(

@@ -95,7 +95,12 @@ def split_bytes(sizes: list[int], splits: int) -> int:
 
 
 def files_of(df: DataFrame, file_bytes: int) -> int:
-    """Parquet files of about ``file_bytes`` that a table makes.
+    """Parquet files of about ``file_bytes`` that a table makes; see :func:`files_and_rows`."""
+    return files_and_rows(df, file_bytes)[0]
+
+
+def files_and_rows(df: DataFrame, file_bytes: int) -> tuple[int, int]:
+    """Parquet files of about ``file_bytes`` that a table makes, and its rows.
 
     Its bytes in memory are summed up in a pass of their own; how far they shrink in a file is seen from
     some rows, which are written to scratch.
@@ -104,11 +109,11 @@ def files_of(df: DataFrame, file_bytes: int) -> int:
         raise ValueError(f"file_bytes must be positive, but is {file_bytes}")
     rows, size = table_bytes(df)
     if not rows:
-        return 1
+        return 1, 0
     spark = df.sparkSession
     path = scratch_path(spark, "probe")
     few = df.limit(max(1, min(rows, PROBE_BYTES * rows // max(size, 1))))
     few.write.parquet(path)
     _, seen = table_bytes(spark.read.schema(df.schema).parquet(path))
     shrunk = stored_bytes(spark, path) / max(seen, 1)
-    return max(1, math.ceil(size * shrunk / file_bytes))
+    return max(1, math.ceil(size * shrunk / file_bytes)), rows
