@@ -158,3 +158,11 @@ def test_one_heavy_row_among_many_is_shared_by_the_slices(spark):
     got = op.replicate(df, 48, 24).where("length(text) > 1")
     per_task = as_dict(got.groupBy(F.spark_partition_id()).count())
     assert sum(per_task.values()) == 48 and len(per_task) >= 12
+
+
+def test_copies_are_counted_once(spark):
+    """What reads the numbered rows, twice in a permutation, reads counted rows and does not count again."""
+    df = spark.createDataFrame([("a", 1)] * 5 + [("b", None)] * 2, "x string, y int")
+    got = op.number_copies(df)
+    assert "Aggregate" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(column(op.permute(got, got.columns), "pos")) == list(range(1, 8))

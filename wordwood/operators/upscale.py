@@ -98,12 +98,16 @@ def number_copies(df: DataFrame, name: str = "copy") -> DataFrame:
 
     For tables without a key, ahead of the operators that need one. Identical rows are counted
     before the shuffle and made again after it, so no task ever holds a group of copies, be it
-    a third of the table.
+    a third of the table. The counted rows are written to scratch: every pass over the result
+    reads them, and none counts them again.
     """
     (rows,) = fresh(df, "_rows")
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, "counted")
     counted = df.groupBy(*df.columns).agg(F.count("*").alias(rows))
+    write_dataset(counted, path)
+    counted = read_dataset(spark, path, counted.schema)
     # Groups of one block are made where they are; only blocks of larger ones are dealt out.
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     few = _copied(counted.where(F.col(rows) <= BLOCK), F.col(rows), name, None)
     many = _copied(counted.where(F.col(rows) > BLOCK), F.col(rows), name, tasks)
     return few.unionAll(many).drop(rows)
