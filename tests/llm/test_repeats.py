@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -124,3 +125,24 @@ def test_given_documents(spark, sf_dir):
     got = repeats.remove_repeats(df, keep_bytes=False).collect()
     want = Counter((*x[:4], hashlib.sha256(x[4]).hexdigest()) for x in plain(rows).elements())
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
+
+
+def test_rows_of_anchors_name_only_their_texts():
+    """Else each lot sends the names of all its texts to every fragment, and these grow with the corpus."""
+    rng, words = random.Random(5), vocabulary(5)
+    texts = [prose(rng, words, 60).encode() for _ in range(40)]
+    frame = pd.DataFrame({"raw": texts, "text_key": [hashlib.md5(t).digest() for t in texts]})
+    whole = pd.concat(repeats._anchor_rows(iter([frame]), 1))
+    rows = pd.concat(repeats._anchor_rows(iter([frame]), 5000))
+    assert rows["fragment"].is_unique and len(rows) < 5000
+    pairs = sum(len(c) // 4 for c in rows["counts"])
+    assert sum(map(len, rows["keys"])) == 16 * pairs
+    assert all((np.frombuffer(c, np.int32) > 0).all() for c in rows["counts"])
+    assert sorted(np.frombuffer(b"".join(rows["grams"]), np.uint64)) == sorted(
+        np.frombuffer(whole["grams"].iloc[0], np.uint64)
+    )
+
+
+def test_fragments_are_small():
+    """Two tasks share a small executor; each holds the surroundings of a fragment's anchors many times over."""
+    assert repeats.fragments_for(None, 512 << 20, repeats.BYTES_PER_FRAGMENT) >= 64

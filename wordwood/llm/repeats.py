@@ -41,7 +41,7 @@ PIECE = 16
 # least, and most bytes whose suffixes are sorted together: a larger group is cut into shorter
 # pieces first. These bound the memory of a task.
 BYTES_AT_ONCE = 1 << 20
-BYTES_PER_FRAGMENT, LEAST_FRAGMENTS = 32 << 20, 24
+BYTES_PER_FRAGMENT, LEAST_FRAGMENTS = 8 << 20, 24
 SORTED_AT_ONCE = 1 << 17
 
 BASE = 0x9E3779B97F4A7C15
@@ -138,24 +138,21 @@ def _fragment(grams: np.ndarray, fragments: int) -> np.ndarray:
 
 
 def _anchor_rows(batches: Iterator[pd.DataFrame], fragments: int) -> Iterator[pd.DataFrame]:
-    """The anchors of many texts together, one row per fragment."""
+    """The anchors of many texts together, one row for each fragment that has some, of those texts alone."""
     rows = (row for b in batches for row in zip(b["raw"], b["text_key"], strict=True))
     for held in _texts_at_once(rows):
         held = list({key: (raw, key) for raw, key in held}.values())
         doc, grams, *_ = anchors(*_laid_out([raw for raw, _ in held]))
         at = _fragment(grams, fragments)
-        counts = np.bincount(at * len(held) + doc, minlength=fragments * len(held))
-        counts = counts.reshape(fragments, len(held)).astype(np.int32)
-        sorted_grams = grams[np.argsort(at, kind="stable")]
-        parts = np.split(sorted_grams, np.cumsum(counts.sum(1))[:-1])
-        yield pd.DataFrame(
-            {
-                "fragment": np.arange(fragments, dtype=np.int32),
-                "keys": [b"".join(key for _, key in held)] * fragments,
-                "counts": [c.tobytes() for c in counts],
-                "grams": [p.tobytes() for p in parts],
-            }
-        )
+        order = np.argsort(at, kind="stable")
+        bounds = np.searchsorted(at[order], np.arange(fragments + 1))
+        out = []
+        for f in np.flatnonzero(np.diff(bounds)).tolist():
+            part = order[bounds[f] : bounds[f + 1]]
+            used, counts = np.unique(doc[part], return_counts=True)
+            keys = b"".join(held[i][1] for i in used)
+            out.append((f, keys, counts.astype(np.int32).tobytes(), grams[part].tobytes()))
+        yield pd.DataFrame(out, columns=["fragment", "keys", "counts", "grams"])
 
 
 def _repeated_anchors(rows: pd.DataFrame) -> pd.DataFrame:
@@ -165,7 +162,7 @@ def _repeated_anchors(rows: pd.DataFrame) -> pd.DataFrame:
     for names, counts, grams in zip(rows["keys"], rows["counts"], rows["grams"], strict=True):
         counts, grams = np.frombuffer(counts, np.int32), np.frombuffer(grams, np.uint64)
         ends = np.cumsum(counts)
-        for i in np.flatnonzero(counts):
+        for i in range(len(counts)):
             key = names[16 * i : 16 * i + 16]
             if key not in seen:
                 seen.add(key)
