@@ -215,3 +215,40 @@ def test_memory_of_one_fragment():
     finally:
         tracemalloc.stop()
     assert len(found) == lots and peak < 80 << 20
+
+
+def test_plans_of_the_search_are_small(spark, monkeypatch):
+    """The driver holds a plan with all its shuffles: no step needs very many."""
+    shuffles = []
+    whole = jaccard.written
+
+    def watched(df, name, folder=None):
+        shuffles.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange "))
+        return whole(df, name, folder)
+
+    monkeypatch.setattr(jaccard, "written", watched)
+    rows = near_rows(1)
+    got = jaccard.near_duplicates(table(spark, rows)).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter(plain(rows))
+    assert max(shuffles) <= 30
+
+
+def test_nothing_is_merged_without_links(spark, monkeypatch):
+    seen = []
+    whole = jaccard.components
+
+    def watched(nodes, edges, folder=None):
+        seen.append(edges.count())
+        return whole(nodes, edges, folder)
+
+    monkeypatch.setattr(jaccard, "components", watched)
+    rng, vocab = random.Random(7), vocabulary(7, 400)
+    shared = prose(rng, vocab, 20)
+    rows = [(i, f"{prose(rng, vocab, 60)} {shared}", "a") for i in range(20)]
+    got = jaccard.near_duplicates(table(spark, rows)).collect()
+    assert sorted(r.component_id for r in got) == list(range(20))
+    assert seen == []
+    rows = near_rows(1)
+    got = jaccard.near_duplicates(table(spark, rows)).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter(plain(rows))
+    assert seen and all(seen)

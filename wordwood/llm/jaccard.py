@@ -348,15 +348,11 @@ def _hub_pairs(values: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def _cross_pairs(
-    profiles: DataFrame, labels: DataFrame, one_each: bool, first: int | None = None
-) -> DataFrame:
-    """Possible pairs of sets from different components that share an n-gram of their prefixes.
+def _postings(profiles: DataFrame, labels: DataFrame, first: int | None = None) -> DataFrame:
+    """The prefix n-grams that several components have: ``gram, label, main, node``.
 
-    With ``first``, one of the first n-grams of both.
-    Sets of the component that has most sets at an n-gram do not meet each other there: they only
-    meet the rest, and the rest meets itself. What cannot be similar by size and sketch is dropped
-    as it meets. With ``one_each`` only the set of most weight stands for its component.
+    With ``first``, only the first n-grams of each prefix. ``main`` is the component that has most
+    sets at the n-gram.
     """
     prefix = F.slice("prefix", 1, first) if first else F.col("prefix")
     posted = profiles.select("node", F.explode(prefix).alias("gram")).join(labels, "node")
@@ -365,8 +361,18 @@ def _cross_pairs(
         F.max(F.struct("sets", "label"))["label"].alias("main"), F.count("*").alias("labels")
     )
     mains = mains.where("labels > 1").select("gram", "main")
+    return posted.join(mains, "gram").select("gram", "label", "main", "node")
+
+
+def _cross_pairs(posted: DataFrame, profiles: DataFrame, one_each: bool) -> DataFrame:
+    """Possible pairs of sets from different components that share an n-gram of their prefixes.
+
+    ``posted`` are the n-grams by which they meet. Sets of the main component do not meet each
+    other there: they only meet the rest, and the rest meets itself. What cannot be similar by size
+    and sketch is dropped as it meets. With ``one_each`` only the set of most weight stands for its component.
+    """
     known = profiles.select("node", "weight", "size", "alone", *BIT_WORDS)
-    posted = posted.join(mains, "gram").join(known, "node")
+    posted = posted.join(known, "node")
     if one_each:
         one = F.max(F.struct("weight", "node", "size", "alone", *BIT_WORDS)).alias("one")
         posted = posted.groupBy("gram", "label", "main").agg(one).select(
@@ -389,11 +395,14 @@ def _cross_pairs(
 
 
 def _merged(labels: DataFrame, links: DataFrame, folder: str) -> DataFrame:
-    """The labels once the components that the links connect are one."""
+    """The labels once the components that the links connect are one; as they are if no link does."""
     a = labels.select(F.col("node").alias("a"), F.col("label").alias("label_a"))
     b = labels.select(F.col("node").alias("b"), F.col("label").alias("label_b"))
     edges = links.join(a, "a").join(b, "b").where("label_a <> label_b")
     edges = edges.select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
+    edges = written(edges, "links", folder)
+    if edges.isEmpty():
+        return labels
     touched = edges.select("a").unionAll(edges.select("b")).distinct().toDF("node")
     merged = components(touched, edges, folder).toDF("old", "new")
     joined = labels.join(merged, labels["label"] == merged["old"], "left")
@@ -419,14 +428,17 @@ def linked_sets(texts: DataFrame, sets: DataFrame, ngrams: int) -> DataFrame:
     profiles = shared.groupBy("lot").cogroup(members.groupBy("lot")).applyInPandas(_profiles, PROFILE)
     profiles = written(profiles, "profiles", folder)
     labels = profiles.select("node", F.col("node").alias("label"))
-    for search in (
-        lambda now: _possible(_hub_pairs(_min_hashes(profiles)), profiles),
-        lambda now: _cross_pairs(profiles, now, one_each=True, first=FIRST),
-        lambda now: _cross_pairs(profiles, now, one_each=True),
-        lambda now: _cross_pairs(profiles, now, one_each=False),
-    ):
-        pairs = written(search(labels), "pairs", folder)
-        labels = _merged(labels, written(_verified(pairs, profiles), "links", folder), folder)
+
+    def linked(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+        pairs = written(pairs, "pairs", folder)
+        return labels if pairs.isEmpty() else _merged(labels, _verified(pairs, profiles), folder)
+
+    labels = linked(_possible(_hub_pairs(_min_hashes(profiles)), profiles), labels)
+    for first, one_each in ((FIRST, True), (None, True), (None, False)):
+        # A table between the steps: one plan of both is large, and the driver holds it.
+        posted = written(_postings(profiles, labels, first), "posted", folder)
+        if not posted.isEmpty():
+            labels = linked(_cross_pairs(posted, profiles, one_each), labels)
     labels = written(labels, "labels")
     drop_path(spark, folder)
     return labels
