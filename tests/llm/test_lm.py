@@ -1,7 +1,10 @@
 import math
 import random
+import tracemalloc
 from collections import Counter
 
+import numpy as np
+import pandas as pd
 import pytest
 from llm.helpers import SCHEMA, odd_rows, prose, table, vocabulary
 
@@ -136,3 +139,43 @@ def test_known_words_in_another_order_cost_less_than_unknown_ones(spark):
     rows = [(1, "white blue green red", "a"), (2, "one two three four", "a")]
     got = {r.doc_id: r for r in lm.score(table(spark, rows), aim).collect()}
     assert got[1].target_loss < got[2].target_loss - 0.5
+
+
+def test_memory_of_a_fragment(spark):
+    """Twelve rows of 250,000 bigrams take less than half of what a small executor leaves a task."""
+    rng = np.random.default_rng(1)
+    texts, each, rows = 1_000, 250, 12
+    n = texts * each
+    firsts = np.arange(1_000, 11_000, dtype=np.uint64)
+    first = [rng.integers(0, len(firsts), n).astype(np.uint16) for _ in range(rows)]
+    seconds = [rng.integers(0, 100, n, np.uint64) for _ in range(rows)]
+    frame = pd.DataFrame(
+        {
+            "side": np.arange(rows, dtype=np.int32) % 2,
+            "batch": [bytes([i]) for i in range(rows)],
+            "keys": b"",
+            "own": b"",
+            "width": 2,
+            "texts": [np.arange(texts, dtype=np.uint16).tobytes()] * rows,
+            "counts": [np.full(texts, each, np.uint16).tobytes()] * rows,
+            "pairs": [(firsts[f] * np.uint64(1000) + s).tobytes() for f, s in zip(first, seconds, strict=True)],
+            "firsts": [firsts.tobytes()] * rows,
+            "first": [f.tobytes() for f in first],
+        }
+    )
+    tracemalloc.start()
+    try:
+        found = lm._losses(frame, {}, (1, 1), 10)
+        _, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    # 3 million bigrams, 50 bytes for each.
+    assert len(found) == rows / 2 and peak < 150 << 20
+
+
+def test_more_texts_or_bigrams_than_two_bytes_count(spark):
+    """A batch of over 65,536 texts, and a text that has as many bigrams in each fragment."""
+    rows = [(i, f"w{i % 50}", "a") for i in range(70_000)]
+    check(spark, rows, ["w1 w2"])
+    rng = random.Random(5)
+    check(spark, [(1, " ".join(f"x{rng.randint(0, 900)}" for _ in range(700_000)), "a"), (2, "x1 x2", "a")], ["x1 x3"])

@@ -41,7 +41,7 @@ HOT_SHARE = 1024
 
 # Bigrams that one fragment stands for, fragments there are at least; bigrams sent on at a time
 # and words remembered with their hashes, which bound a task's memory.
-BIGRAMS_PER_FRAGMENT, LEAST_FRAGMENTS = 3_000_000, 8
+BIGRAMS_PER_FRAGMENT, LEAST_FRAGMENTS = 2_000_000, 8
 BIGRAMS_AT_ONCE = 1_000_000
 WORDS_KNOWN = 200_000
 
@@ -181,6 +181,9 @@ def _spread(
             used, counts = np.unique(text[part], return_counts=True)
             words, word = np.unique(first[part], return_inverse=True)
             kind = np.uint16 if len(words) <= 1 << 16 else np.uint32
+            # Places and numbers of texts are mostly small, and there are many: they get few bytes.
+            few = len(held) <= 1 << 16 and counts.max(initial=0) < 1 << 16
+            short = np.uint16 if few else np.uint32
             mine = side == 0 and f == home
             out.append(
                 (
@@ -189,8 +192,9 @@ def _spread(
                     batch,
                     keys if mine else b"",
                     own.tobytes() if mine else b"",
-                    used.astype(np.int32).tobytes() if side == 0 else b"",
-                    counts.astype(np.int32).tobytes() if side == 0 else b"",
+                    np.dtype(short).itemsize,
+                    used.astype(short).tobytes() if side == 0 else b"",
+                    counts.astype(short).tobytes() if side == 0 else b"",
                     pairs[part].tobytes(),
                     words.tobytes(),
                     word.astype(kind).tobytes(),
@@ -200,8 +204,8 @@ def _spread(
 
 
 SPREAD = (
-    "fragment int, side int, batch binary, keys binary, own binary, texts binary, counts binary, "
-    "pairs binary, firsts binary, first binary"
+    "fragment int, side int, batch binary, keys binary, own binary, width int, texts binary, "
+    "counts binary, pairs binary, firsts binary, first binary"
 )
 SPREAD_COLUMNS = [c.split()[0] for c in SPREAD.split(", ")]
 
@@ -213,39 +217,55 @@ def _loss(joint, single, total: int, vocabulary: int):
     return (1 - ALONE) * after + ALONE * alone
 
 
+def _kinds(
+    pairs: pd.Series, word: np.ndarray, is_target: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """Which kind of bigram each one is, and of each kind the first word, and the counts of both sides."""
+    grams = np.concatenate([np.frombuffer(p, np.uint64) for p in pairs])
+    order = np.argsort(grams).astype(np.int32)
+    grams = grams[order]
+    is_new = np.ones(len(grams), bool)
+    np.not_equal(grams[1:], grams[:-1], out=is_new[1:])
+    del grams
+    starts = np.flatnonzero(is_new)
+    runs = np.diff(np.append(starts, len(order)))
+    which = np.empty(len(order), np.int32)
+    which[order] = np.repeat(np.arange(len(starts), dtype=np.int32), runs)
+    target = np.add.reduceat(is_target[order], starts, dtype=np.int64)
+    return which, word[order[starts]], (runs - target, target)
+
+
 def _losses(rows: pd.DataFrame, hot: dict, totals: tuple[int, int], vocabulary: int) -> pd.DataFrame:
-    """The losses of one fragment's bigrams under both models, summed per text that has some."""
-    pairs = np.concatenate([np.frombuffer(p, np.uint64) for p in rows["pairs"]])
+    """The losses of one fragment's bigrams under both models, summed per text that has some.
+
+    Per bigram it holds two numbers of four bytes, and while it sorts two of eight more.
+    """
     sizes = np.array([len(p) // 8 for p in rows["pairs"]])
-    side = np.repeat(rows["side"].to_numpy(), sizes)
     # The first words of all rows as one list, and the place of each bigram's in it.
     lists = [np.frombuffer(w, np.uint64) for w in rows["firsts"]]
     words, place = np.unique(np.concatenate(lists), return_inverse=True)
     place = np.split(place, np.cumsum([len(x) for x in lists])[:-1])
-    word = np.concatenate(
-        [
-            p[np.frombuffer(f, np.uint16 if len(p) <= 1 << 16 else np.uint32)].astype(np.int32)
-            for p, f in zip(place, rows["first"], strict=True)
-        ]
-    )
-    kinds, at, which = np.unique(pairs, return_index=True, return_inverse=True)
-    first = word[at]
+    word = np.empty(sizes.sum(), np.int32)
+    end = 0
+    for p, f, size in zip(place, rows["first"], sizes, strict=True):
+        word[end : end + size] = p[np.frombuffer(f, np.uint16 if len(p) <= 1 << 16 else np.uint32)]
+        end += size
+    which, first, joints = _kinds(rows["pairs"], word, np.repeat(rows["side"].to_numpy() == 1, sizes))
+    del word
     loss = []
-    for s in (0, 1):
-        joint = np.bincount(which, side == s, len(kinds))
+    for s, joint in enumerate(joints):
         single = np.bincount(first, joint, len(words))
         for i, w in enumerate(words.tolist()) if hot else ():
             if w in hot:
                 single[i] = hot[w][s]
         loss.append(_loss(joint, single[first], totals[s], vocabulary))
     out, end = [], 0
-    for batch, keys, own, of, texts, counts, size in zip(
-        rows["batch"], rows["keys"], rows["own"], rows["side"], rows["texts"], rows["counts"], sizes, strict=True
-    ):
+    names = ["batch", "keys", "own", "side", "width", "texts", "counts"]
+    for batch, keys, own, of, width, texts, counts, size in zip(*[rows[n] for n in names], sizes, strict=True):
         mine = which[end : end + size]
         end += size
         if of == 0:
-            counts = np.frombuffer(counts, np.int32)
+            counts = np.frombuffer(counts, f"u{width}").astype(np.int64)
             text = np.repeat(np.arange(len(counts)), counts)
             sums = [np.bincount(text, loss[s][mine], len(counts)) for s in (1, 0)]
             out.append((batch, keys, own, texts, np.stack(sums).tobytes()))
@@ -258,8 +278,10 @@ def _per_text(rows: pd.DataFrame) -> pd.DataFrame:
     total = np.frombuffer(b"".join(rows["own"]), np.float64).reshape(3, -1)[[1, 0, 2]]
     n = total.shape[1]
     for texts, sums in zip(rows["texts"], rows["sums"], strict=True):
-        # No text is twice in a row.
-        total[:2, np.frombuffer(texts, np.int32)] += np.frombuffer(sums, np.float64).reshape(2, -1)
+        sums = np.frombuffer(sums, np.float64).reshape(2, -1)
+        if sums.size:
+            # No text is twice in a row.
+            total[:2, np.frombuffer(texts, f"u{len(texts) // sums.shape[1]}")] += sums
     return pd.DataFrame(
         {
             "key": [keys[16 * i : 16 * i + 16] for i in range(n)],
