@@ -42,7 +42,7 @@ HOT_SHARE = 1024
 # Bigrams that one fragment stands for, fragments there are at least; bigrams sent on at a time
 # and words remembered with their hashes, which bound a task's memory.
 BIGRAMS_PER_FRAGMENT, LEAST_FRAGMENTS = 2_000_000, 8
-BIGRAMS_AT_ONCE = 1_000_000
+BIGRAMS_AT_ONCE = 500_000
 WORDS_KNOWN = 200_000
 
 # The seed of the hash of words, the same inside and outside Python.
